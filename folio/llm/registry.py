@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from folio.llm import decontaminate, token_counts
+from folio.llm import decontaminate, mixing, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op10_source_mixing": mixing.op10_source_mixing,
     }
 
 

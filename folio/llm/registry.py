@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import decontaminate, mixing, token_counts
+from folio.llm import decontaminate, mixing, quality_rules, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
         "op6_token_counts": token_counts.op6_token_counts,
         "op10_source_mixing": mixing.op10_source_mixing,
+        "op4_quality_rules": quality_rules.op4_quality_rules,
     }
 
 

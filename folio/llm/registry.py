@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import decontaminate, mixing, quality_rules, token_counts
+from folio.llm import decontaminate, license_scan, mixing, quality_rules, token_counts
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op6_token_counts": token_counts.op6_token_counts,
         "op10_source_mixing": mixing.op10_source_mixing,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op9_license_scan": license_scan.op9_license_scan,
     }
 
 

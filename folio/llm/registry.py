@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import decontaminate, license_scan, mixing, quality_rules, token_counts
+from folio.llm import decontaminate, license_scan, mixing, quality_rules, token_counts, warc
 
 
 def queries() -> dict:
@@ -12,8 +12,9 @@ def queries() -> dict:
         "op10_source_mixing": mixing.op10_source_mixing,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op9_license_scan": license_scan.op9_license_scan,
+        "op5_warc": warc.op5_warc,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_benchmark_decontamination": decontaminate.ORACLE}
+    return {"op1_benchmark_decontamination": decontaminate.ORACLE, "op5_warc": warc.ORACLE}

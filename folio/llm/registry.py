@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import decontaminate, license_scan, line_dedup, mixing, quality_rules, token_counts, warc
+from folio.llm import decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_counts, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op9_license_scan": license_scan.op9_license_scan,
         "op5_warc": warc.op5_warc,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op3_near_dedup": near_dedup.op3_near_dedup,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_counts, warc
+from folio.llm import decontaminate, importance, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_counts, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op5_warc": warc.op5_warc,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op3_near_dedup": near_dedup.op3_near_dedup,
+        "op2_quality_classifier": importance.op2_quality_classifier,
     }
 
 

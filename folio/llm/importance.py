@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
 Target texts are those labelled as good and not toxic, raw texts are all.  A text is the set of its hashed n-grams:
-words, word pairs, the marks that end words, and words said again at once.  Both models are rates of texts that hold
+words, word pairs, the first letters of longer words, the marks that end words, and lengths of runs of one word.  Both models are rates of texts that hold
 a bucket, counted over all texts; a task adds up its own texts before anything is dealt out.  A bucket whose target
 rate does not differ clearly from its raw rate weighs nothing, so what chance leaves in long texts does not add up.
 
@@ -30,7 +30,16 @@ from folio.llm import kernels, scratch
 WORD_BUCKETS = 1 << 20
 PAIR_BUCKETS = 1 << 16
 MARK_BUCKETS = 1 << 12
-BUCKETS = WORD_BUCKETS + PAIR_BUCKETS + MARK_BUCKETS
+HEAD_BUCKETS = 1 << 19
+#: Numbers of bytes at the start of a longer word that make a feature of their own.
+HEADS_OF = (6, 7, 8)
+#: Lengths of runs of one word that are told apart, by powers of two.
+AGAIN = 10
+PAIRS = WORD_BUCKETS
+HEADS = PAIRS + PAIR_BUCKETS
+MARKS = HEADS + HEAD_BUCKETS
+REPEATS = MARKS + MARK_BUCKETS
+BUCKETS = REPEATS + AGAIN
 #: Pseudo-texts added to both counts of a bucket.
 SMOOTHING = 0.5
 #: How many standard deviations, and by what factor, the rates must differ.
@@ -50,27 +59,31 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     lower = kernels.LOWER[raw]
     start, end, at = kernels.word_spans(lower, offsets, kernels.LETTERS)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
-    h = kernels.span_hashes(kernels.prefix_sums(lower), start, end)
+    sums = kernels.prefix_sums(lower)
+    h = kernels.span_hashes(sums, start, end)
     inner = kernels.within(at, 2)
     pairs = kernels.window_hashes(h, 2)[inner] if len(inner) else np.zeros(0, np.uint64)
-    again = np.zeros(len(h), np.int64)
-    if len(inner):
-        same = np.zeros(len(h), bool)
-        same[inner + 1] = h[inner] == h[inner + 1]
-        again[1:] = same[1:].astype(np.int64) + (same[1:] & same[:-1])
+    same = np.zeros(len(h), bool)
+    same[inner + 1] = h[inner] == h[inner + 1]
+    runs = np.flatnonzero(~same)
+    length = np.diff(np.concatenate([runs, [len(h)]]))
+    said = runs[length > 1]
+    again = np.minimum(np.log2(length[length > 1]).astype(np.int64), AGAIN - 1)
+    longer = [np.flatnonzero(end - start > n) for n in HEADS_OF]
+    heads = np.concatenate([kernels.span_hashes(sums, start[i], start[i] + n) for i, n in zip(longer, HEADS_OF, strict=True)])
     v_start, v_end, v_at = kernels.word_spans(raw, offsets, kernels.VISIBLE)
     v_text = np.repeat(np.arange(len(offsets) - 1), np.diff(v_at))
     marked = ~kernels.LETTERS[raw[v_end - 1]] if len(v_end) else np.zeros(0, bool)
     last, one = v_end[marked] - 1, (v_end - v_start)[marked] == 1
     marks = _KIND[raw[last]] * np.uint64(256) + np.where(one, np.uint64(1), _KIND[raw[last - 1]])
-    said = np.flatnonzero(again > 0)
     buckets = np.concatenate([
         h & np.uint64(WORD_BUCKETS - 1),
-        np.uint64(WORD_BUCKETS) + (pairs & np.uint64(PAIR_BUCKETS - 1)),
-        np.uint64(WORD_BUCKETS + PAIR_BUCKETS) + (kernels.mix(marks) & np.uint64(MARK_BUCKETS - 3)) + np.uint64(2),
-        np.uint64(WORD_BUCKETS + PAIR_BUCKETS - 1) + again[said].astype(np.uint64),
+        np.uint64(PAIRS) + (pairs & np.uint64(PAIR_BUCKETS - 1)),
+        np.uint64(HEADS) + (heads & np.uint64(HEAD_BUCKETS - 1)),
+        np.uint64(MARKS) + (kernels.mix(marks) & np.uint64(MARK_BUCKETS - 1)),
+        np.uint64(REPEATS) + again.astype(np.uint64),
     ]).astype(np.int64)
-    owners = np.concatenate([text, text[inner], v_text[marked], text[said]])
+    owners = np.concatenate([text, text[inner], text[np.concatenate(longer)], v_text[marked], text[said]])
     keys = np.unique(owners * BUCKETS + buckets)
     return keys // BUCKETS, keys % BUCKETS, np.diff(at)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import decontaminate, importance, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_counts, warc
+from folio.llm import decontaminate, exact_substrings, importance, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_counts, warc
 
 
 def queries() -> dict:
@@ -16,8 +16,9 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op2_quality_classifier": importance.op2_quality_classifier,
+        "op7_suffix_array_dedup": exact_substrings.op7_suffix_array_dedup,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_benchmark_decontamination": decontaminate.ORACLE, "op5_warc": warc.ORACLE}
+    return {"op1_benchmark_decontamination": decontaminate.ORACLE, "op5_warc": warc.ORACLE, "op7_suffix_array_dedup": exact_substrings.ORACLE}

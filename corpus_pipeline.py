@@ -3,8 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folio.llm import decontaminate
+from folio.llm import decontaminate, importance, line_dedup, mixing, near_dedup, scratch
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that importance resampling rejects."""
+    return importance.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later repeated runs of lines out of the texts; n_chars follows the text."""
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each class of near-duplicates."""
+    return near_dedup.dedup_near(docs)
 
 
 def without_contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +28,28 @@ def without_contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("benchmark decontamination", without_contamination)]
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """For each document how many words the mix takes of it."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("line dedup", without_repeated_lines),
+    ("near-duplicates", without_near_duplicates),
+    ("benchmark decontamination", without_contamination),
+    ("source mixing", mixed_sources),
+]
 
+#: SQL expresses neither the classifier nor the random rounding; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the table of documents, each one's result written and read again."""
+    docs = scratch.documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.stored(docs, f"pipeline-{k}")
     return docs

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import pagenum as N
 from folio.functions import text as T
-from folio.operators.toc import page_counts
+from folio.operators.toc import page_counts, reused
 
 BLANK_CHARS = 150
 INFER_GAP = 10
@@ -22,7 +22,8 @@ def match_confidence(score, margin):
 
 def page_numbers(pages: DataFrame) -> DataFrame:
     """(book_id, page_index, printed, value, is_roman): the number read on each page, and its value if it has one."""
-    rows = pages.select("book_id", "page_index", N.printed_page_number(F.col("text")).alias("printed"))
+    # read once: kept apart so that the reading is not repeated for every use of it
+    rows = reused(pages.select("book_id", "page_index", N.printed_page_number(F.col("text")).alias("printed")))
     return rows.select("book_id", "page_index", "printed", N.page_value(F.col("printed")).alias("value"), (~F.col("printed").rlike(r"^\d+$")).alias("is_roman"))
 
 
@@ -85,19 +86,22 @@ def citation_pages(ranges: DataFrame, numbers: DataFrame) -> DataFrame:
     for name in ("start", "end", "fallback"):
         rows = rows.join(at(name), ["book_id", name], "left")
     declared = N.declared_page(F.col("printed"), F.col("is_roman"), F.col("n_pages"))
-    rows = rows.withColumn("read", F.coalesce(declared, "start_shown")).withColumn("first", F.coalesce("read", "start_inferred"))
-    next_value = N.page_value(F.col("next_printed"))
-    follows = (F.col("next_roman") == F.col("is_roman")) & N.declared_page(F.col("next_printed"), F.col("next_roman"), F.col("n_pages")).isNotNull() & (next_value > 1)
-    rows = rows.withColumn("derived", F.when(follows, N.format_page(next_value - 1, F.col("is_roman"))))
+    next_declared = N.declared_page(F.col("next_printed"), F.col("next_roman"), F.col("n_pages"))
     stand_in = F.coalesce("fallback_shown", "fallback_inferred")
-    fits = (N.page_value(stand_in) >= N.page_value(F.col("first"))) & (stand_in.rlike(r"^\d+$") == F.col("first").rlike(r"^\d+$"))
+    rows = rows.withColumn("declared", declared).withColumn("next_declared", next_declared).withColumn("next_value", N.page_value(F.col("next_printed"))).withColumn("stand_value", N.page_value(stand_in))
+    # narrow rows are kept here, or the optimizer would copy the numeral expressions into every use
+    rows = reused(rows)
+    rows = rows.withColumn("read", F.coalesce("declared", "start_shown")).withColumn("first", F.coalesce("read", "start_inferred"))
+    follows = (F.col("next_roman") == F.col("is_roman")) & F.col("next_declared").isNotNull() & (F.col("next_value") > 1)
+    rows = rows.withColumn("derived", F.when(follows, N.format_page(F.col("next_value") - 1, F.col("is_roman"))))
+    fits = (F.col("stand_value") >= N.page_value(F.col("first"))) & (stand_in.rlike(r"^\d+$") == F.col("first").rlike(r"^\d+$"))
     rows = rows.withColumn("last", F.coalesce("derived", "end_shown", "end_inferred", F.when(fits, stand_in)))
     both = F.col("first").isNotNull() & F.col("last").isNotNull()
     high = F.col("read").isNotNull() & F.col("derived").isNull() & F.col("end_shown").isNotNull()
     rows = rows.withColumn("citation_pages", F.when(both, F.concat("first", F.lit("-"), "last")))
     rows = rows.withColumn("page_mapping_confidence", F.when(both & high, "high").when(both, "inferred").otherwise("unmappable"))
     extra = [f"{n}_{k}" for n in ("start", "end", "fallback") for k in ("shown", "inferred")]
-    return rows.drop("fallback", "read", "first", "derived", "last", *extra)
+    return rows.drop("fallback", "read", "first", "derived", "last", "declared", "next_declared", "next_value", "stand_value", *extra)
 
 
 def chapters(numbers: DataFrame, n_pages: DataFrame, located: DataFrame, heads: DataFrame, closed: DataFrame) -> DataFrame:

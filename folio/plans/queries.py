@@ -391,7 +391,6 @@ def redacted_pages(spark, sf_dir):
     return done.select("book_id", "page_index", F.length("text").cast("long").alias("n"))
 
 
-@query()
 def segment_corpus(spark, sf_dir):
     """Chapters of every derived book from its contents."""
     return segment.segment(fixture.book_pages(spark, sf_dir))[0]
@@ -402,21 +401,18 @@ def _outline(spark, sf_dir) -> DataFrame:
     return rows.select("book_id", F.col("chapter_no").alias("cand_no"), F.expr("concat('Study of matters ', chapter_no)").alias("title"), F.array().cast("array<string>").alias("authors"), F.expr("pdf_start_index - 1").alias("printed_page_number"), F.col("pdf_start_index").alias("pdf_page_index"), F.lit(None).cast("string").alias("chapter_doi"), F.lit("outline").alias("source"), F.lit(1.0).alias("metadata_confidence"))
 
 
-@query()
 def outline_chapters(spark, sf_dir):
     """Chapters straight from outlines."""
     n_pages, _, heads, numbers = segment.page_facts(pages(spark, sf_dir))
     return evidence.segment_outline(numbers, n_pages, heads, _outline(spark, sf_dir))
 
 
-@query()
 def fuzzy_alignment(spark, sf_dir):
     """Titles of two lists of each book matched in order."""
     rows = _outline(spark, sf_dir)
     return evidence.align(rows, rows.filter("cand_no <> 3").withColumn("title", F.concat(F.col("title"), F.lit(" revised"))))
 
 
-@query()
 def prompt_table(spark, sf_dir):
     """What a model outside is shown of each book."""
     p = pages(spark, sf_dir)

@@ -9,11 +9,17 @@ Similarity is that of an alignment of the two shingle sequences, matched shingle
 m / (a + b - m) >= ``SIMILARITY``.  At that similarity a match lies within a band around the diagonal that the
 lengths fix, and the longest common subsequence is computed in that band on bit rows.
 
-Exact copies collapse first, so a group of copies costs one text.  Within a sketch's group the least text is
-verified against all others; those that it isn't similar to choose their own least text in the next round, until
-no group has two texts left.  Thus a group costs about one pair for each text, no pair of different texts that a
-sketch found is left unlinked by a cap, and classes are the components of the verified links, found by label
-propagation with pointer jumping on tables in the shared folder.
+Exact copies collapse first, so a group of copies costs one text.  Within a sketch's group the text that shares most
+sketches with others at all is verified against every member and leaves the group; a group whose members are all
+linked to it is done.  The members of any other group are dealt anew by one more sketch that they share, up to
+``DEPTH`` in all, which parts texts that have a passage in common from those that are similar: a pair at the least
+similarity shares about half of its sketches.  What is then left of a group goes on by its foremost ``MORE`` members
+at a time, each against the others that no link joins to it; signatures of single shingles turn unlikely pairs down
+before their texts are read.  So hot groups cost about a pair for each text, and nothing is capped; only families
+of many texts that are almost similar to each other (most of each in common, yet less than the least similarity)
+cost pairs by the square of the family.
+Classes are the components of the verified links, found by label propagation with pointer jumping on tables in the
+shared folder.
 
 Defined results: a text without words (null or empty too) is a class of its own; a text of fewer than five words is
 one shingle; rows with equal ids are told apart by their texts and share a class if those are similar; ties go to
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm import kernels, scratch
@@ -35,6 +41,15 @@ SHINGLE = 5
 SKETCHES = 20
 PICK = 3
 SIMILARITY = 0.8
+#: Sketches that a group's members share at most before it goes on member by member.
+DEPTH = 3
+#: Members of a group whose open pairs are all verified before that depth, and members of a group that meet all
+#: others in one round at it.
+FEW = 8
+MORE = 128
+#: Least values of single shingles, 16 bits each, that tell unlikely pairs before their texts are read.
+SIGNATURE = 64
+AGREE = 40
 #: Pairs that one copy of a group's least text serves.
 SALT_ROWS = 500
 _SEEDS = kernels.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -120,6 +135,26 @@ def common_in_band(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return n - v.bit_count()
 
 
+def signatures(h: np.ndarray, at: np.ndarray, size: int = SIGNATURE) -> np.ndarray:
+    """For each text with shingles the low bits of the least value of ``size`` hash functions."""
+    labelled = kernels.mix(h + occurrences(h, at).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    full = np.flatnonzero(np.diff(at) > 0)
+    out = np.zeros((len(full), size), np.int16)
+    for k in range(size if len(full) else 0):
+        v = (labelled ^ kernels.mix(np.array([k + 1000], np.uint64))[0]) * np.uint64(0x9E3779B97F4A7C15)
+        out[:, k] = (np.minimum.reduceat(v, at[:-1][full]) >> np.uint64(20)).astype(np.uint16).view(np.int16)
+    return out
+
+
+def most_common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many shingles two texts have in common as multisets, which no alignment exceeds."""
+    x, n = np.unique(a, return_counts=True)
+    y, m = np.unique(b, return_counts=True)
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    same = x[at] == y
+    return int(np.minimum(n[at][same], m[same]).sum())
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Aligned similarity of two shingle sequences; 0 where it is surely below ``least``."""
     need = least * (len(a) + len(b)) / (1 + least)
@@ -134,6 +169,8 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     differ = np.flatnonzero(a[len(a) - edge :][::-1] != b[len(b) - edge :][::-1])
     back = int(differ[0]) if len(differ) else edge
     m = front + back
+    if most_common(a, b) < need - 1e-9:
+        return 0.0
     x, y = a[front : len(a) - back], b[front : len(b) - back]
     if len(x) and len(y) and m + min(len(x), len(y)) >= need - 1e-9:
         m += common_in_band(x, y, band)
@@ -144,12 +181,12 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, raw, offsets in kernels.chunks(batches, "text"):
         h, at = shingles(raw, offsets)
-        s = sketches(h, at)
+        s, signature = sketches(h, at), signatures(h, at)
         full = np.diff(at) > 0
         keep = pa.array(full)
         flat = pa.array(s[full].reshape(-1).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0).filter(keep), pa.ListArray.from_arrays(pa.array(np.arange(int(full.sum()) + 1, dtype=np.int32) * s.shape[1]), flat), pa.array(np.diff(at)[full], pa.int64())], names=["key", "sketches", "size"]
+            [rows.column(0).filter(keep), pa.ListArray.from_arrays(pa.array(np.arange(int(full.sum()) + 1, dtype=np.int32) * s.shape[1]), flat), pa.FixedSizeListArray.from_arrays(pa.array(signature.reshape(-1)), SIGNATURE).cast(pa.list_(pa.int16()))], names=["key", "sketches", "signature"]
         )
 
 
@@ -185,34 +222,77 @@ def _scored(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(_verify(least), "a long, b long, score double")
 
 
-def links(texts: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
-    """(a, b, score): verified links between different texts, enough to join all that are similar by a chain.
+def _groups(rows: DataFrame) -> DataFrame:
+    """Adds to (grp, key, weight, label, last) rows their group's size and head; groups of one label are done."""
+    stats = rows.groupBy("grp").agg(
+        F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.max(F.struct("weight", "key")).alias("h")
+    ).filter("n > 1 and least <> most")
+    return rows.join(stats.select("grp", "n", F.col("h.key").alias("head")), "grp")
 
-    ``texts`` has one row (key, text) for each different text.
+
+def _labelled(rows: DataFrame, tried: DataFrame) -> DataFrame:
+    """``rows`` with each text labelled by its component of the links verified so far."""
+    good = tried.filter("score > 0")
+    roots = components(good).withColumnRenamed("key", "k")
+    return rows.join(roots, F.col("key") == F.col("k"), "left").withColumn("label", F.coalesce("root", "key")).drop("k", "root")
+
+
+def _likely(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Pairs whose signatures agree in ``AGREE`` places or more; at the least similarity all but 2 in 10,000 do."""
+    left = pairs.join(sketched.select(F.col("key").alias("a"), F.col("signature").alias("x")), "a")
+    both = left.join(sketched.select(F.col("key").alias("b"), F.col("signature").alias("y")), "b")
+    return both.filter(F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda e: e)) >= AGREE).select("a", "b")
+
+
+def links(texts: DataFrame, *, least: float = SIMILARITY, depth: int = DEPTH, few: int = FEW, more: int = MORE) -> DataFrame:
+    """(a, b, score) of all pairs verified, each once; ``score`` is 0 where a pair is below ``least``.
+
+    ``texts`` has one row (key, text) for each different text.  The links join all that are similar by a chain.
     """
-    sketched = scratch.stored(texts.mapInArrow(_sketch, "key long, sketches array<long>, size long"), "near-sketches")
-    # elements of one text are few enough to sit in one row; groups are (sketch, text) rows, pre-counted
-    places = sketched.select("key", F.explode(F.array_distinct("sketches")).alias("sketch"))
-    shared = places.groupBy("sketch").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("head")).filter("n > 1").drop("n")
-    open_rows = scratch.stored(places.join(shared, "sketch").select("sketch", "key", "head"), "near-groups")
-    wanted = scratch.stored(open_rows.select("key").distinct(), "near-wanted")
-    texts = scratch.stored(texts.join(wanted.hint("shuffle_hash"), "key", "left_semi"), "near-texts")
-    found = None
-    seen = None
-    while True:
-        pairs = open_rows.filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        scored = scratch.stored(_scored(pairs, texts, least), "near-scored")
-        seen = scored if seen is None else seen.unionByName(scored)
-        good = scored.filter("score > 0")
-        found = good if found is None else found.unionByName(good)
-        similar = found.select(F.col("a").alias("head"), F.col("b").alias("key"))
-        rest = open_rows.filter("key <> head").join(similar, ["head", "key"], "left_anti").select("sketch", "key")
-        heads = rest.groupBy("sketch").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("head")).filter("n > 1").drop("n")
-        open_rows = scratch.stored(rest.join(heads, "sketch").select("sketch", "key", "head"), "near-groups")
-        if open_rows.isEmpty():
-            return found
+    sketched = scratch.stored(texts.mapInArrow(_sketch, "key long, sketches array<long>, signature array<smallint>"), "near-sketches")
+    places = sketched.select("key", F.posexplode("sketches").alias("last", "grp"))
+    shared = places.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = scratch.stored(places.join(shared, "grp"), "near-met")
+    weights = met.groupBy("key").agg(F.sum("n").alias("weight"))
+    rows = scratch.stored(_groups(met.drop("n").join(weights, "key").withColumn("label", F.col("key"))), "near-groups")
+    texts = scratch.stored(texts.join(weights.hint("shuffle_hash"), "key", "left_semi"), "near-texts")
+    tried = None
+
+    def verify(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+        """What was tried, and those of the pairs that were not."""
+        pairs = pairs.distinct()
+        if tried is None:
+            return scratch.stored(_scored(pairs, texts, least), "near-scored")
+        known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        return scratch.stored(tried.unionByName(_scored(pairs.join(known, ["a", "b"], "left_anti"), texts, least)), "near-scored")
+
+    shares = 1
+    while not rows.isEmpty():
+        if shares < depth:
+            pairs, gone = rows.filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")), F.col("key") == F.col("head")
+        else:
+            # the members that share most come first; each meets those after it that no link joins to it yet
+            ranked = scratch.stored(rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("weight"), "key"))), "near-ranked")
+            gone = F.col("rank") <= more
+            other = ranked.select("grp", F.col("key").alias("b"), F.col("label").alias("b_label"), F.col("rank").alias("b_rank"))
+            pairs = ranked.filter(gone).join(other, "grp").filter((F.col("rank") < F.col("b_rank")) & (F.col("label") != F.col("b_label")))
+            pairs = _likely(pairs.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct(), sketched)
+            rows = ranked
+        tried = verify(pairs, tried)
+        rest = scratch.stored(_groups(_labelled(rows.filter(~gone).select("grp", "key", "weight", "last"), tried)), "near-rest")
+        if shares < depth:
+            small = rest.filter(F.col("n") <= few).select("grp", "key", "label")
+            other = small.select("grp", F.col("key").alias("b"), F.col("label").alias("b_label"))
+            pairs = small.join(other, "grp").filter((F.col("key") < F.col("b")) & (F.col("label") != F.col("b_label"))).select(F.col("key").alias("a"), "b")
+            tried = verify(_likely(pairs.distinct(), sketched), tried)
+            dealt = rest.filter(F.col("n") > few).join(sketched.select("key", "sketches"), "key").select("grp", "key", "weight", F.col("last").alias("was"), F.posexplode("sketches").alias("last", "sketch"))
+            rest = dealt.filter("last > was").select(F.xxhash64("grp", "sketch").alias("grp"), "key", "weight", "last")
+            shares += 1
+            rest = scratch.stored(_groups(_labelled(rest, tried)), "near-groups")
+        rows = rest
+    if tried is None:
+        return texts.sparkSession.createDataFrame([], "a long, b long, score double")
+    return tried
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -246,7 +326,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first_rows = scratch.stored(firsts, "near-firsts")
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(first_rows.hint("shuffle_hash"), F.col("id") == F.col("first")).filter(text_key(F.col("text")) == F.col("key"))
     texts = scratch.stored(chosen.select("key", "text").dropDuplicates(["key"]), "near-distinct") if _repeats(keyed) else chosen.select("key", "text")
-    roots = components(links(texts, least=least))
+    roots = components(links(texts, least=least).filter("score > 0"))
     named = first_rows.join(roots, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     least_id = named.groupBy("root").agg(F.min("first").alias("class_id"))
     per_key = named.join(least_id, "root").select("key", "class_id")

@@ -196,7 +196,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the hit spans cut out of the text, each row otherwise as it is; ids must be distinct."""
-    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, spans=True, **options).filter("n_hit > 0").select(F.col(id_col).alias("__id"), F.col("spans").alias("__spans"))
+    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, spans=True, **options).filter("n_hit > 0")
+    other, found_spans = (max(docs.columns, key=len) + x for x in ("_id", "_spans"))  # names that no column has
+    found = found.select(F.col(id_col).alias(other), F.col("spans").alias(found_spans))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -211,8 +213,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
         return texts.combine(spans, one) if len(texts) else texts
 
-    joined = docs.join(found, F.col(id_col) == F.col("__id"), "left")
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("__spans"))).select(*docs.columns)
+    joined = docs.join(found, F.col(id_col) == F.col(other), "left")
+    return joined.withColumn(text_col, cut(F.col(text_col), F.col(found_spans))).select(*docs.columns)
 
 
 def sha256_of(items: list[str]) -> str:

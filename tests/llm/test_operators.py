@@ -1,0 +1,332 @@
+"""Each operator against brute force on small tables, with nulls, empty texts, repeated rows and clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from folio.llm import decontaminate, exact_substrings, importance, license_scan, line_dedup, mixing, near_dedup, quality_rules, scratch, suffix, token_counts, warc
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SCHEMA = "doc_id long, text string, source string, key string, __id string"
+
+
+def low(text):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+
+
+def words(text):
+    return WORD.findall(low(text))
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(["river", "salt", "Stone", "mère", "law", "road", "tree", "x1"]) + rng.choice(["", "", ".", ","]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(7)
+    shared = sentence(rng, 70)
+    out = {i: sentence(rng, rng.choice([0, 1, 3, 12, 40, 120])) for i in range(1, 40)}
+    for i in (40, 41, 42):
+        out[i] = sentence(rng, 30) + "\n" + shared + "\n" + sentence(rng, 20)
+    out[43], out[44], out[45], out[46] = out[42], None, "", "a\u0000b " * 300
+    out[47] = "word " * 4000
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, f"s{i % 3}" if i % 7 else None, "k", "z") for i, t in texts.items()]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def brute_contamination(texts, items, n=13):
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - n + 1)) if w else ():
+            windows[tuple(w[k : k + n])].add(i)
+    out = {}
+    for d, t in texts.items():
+        w, hit, found = words(t), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if own := windows.get(tuple(w[k : k + size])):
+                    hit |= set(range(k, k + size))
+                    found |= own
+        out[d] = len(w), len(hit), sorted(found)
+    return out
+
+
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_contamination(spark, docs, texts, block):
+    items = [("1", texts[40]), ("2", "Salt road"), ("3", None), ("4", ""), ("2", "Salt road"), ("9", texts[42][:90])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.contamination(docs, bench, block_windows=block).collect()}
+    assert got == brute_contamination(texts, items)
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    cut = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, bench).collect()}
+    assert not brute_contamination(cut, [items[0]])[40][1] and cut[44] is None
+
+
+def test_contamination_of_nothing(spark, nothing, docs):
+    bench = spark.createDataFrame([], "item_id string, text string")
+    assert decontaminate.contamination(nothing, bench).count() == 0
+    assert decontaminate.contamination(docs, bench).filter("n_hit > 0").count() == 0
+
+
+def test_importance_on_held_out_labels(spark):
+    docs = scratch.documents(spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = importance.judged(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id")
+    rates = got.agg(F.avg(F.when(F.expr("quality = 1 and toxic = 0"), F.col("kept").cast("double"))).alias("good"), F.avg(F.when(F.expr("quality = 0"), F.col("kept").cast("double"))).alias("bad")).first()
+    assert rates.good > 0.95 and rates.bad < rates.good
+
+
+def test_importance_edges(spark, docs, nothing):
+    labels = spark.createDataFrame([(1, 1, None), (1, 1, 0), (None, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in importance.judged(docs, labels).collect()}
+    assert not kept[44] and not kept[45]
+    assert importance.judged(nothing, labels).count() == 0
+    assert importance.judged(docs, labels.filter("false")).filter("kept").count() == sum(1 for r in docs.collect() if words(r.text))
+    assert importance.judged(docs, labels, k=5).filter("kept").count() == 5
+    assert importance.resample(docs, labels).columns == docs.columns
+
+
+def test_kth_greatest(spark):
+    rng = random.Random(1)
+    values = [rng.gauss(0, 10) for _ in range(5000)] + [3.0] * 50
+    keys = spark.createDataFrame([(v,) for v in values] + [(None,)], "key double")
+    for k in (1, 77, 2600, 5050):
+        assert importance.kth_greatest(keys, k, ranges=16, few=40) == sorted(values, reverse=True)[k - 1]
+
+
+def shingle_sequence(text):
+    w = words(text)
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+
+
+def ordered_similarity(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+        row = new
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
+def test_banded_similarity_is_exact_above_the_threshold():
+    rng = random.Random(3)
+    for _ in range(200):
+        a = [rng.randint(0, 40) for _ in range(rng.randint(1, 60))]
+        b = [x if rng.random() > 0.08 else rng.randint(0, 40) for x in a if rng.random() > 0.04] or [1]
+        want = ordered_similarity(a, b)
+        got = near_dedup.similarity(np.array(a, np.uint64), np.array(b, np.uint64), 0.8)
+        assert got == pytest.approx(want if want >= 0.8 else 0.0)
+
+
+def test_near_classes(spark, texts):
+    rng = random.Random(11)
+    base = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(200))
+    rows = dict(texts)
+    for i in range(100, 130):
+        w = base.split()
+        w[rng.randint(0, 199)] = f"n{i}"
+        rows[i] = " ".join(w)
+    rows[130] = base.upper()
+    df = spark.createDataFrame([(i, t, "s", "k", "z") for i, t in rows.items()], SCHEMA)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()}
+    parent = {i: i for i in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    shingled = {i: shingle_sequence(t) for i, t in rows.items()}
+    ids = [i for i in rows if shingled[i] and i != 47]
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            n, m = len(shingled[a]), len(shingled[b])
+            if min(n, m) >= 0.8 * max(n, m) and find(a) != find(b) and ordered_similarity(shingled[a], shingled[b]) >= 0.8:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {i: find(i) for i in rows}
+    kept = near_dedup.dedup_near(df)
+    assert kept.columns == df.columns and kept.count() == len(set(got.values()))
+
+
+def test_near_classes_of_nothing(nothing):
+    assert near_dedup.classes(nothing).count() == 0
+
+
+def brute_statistics(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen, dup = set(), 0
+    for x in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", x):
+            dup += x in seen
+            seen.add(x)
+    n = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    cover = {k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(cover)
+
+
+def test_quality_statistics(docs, texts):
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.statistics(docs).collect()}
+    assert got == {i: brute_statistics(t) for i, t in texts.items()}
+
+
+def test_rules_find_a_planted_conjunction(spark):
+    rng = random.Random(2)
+    rows = [(x, y, x > 0.7 and y > 0.5, i % 3 == 0) for i in range(3000) for x, y in [(rng.random(), rng.random())]]
+    df = spark.createDataFrame(rows, "a double, b double, bad boolean, held boolean")
+    rules = quality_rules.learn_rules(df, features=("a", "b"), bins=20)
+    wrong = df.filter(quality_rules.verdict(rules) == F.col("bad")).count()
+    assert rules and wrong < 150
+    assert quality_rules.learn_rules(df.filter("false"), features=("a", "b")) == []
+
+
+def test_warc_round_trip(spark, tmp_path):
+    long = "WARC/1.1\r\n".join(["<p>ü</p>" * 3000] * 4)
+    rows = [(1, "http://a\r\nX: y", long, 0), (2, None, None, 0), (3, "u", "same " * 50, 0), (4, "u", "same " * 50, 0), (5, "u", "short", 0), (6, "u", "short", 0), (9, "u", long, 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    warc.write_warc(pages, str(tmp_path / "w"), segment=5000)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_pages(spark, str(tmp_path / "w")).collect()}
+    revisits = {4: 3, 9: 1}
+    assert got == {i: (len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if i in revisits else "response", revisits.get(i)) for i, _, h, _ in rows}
+    back = warc.responses(warc.read_records(spark, str(tmp_path / "w"))).filter("record_id like '%:1:%'").first()
+    assert bytes(back.payload).decode() == long
+
+
+def test_warc_finds_damage():
+    with pytest.raises(ValueError):
+        warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n")
+    assert warc.unchunked(warc.chunked(b"")) == b""
+
+
+def test_token_counts_and_cache(spark, docs, texts, tmp_path):
+    from tokenizers import Tokenizer
+
+    cache = str(tmp_path / "cache")
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs, cache).collect()}
+    t = Tokenizer.from_file(token_counts.vocabulary_path())
+    assert got == {i: (len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False))) for i, x in texts.items()}
+    stored = spark.read.parquet(cache).count()
+    token_counts.count_tokens(docs, cache).collect()
+    assert spark.read.parquet(cache).count() == stored
+
+
+def test_token_counter_on_hard_pieces():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_counts.vocabulary_path())
+    hard = ["<|endoftext|> a<|endoftext|>.", "it's We'LL don't.", "x\u0085y z", "ΣΑΣ. é. é. İ!", "", " ", "中文。字符.", "a&&& b%%%. 12. 1a.", "'s. 's 'S,", "–. ½. ²)"]
+    assert token_counts.Counter(token_counts.vocabulary_path(), 5).count(hard) == [len(t.encode(x, add_special_tokens=False)) for x in hard]
+
+
+@pytest.mark.parametrize("budget", [300, 1 << 28])
+def test_suffix_sort_finds_all_repeats(budget):
+    rng = random.Random(budget)
+    for _ in range(60):
+        n, cap = rng.randint(1, 250), rng.choice([2, 3, 8, 20])
+        p = [rng.randint(1, rng.choice([1, 2, 4])) for _ in range(n)]
+        if n > 60:
+            p[-40:] = p[5:45]
+        c = collections.Counter(tuple(p[i : i + cap]) for i in range(n - cap + 1))
+        want = [i + cap <= n and c[tuple(p[i : i + cap])] > 1 for i in range(n)]
+        assert suffix.repeated(np.array(p, np.uint16), cap, budget).tolist() == want
+
+
+def test_repeated_bytes(spark, docs, texts):
+    raw = {i: (t or "").encode() for i, t in texts.items()}
+    for length, anchor in ((200, 48), (30, 8)):
+        c = collections.Counter(b[k : k + length] for b in raw.values() for k in range(len(b) - length + 1))
+        want = {}
+        for i, b in raw.items():
+            gone = np.zeros(len(b), bool)
+            for k in range(len(b) - length + 1):
+                if c[b[k : k + length]] > 1:
+                    gone[k : k + length] = True
+            if gone.any():
+                want[hashlib.sha256(b).hexdigest()] = bytes(np.frombuffer(b, np.uint8)[~gone])
+        got = [bytes(r.kept) for r in exact_substrings.cut_repeats(docs, length=length, anchor=anchor).collect()]
+        originals = {hashlib.sha256(b).hexdigest() for b in raw.values()}
+        assert originals >= set(want)
+        assert sorted(got) == sorted(x for i, b in raw.items() if (x := want.get(hashlib.sha256(b).hexdigest())) is not None)
+
+
+def test_line_dedup_cuts_later_passages(docs, texts):
+    got = {r.doc_id: (r.text, r.lines_cut) for r in line_dedup.dedup_lines(docs, counts=True).collect()}
+    assert got[40][0] == texts[40]
+    for i in (41, 42):
+        first, _, last = texts[i].split("\n")
+        assert got[i] == (f"{first}\n{last}", 1)
+    assert got[43] == ("", 3) and got[44][0] is None and got[45][0] == ""
+    assert line_dedup.dedup_lines(docs).columns == docs.columns
+
+
+def test_line_dedup_of_nothing(nothing):
+    assert line_dedup.dedup_lines(nothing).count() == 0
+
+
+def test_license_scan(spark):
+    rows = {1: "CC BY and cc-by, General Public License", 2: None, 3: "Licensed under the Apache License, Version 2.0.", 4: "x licensed under the GREAT Apache License, version 2.0. yes", 5: "all rights reserved all rights reserved", 6: "", 7: "by cc license public general"}
+    df = spark.createDataFrame([(i, t, "s", "k", "z") for i, t in rows.items()], SCHEMA)
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (3, 0, 5, "cc-by,gpl")
+    assert got[3].labels == "apache-2.0" and got[3].score == 1.0 and got[3].n_base == 0 and got[3].first_word is None
+    assert (got[5].n_base, got[5].first_word, got[5].last_word) == (2, 0, 3)
+    assert all(got[i].labels == "" and got[i].score == 0 for i in (2, 6, 7))
+
+
+def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    held, total = {}, share * sum(sizes.values())
+    while True:
+        free = [s for s in order if s not in held]
+        left, all_w = total - sum(held.values()), sum(w[s] for s in free)
+        over = [s for s in free if left * w[s] / all_w > most * sizes[s] + 1e-9]
+        if not over:
+            return held | {s: left * w[s] / all_w for s in free}
+        held |= {s: most * sizes[s] for s in over}
+
+
+def test_mix(spark, docs, texts):
+    rows = mixing.mix(docs, bucket=4).collect()
+    sizes = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id] or "")) for r in rows}
+    by = collections.Counter()
+    for r in rows:
+        by[r.source] += sizes[r.doc_id]
+    want = brute_targets(by)
+    taken = collections.Counter()
+    for r in rows:
+        assert r.size == sizes[r.doc_id] and r.source_size == by[r.source] and r.target == pytest.approx(want[r.source])
+        assert r.taken in (0, r.size, 2 * r.size)
+        taken[r.source] += r.taken
+    for s in want:
+        assert abs(taken[s] - want[s]) <= max(sizes[r.doc_id] for r in rows if r.source == s)
+    assert sorted((r.doc_id, r.taken) for r in mixing.mix(docs, bucket=4).collect()) == sorted((r.doc_id, r.taken) for r in rows)
+
+
+def test_rounding_keeps_inclusion_rates(spark):
+    total = 0.0
+    for seed in range(3):
+        rows = spark.createDataFrame([("s", seed * 1000 + i, 10 + i % 7, 0.3, 400) for i in range(400)], "source string, id long, size long, p double, n long")
+        out = mixing.round_fractions(rows, 64).collect()
+        assert all(r.p in (0.0, 1.0) for r in out) and len(out) == 400
+        total += sum(r.p for r in out)
+    assert 0.27 < total / 1200 < 0.33

@@ -4,7 +4,8 @@ A block starts at a line with words and goes on to the line in which its ``BLOCK
 without words are left out of all this.  Of the blocks that start within ``WINDOW`` words the one with the least
 hash is a fingerprint, so any run of lines of BLOCK + WINDOW words or more that two places share has a
 fingerprint in common.  Fingerprints that stand at several places are joined with the first of those places, by
-(id, line); each such match is extended line by line both ways, and the runs found are cut from the later text.
+(id, line); the matches of two texts at one distance in lines are taken together, each is extended line by line
+both ways, and all runs found are cut from the later text.
 No pair of two later places is ever made, so a passage that stands in a third of all texts costs a row for each.
 
 Narrow columns only take part in the joins: line hashes, word counts and positions.  A first place that many
@@ -106,24 +107,21 @@ def _index(text_col: str, block: int, window: int):
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of lines around each match, as far as both texts go on equally."""
+    """Runs of lines around the matches of each diagonal, as far as both texts go on equally."""
     for batch in batches:
-        keys, same, a, b, p, q = (batch.column(i) for i in range(6))
+        keys, a, b, diagonals, ats = (batch.column(i) for i in range(5))
         out_key, start, end = [], [], []
-        for key, one, mine, theirs, i, j in zip(keys.to_pylist(), same.to_pylist(), a, b, p.to_pylist(), q.to_pylist(), strict=True):
-            x, y = mine.values.to_numpy(zero_copy_only=False), theirs.values.to_numpy(zero_copy_only=False)
-            n = min(len(x) - i, len(y) - j)
-            differ = np.flatnonzero(x[i : i + n] != y[j : j + n])
-            stop = i + (int(differ[0]) if len(differ) else n)
-            n = min(i, j)
-            differ = np.flatnonzero(x[i - n : i] != y[j - n : j])
-            begin = i - n + (int(differ[-1]) + 1 if len(differ) else 0)
-            if one and begin <= j - (i - begin):  # a run never reaches its own first place
-                begin = i
-            out_key.append(key)
-            start.append(begin)
-            end.append(stop)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(out_key, pa.int64()), "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32())})
+        for key, mine, theirs, d, at in zip(keys.to_pylist(), a, b, diagonals.to_pylist(), ats, strict=True):
+            x, y, at = (v.values.to_numpy(zero_copy_only=False) for v in (mine, theirs, at))
+            first, last = max(d, 0), min(len(x), len(y) + d)
+            differ = np.flatnonzero(x[first:last] != y[first - d : last - d]) + first
+            edges = np.concatenate([[first - 1], differ, [last]])
+            ends = np.unique(np.searchsorted(edges, at))  # the matches of one run go on to the same edge
+            out_key.extend([key] * len(ends))
+            start.append(edges[ends - 1] + 1)
+            end.append(edges[ends])
+        start, end = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (start, end))
+        yield pa.RecordBatch.from_pydict({"key": pa.array(out_key, pa.int64()), "start": pa.array(start.astype(np.int32)), "end": pa.array(end.astype(np.int32))})
 
 
 def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, window: int = WINDOW) -> DataFrame:
@@ -133,14 +131,14 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     places = index.select("id", "key", F.explode("prints").alias("x")).select("id", "key", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
     firsts = places.groupBy("h").agg(F.min(F.struct("id", "key", "at")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", F.col("f.id").alias("f_id"), F.col("f.key").alias("f_key"), F.col("f.at").alias("f_at"))
     later = places.join(firsts, "h").filter(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")) & (F.col("at") == F.col("f_at"))))
-    # one match for each diagonal of two texts; the earliest block stands for it
-    later = later.groupBy("key", "f_key", (F.col("at") - F.col("f_at")).alias("diagonal")).agg(F.min("at").alias("at"))
-    later = scratch.stored(later.select("key", "f_key", "at", (F.col("at") - F.col("diagonal")).alias("f_at")), "line-matches")
+    # one row for each diagonal of two texts, with the places of all its matches: runs may be parted by lines that differ
+    later = later.groupBy("key", "f_key", (F.col("at") - F.col("f_at")).alias("diagonal")).agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    later = scratch.stored(later, "line-matches")
     salts = later.groupBy("f_key").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     lines = index.groupBy("key").agg(F.first("lines").alias("lines"))
-    mine = later.join(lines, "key").join(salts, "f_key").withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.col("salts")).cast("int"))
+    mine = later.join(lines, "key").join(salts, "f_key").withColumn("salt", F.pmod(F.xxhash64("key", "diagonal"), F.col("salts")).cast("int"))
     theirs = salts.join(lines.withColumnRenamed("key", "f_key"), "f_key").select("f_key", F.col("lines").alias("f_lines"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pairs = mine.join(theirs, ["f_key", "salt"]).select("key", (F.col("key") == F.col("f_key")).alias("same"), "lines", "f_lines", "at", "f_at")
+    pairs = mine.join(theirs, ["f_key", "salt"]).select("key", "lines", "f_lines", "diagonal", "ats")
     runs = pairs.mapInArrow(_extended, "key long, start int, end int")
     return runs.distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 

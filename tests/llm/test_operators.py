@@ -278,6 +278,47 @@ def test_line_dedup_cuts_later_passages(docs, texts):
     assert line_dedup.dedup_lines(docs).columns == docs.columns
 
 
+def brute_line_runs(texts, least):
+    """Kept lines of each text: a run of lines with at least so many words that stands in an earlier text is cut."""
+    lines = {i: t.split("\n") for i, t in texts.items()}
+    kept = {}
+    for i, x in lines.items():
+        gone = set()
+        for j in (j for j in lines if j < i):
+            for d in range(-len(lines[j]), len(x) + 1):
+                run = []
+                for k in range(len(x) + 1):
+                    if k < len(x) and 0 <= k - d < len(lines[j]) and x[k] == lines[j][k - d]:
+                        run.append(k)
+                        continue
+                    if sum(len(x[n].split()) for n in run) >= least:
+                        gone.update(run)
+                    run = []
+        kept[i] = [line for k, line in enumerate(x) if k not in gone]
+    return kept
+
+
+def test_line_dedup_cuts_all_runs_of_a_diagonal(spark):
+    serial = iter(range(100_000))
+    fresh = lambda n, w: [" ".join(f"w{next(serial)}" for _ in range(w)) for _ in range(n)]
+    a, b, c = fresh(6, 12), fresh(1, 70), fresh(9, 9)
+    whole = fresh(40, 10)
+    lines = {
+        1: a + fresh(3, 15) + b + fresh(2, 8) + c,
+        2: a + fresh(3, 15) + b + fresh(2, 8) + c,  # three runs on one diagonal
+        3: whole,
+        4: whole[:20] + fresh(1, 10) + whole[21:],  # a copy with a changed line
+        5: fresh(4, 5) + whole[:12] + fresh(1, 10) + whole[13:26] + fresh(2, 10) + whole[28:] + a,
+        6: fresh(35, 9),
+    }
+    texts = {i: "\n".join(x) for i, x in lines.items()}
+    want = brute_line_runs(texts, line_dedup.BLOCK + line_dedup.WINDOW)
+    assert len(want[2]) == 5 and len(want[4]) == 1 and len(want[5]) == 7 and len(want[6]) == 35
+    df = spark.createDataFrame([(i, t, "s", "k", "z") for i, t in texts.items()], SCHEMA).repartition(3)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {i: "\n".join(x) for i, x in want.items()}
+
+
 def test_line_dedup_of_nothing(nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 

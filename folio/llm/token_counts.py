@@ -3,16 +3,17 @@
 The cache is a Parquet table (content digest, tokenizer version, tokens).  The content digest is SHA-256 of the
 text without leading and trailing blanks, which the tokenizer drops; the version is the SHA-256 of the vocabulary
 file with the settings used.  One call joins the texts' digests with the cache, takes one text of each digest
-that is missing, encodes those, appends their counts and joins the counts back by digest.  A task that is run
-again only repeats its own encoding, and the table is appended by Spark's committer; counts that two writers
-store for one digest are equal, and readers take any one of them.
+that is missing, chosen by the digest itself and never by an id, encodes those, appends their counts and joins
+the counts back by digest.  A task that is run again only repeats its own encoding, and the table is appended by
+Spark's committer; counts that two writers store for one digest are equal, and readers take any one of them.
 
 Inside a task a text is cut at blanks and newlines, where this tokenizer always cuts too, and each distinct piece
 is encoded once by the library, as long as it is in the bounded table of known pieces.  This holds for
 tokenizers that drop white space; another vocabulary needs its own counter.
 
 Defined results: a null text counts as empty with 0 tokens; special strings inside a text are handled as the
-library's default; rows with the same id are counted one by one; extra columns are ignored.
+library's default, which matches their letter case too; rows with the same id or none are counted one by one;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def tokenizer_version(path: str) -> str:
-    return hashlib.sha256(Path(path).read_bytes() + b"|no added special tokens|no truncation").hexdigest()
+    return hashlib.sha256(Path(path).read_bytes() + b"|no added special tokens|no truncation|special strings by case").hexdigest()
 
 
 #: Punctuation that this tokenizer always parts from a letter or digit before it.
@@ -57,6 +58,7 @@ class Counter:
 
     A piece between blanks is looked up as it is.  A new one is lower-cased over A-Z, parted from punctuation
     at its end where a letter or digit stands before it, and the two parts are looked up and encoded if new.
+    One that would hold a special string in lower case stays whole and as it is.
     """
 
     def __init__(self, path: str, limit: int = KNOWN_PIECES):
@@ -66,12 +68,15 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit = limit
         self.known: dict[str, int] = {"": 0}
         self.parts: dict[str, int] = {"": 0}
 
     def _parts(self, piece: str) -> tuple[str, str]:
         low = piece.lower() if piece.isascii() else piece
+        if any(x in low for x in self.special):
+            return piece, ""
         core = low.rstrip(_TRAILING)
         return (core, low[len(core) :]) if core and len(core) < len(low) and _LETTER_OR_DIGIT(core[-1]) else (low, "")
 
@@ -133,18 +138,18 @@ def cached(spark: SparkSession, cache: str, version: str) -> DataFrame:
 def count_tokens(docs: DataFrame, cache: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, digest, n_bytes, n_tokens) for each row; appends the counts of new texts to ``cache``.
 
-    Only digests and ids meet in the joins.  The texts of misses are reached by one join with the smallest
-    row of each digest, so a group of copies, however large, sends narrow rows that are combined before they
-    are dealt out, and one text.
+    Only digests and counts meet in the joins of rows.  A text is chosen for each digest by grouping on the digest
+    alone, and each task combines its own copies before they are dealt out, so a group of copies, however large,
+    sends narrow rows and one text for each task at most.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path()
     version = tokenizer_version(vocabulary)
     digest = content_digest(F.col(text_col))
     narrow = scratch.stored(docs.select(F.col(id_col), digest.alias("digest"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")), "token-digests")
-    first = narrow.groupBy("digest").agg(F.min(id_col).alias("__id")).join(cached(spark, cache, version), "digest", "left_anti")
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    misses = texts.join(first.hint("shuffle_hash"), texts["__id"].eqNullSafe(first["__id"])).select("digest", "text")
+    missing = narrow.select("digest").distinct().join(cached(spark, cache, version), "digest", "left_anti").select("digest")
+    texts = docs.select(digest.alias("digest"), F.col(text_col).alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+    misses = texts.join(missing.hint("shuffle_hash"), "digest").select("digest", "text")
     misses.mapInArrow(_encode(vocabulary, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
     return narrow.join(cached(spark, cache, version), "digest").select(id_col, "digest", "n_bytes", "n_tokens")
 

@@ -237,6 +237,27 @@ def test_token_counter_on_hard_pieces():
     assert token_counts.Counter(token_counts.vocabulary_path(), 5).count(hard) == [len(t.encode(x, add_special_tokens=False)) for x in hard]
 
 
+def test_token_counts_of_repeated_and_null_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    cache = str(tmp_path / "cache")
+    rows = [(7, "one river"), (7, "two salt roads and more of them"), (7, "one river"), (7, None), (None, "law"), (None, "a tree, a stone, x1"), (None, "law"), (None, " law "), (8, "law"), (None, "<|EndOfText|> A"), (9, "<|endoftext|> A")]
+    df = spark.createDataFrame([(i, t, "s", "k", "z") for i, t in rows], SCHEMA).repartition(3)
+    t = Tokenizer.from_file(token_counts.vocabulary_path())
+    want = collections.Counter((i, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False))) for i, x in rows)
+    for _ in range(2):
+        assert collections.Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(df, cache).collect()) == want
+        assert spark.read.parquet(cache).count() == len({(x or "").strip(" ") for _, x in rows})
+
+
+def test_token_counter_keeps_the_case_of_special_strings():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_counts.vocabulary_path())
+    hard = ["<|EndOfText|>", "A<|ENDOFTEXT|>b.", "<|endoftext|>", "B<|endoftext|>C,", "<|StartOfText|>. <|startoftext|>.", "<|endoftext|><|EndOfText|>!", "<|Other|> x<|"]
+    assert token_counts.Counter(token_counts.vocabulary_path()).count(hard) == [len(t.encode(x, add_special_tokens=False)) for x in hard]
+
+
 @pytest.mark.parametrize("budget", [300, 1 << 28])
 def test_suffix_sort_finds_all_repeats(budget):
     rng = random.Random(budget)

@@ -3,7 +3,10 @@
 The windows of all benchmark items become a sorted array of 64-bit hashes with the words behind each hash.
 The array goes to every task; a task hashes the word windows of its whole texts, looks them up, and compares
 the words of each hit, so that no collision counts.  The array is bounded: items are dealt to blocks of at most
-``block_windows`` windows, one scan of the texts for each block, and the blocks' hits are merged per text.
+``block_windows`` windows, one scan of the texts for each block, and the blocks' hits are merged per row.
+
+Verdicts meet their rows by a key of id and text, so rows with the same id or none are told apart; rows equal in
+both have equal verdicts.
 
 Defined results: a null or empty text has no words; an item without words has no window; an item id that is
 null counts under the empty string; repeated items count once by id; a repeated document row gives a row each.
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import kernels
-from folio.llm.scratch import documents
+from folio.llm.scratch import documents, stored
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 NGRAM = 13
@@ -131,28 +134,30 @@ def _blocks(benchmark: DataFrame, n: int, item_col: str, text_col: str, limit: i
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = NGRAM, block_windows: int = BLOCK_WINDOWS, spans: bool = False) -> DataFrame:
     """For each row of ``docs``: its id, n_words, n_hit, the items found and, if asked for, the byte spans hit.
 
-    One block of items (the usual case) needs a single scan and no shuffle.  With more blocks the ids must be
-    distinct, as the blocks' results meet by id; words that two blocks hit are counted from merged spans.
+    One block of items (the usual case) needs a single scan and no shuffle.  Of more blocks each one's hits are
+    stored before the block after the next is read; words that two blocks hit are counted from merged spans.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    several = None
-    results = []
-    for block in _blocks(benchmark, n, item_col, item_text_col, block_windows):
-        several = several is not None
-        results.append(block)
-    want = spans or len(results) > 1
-    schema = f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>" + (", spans array<struct<start:long,end:long>>" if want else "")
-    rows = docs.select(id_col, text_col)
-    found = [rows.mapInArrow(_scan(Windows(block, n), id_col, text_col, want), schema) for block in results]
-    if len(found) == 1:
-        return found[0]
-    merged = found[0]
-    for more in found[1:]:
-        merged = merged.unionByName(more)
-    merged = merged.groupBy(id_col).agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")
-    )
-    return docs.select(id_col, text_col).join(merged, id_col, "left").mapInArrow(_recount(id_col, text_col), schema)
+    counts, places = "n_words long, n_hit long, items array<string>", ", spans array<struct<start:long,end:long>>"
+    blocks = _blocks(benchmark, n, item_col, item_text_col, block_windows)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        schema = f"`{id_col}` {kind}, {counts}" + (places if spans else "")
+        return docs.select(id_col, text_col).mapInArrow(_scan(Windows(block, n), id_col, text_col, spans), schema)
+    key = f"{id_col}_{text_col}_key"  # a name that neither column has
+    rows = docs.select(id_col, text_col, _row_key(id_col, text_col).alias(key))
+    merged = None
+    while block is not None:
+        found = rows.select(key, text_col).mapInArrow(_scan(Windows(block, n), key, text_col, True), f"`{key}` string, {counts}{places}")
+        found = stored(found.filter("n_hit > 0").select(key, "items", "spans"), "contamination-hits")
+        merged = found if merged is None else merged.unionByName(found)
+        block, after = after, next(blocks, None)
+    merged = merged.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
+    return rows.join(merged, key, "left").mapInArrow(_recount(id_col, text_col), f"`{id_col}` {kind}, {counts}{places}")
+
+
+def _row_key(id_col: str, text_col: str):
+    return F.concat(F.sha2(F.coalesce(text_col, F.lit("")), 256), F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")))
 
 
 def _recount(id_col: str, text_col: str):
@@ -188,17 +193,20 @@ def is_contaminated(share: int = HIT_SHARE):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = HIT_SHARE, **options) -> DataFrame:
     """``docs`` without the rows that are contaminated; all other rows and columns stay as they are.
 
-    Only ids of contaminated rows are joined, by a left anti join on the id; rows with a null id stay.
+    Only keys of contaminated rows are joined, by a left anti join.
     """
-    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).filter(is_contaminated(share))
-    return docs.join(bad.select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    key = max(docs.columns, key=len) + "_key"  # a name that no column has
+    keyed = docs.withColumn(key, _row_key(id_col, text_col))
+    bad = contamination(keyed, benchmark, id_col=key, text_col=text_col, **options).filter(is_contaminated(share))
+    return keyed.join(bad.select(key).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the hit spans cut out of the text, each row otherwise as it is; ids must be distinct."""
-    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, spans=True, **options).filter("n_hit > 0")
-    other, found_spans = (max(docs.columns, key=len) + x for x in ("_id", "_spans"))  # names that no column has
-    found = found.select(F.col(id_col).alias(other), F.col("spans").alias(found_spans))
+    """``docs`` with the hit spans cut out of the text, each row otherwise as it is."""
+    key, found_spans = (max(docs.columns, key=len) + x for x in ("_key", "_spans"))  # names that no column has
+    keyed = docs.withColumn(key, _row_key(id_col, text_col))
+    found = contamination(keyed, benchmark, id_col=key, text_col=text_col, spans=True, **options).filter("n_hit > 0")
+    found = found.select(key, F.col("spans").alias(found_spans)).dropDuplicates([key])
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -213,7 +221,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
         return texts.combine(spans, one) if len(texts) else texts
 
-    joined = docs.join(found, F.col(id_col) == F.col(other), "left")
+    joined = keyed.join(found, key, "left")
     return joined.withColumn(text_col, cut(F.col(text_col), F.col(found_spans))).select(*docs.columns)
 
 

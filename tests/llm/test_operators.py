@@ -81,6 +81,24 @@ def test_contamination(spark, docs, texts, block):
     assert not brute_contamination(cut, [items[0]])[40][1] and cut[44] is None
 
 
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_contamination_of_repeated_and_null_ids(spark, block):
+    rng = random.Random(5)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    items = [(str(i), fresh(15)) for i in range(6)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    clean, twice = fresh(30), f"{fresh(4)} {items[2][1]} {items[3][1]} {fresh(3)}"
+    rows = [(None, f"{fresh(5)} {items[0][1]}"), (None, clean), (None, None), (5, items[1][1]), (5, fresh(20)), (5, twice), (5, twice), (6, clean)]
+    df = spark.createDataFrame([(i, t, "s", "k", "z") for i, t in rows], SCHEMA).repartition(3)
+    brute = brute_contamination(dict(enumerate(t for _, t in rows)), items)
+    got = collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.contamination(df, bench, block_windows=block).collect())
+    assert got == collections.Counter((i, n, hit, tuple(found)) for (i, _), (n, hit, found) in zip(rows, brute.values(), strict=True))
+    kept = collections.Counter((r.doc_id, r.text) for r in decontaminate.drop_contaminated(df, bench, block_windows=block).collect())
+    assert kept == collections.Counter(x for x, (_, hit, _) in zip(rows, brute.values(), strict=True) if not hit)
+    cut = decontaminate.remove_spans(df, bench, block_windows=block).collect()
+    assert len(cut) == len(rows) and not any(x[1] for x in brute_contamination(dict(enumerate(r.text for r in cut)), items).values())
+
+
 def test_contamination_of_nothing(spark, nothing, docs):
     bench = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.contamination(nothing, bench).count() == 0

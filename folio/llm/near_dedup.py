@@ -3,27 +3,33 @@
 A text's five-word shingles are labelled with their occurrence (the same shingle for the second time is another
 element).  For each of ``SKETCHES`` hash functions the ``PICK`` least elements are taken and kept in the order in
 which they stand in the text; a sketch is equal for two texts only if they share those elements in that order, so
-it follows edit similarity rather than the bare set overlap.  Texts that share a sketch are candidates.
+it follows edit similarity rather than the bare set overlap.  Texts that share a sketch are candidates.  A pair of
+similarity 0.8 shares none with a probability of (1 - 0.8 ** PICK) ** SKETCHES, about 1 in 100,000.
 
 Similarity is that of an alignment of the two shingle sequences, matched shingles over all different places:
 m / (a + b - m) >= ``SIMILARITY``.  At that similarity a match lies within a band around the diagonal that the
-lengths fix, and the longest common subsequence is computed in that band on bit rows.
-
-Exact copies collapse first, so a group of copies costs one text.  Within a sketch's group the text that shares most
-sketches with others at all is verified against every member and leaves the group; a group whose members are all
-linked to it is done.  The members of any other group are dealt anew by one more sketch that they share, up to
-``DEPTH`` in all, which parts texts that have a passage in common from those that are similar: a pair at the least
-similarity shares about half of its sketches.  What is then left of a group goes on by its foremost ``MORE`` members
-at a time, each against the others that no link joins to it; signatures of single shingles turn unlikely pairs down
-before their texts are read.  So hot groups cost about a pair for each text, and nothing is capped; only families
-of many texts that are almost similar to each other (most of each in common, yet less than the least similarity)
-cost pairs by the square of the family.
-Classes are the components of the verified links, found by label propagation with pointer jumping on tables in the
-shared folder.
+lengths fix, and the longest common subsequence is computed in that band on bit rows as wide as the band.
+
+Exact copies collapse first, so a group of copies costs one text.  What a sketch's group costs is linear in it:
+
+1. Its head, the text that shares most sketches with others at all, is verified against every other member.  The
+   components of those links label the texts; a group of one label is done.
+2. Members of a small group (``FEW``) that have different labels are verified with each other.
+3. Members of larger open groups are compared by exact bounds first.  Shingles that stand in more than ``RARE`` of
+   these texts are common ones, the others are rare.  Two texts have no more in common than the rare shingles they
+   share, which are counted over lists of at most RARE texts, and the smaller number of common ones.  A pair that
+   shares no rare shingle can only be similar if both texts consist of common ones for the most part; such texts
+   meet those of other labels in their groups.  Whatever the bound does not turn down for certain is verified.
+
+Nothing is capped or sampled, and no pair that shares a sketch is turned down but by a bound.  Pairs can only become
+many where many texts of a group consist of passages that many others hold too and are yet below the least
+similarity.  Classes are the components of the verified links, found by label propagation with pointer jumping on
+tables in the shared folder.
 
 Defined results: a text without words (null or empty too) is a class of its own; a text of fewer than five words is
-one shingle; rows with equal ids are told apart by their texts and share a class if those are similar; ties go to
-the smaller id; extra columns are kept.
+one shingle; rows are told apart by themselves, so rows with equal ids or none are judged each by its text; the row
+with the least id stays (null ids last, then any one); class_id is the least id of a class, null if it has none;
+very long texts cost memory by their length alone; an empty table gives an empty one; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -32,27 +38,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import kernels, scratch
 
 SHINGLE = 5
-SKETCHES = 20
+SKETCHES = 16
 PICK = 3
 SIMILARITY = 0.8
-#: Sketches that a group's members share at most before it goes on member by member.
-DEPTH = 3
-#: Members of a group whose open pairs are all verified before that depth, and members of a group that meet all
-#: others in one round at it.
+#: Members of a group whose open pairs are all verified.
 FEW = 8
-MORE = 128
-#: Least values of single shingles, 16 bits each, that tell unlikely pairs before their texts are read.
-SIGNATURE = 64
-AGREE = 40
-#: Pairs that one copy of a group's least text serves.
+#: Texts that a rare shingle stands in at most.
+RARE = 8
+#: Pairs that one copy of a text serves, and members of a group that meet in one task.
 SALT_ROWS = 500
 _SEEDS = kernels.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_LABEL = np.uint64(0xA24BAED4963EE407)
+#: Positions of one shingle beyond which they are kept as a bit row.
+_MANY = 64
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +87,14 @@ def occurrences(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Shingle hashes that tell a text's repetitions of one shingle apart."""
+    return kernels.mix(h + occurrences(h, at).astype(np.uint64) * _LABEL)
+
+
 def sketches(h: np.ndarray, at: np.ndarray, pick: int = PICK, seeds: np.ndarray = _SEEDS) -> np.ndarray:
     """A row of sketch hashes for each text that has shingles; rows of other texts are 0."""
-    labelled = kernels.mix(h + occurrences(h, at).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    elements = labelled(h, at)
     full = np.flatnonzero(np.diff(at) > 0)
     out = np.zeros((len(at) - 1, len(seeds)), np.uint64)
     if not len(full):
@@ -96,7 +105,7 @@ def sketches(h: np.ndarray, at: np.ndarray, pick: int = PICK, seeds: np.ndarray
     place = np.arange(len(h))
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     for s, seed in enumerate(seeds):
-        v = (labelled ^ seed) * np.uint64(0x9E3779B97F4A7C15)
+        v = (elements ^ seed) * np.uint64(0x9E3779B97F4A7C15)
         v ^= v >> np.uint64(32)
         picked = np.full((len(full), pick), -1, np.int64)
         for k in range(pick):
@@ -110,40 +119,49 @@ def sketches(h: np.ndarray, at: np.ndarray, pick: int = PICK, seeds: np.ndarray
         picked.sort(axis=1)
         row = np.full(len(full), np.uint64(s + 1))
         for k in range(pick):
-            row = kernels.mix(row * np.uint64(31) + np.where(picked[:, k] >= 0, labelled[picked[:, k]], np.uint64(0)))
+            row = kernels.mix(row * np.uint64(31) + np.where(picked[:, k] >= 0, elements[picked[:, k]], np.uint64(0)))
         out[full, s] = row
     return out
 
 
 def common_in_band(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Length of the longest common subsequence of matches at most ``band`` off the diagonal."""
-    n = len(a)
-    rows: dict[int, int] = {}
+    """Length of the longest common subsequence of matches at most ``band`` off the diagonal.
+
+    The bit row holds the places of ``a`` within the band around the place reached in ``b``; places that the band
+    has left are counted and shifted out.
+    """
+    places: dict[int, list[int] | int] = {}
     for i, x in enumerate(a.tolist()):
-        rows[x] = rows.get(x, 0) | 1 << i
-    full = (1 << n) - 1
-    v = full
-    width = (1 << (2 * band + 1)) - 1
+        places.setdefault(x, []).append(i)
+    for x, own in places.items():
+        if len(own) > _MANY:
+            bits = np.zeros(len(a), np.uint8)
+            bits[own] = 1
+            places[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    width = 2 * band + 1
+    full = (1 << width) - 1
+    v, low, left = full, -band, 0  # bit k of the row is place low + k
     for j, x in enumerate(b.tolist()):
-        m = rows.get(x)
-        if m is None:
+        own = places.get(x)
+        if own is None:
             continue
-        m &= width << (j - band) if j >= band else width >> (band - j)
+        step = j - band - low
+        if step:
+            gone = min(step, width)
+            left += gone - (v & ((1 << gone) - 1)).bit_count()
+            v = (v >> gone) | (full ^ (full >> gone))
+            low += step
+        if isinstance(own, int):
+            m = (own >> low if low >= 0 else own << -low) & full
+        else:
+            m = 0
+            for i in own:
+                if low <= i <= low + 2 * band:
+                    m |= 1 << (i - low)
         u = v & m
         if u:
             v = ((v + u) | (v - u)) & full
-    return n - v.bit_count()
-
-
-def signatures(h: np.ndarray, at: np.ndarray, size: int = SIGNATURE) -> np.ndarray:
-    """For each text with shingles the low bits of the least value of ``size`` hash functions."""
-    labelled = kernels.mix(h + occurrences(h, at).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    full = np.flatnonzero(np.diff(at) > 0)
-    out = np.zeros((len(full), size), np.int16)
-    for k in range(size if len(full) else 0):
-        v = (labelled ^ kernels.mix(np.array([k + 1000], np.uint64))[0]) * np.uint64(0x9E3779B97F4A7C15)
-        out[:, k] = (np.minimum.reduceat(v, at[:-1][full]) >> np.uint64(20)).astype(np.uint16).view(np.int16)
-    return out
+    return left + width - v.bit_count()
 
 
 def most_common(a: np.ndarray, b: np.ndarray) -> int:
@@ -179,20 +197,29 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns but the text, and the sketches; those of a text without words are null."""
     for rows, raw, offsets in kernels.chunks(batches, "text"):
         h, at = shingles(raw, offsets)
-        s, signature = sketches(h, at), signatures(h, at)
+        s = sketches(h, at)
         full = np.diff(at) > 0
-        keep = pa.array(full)
+        ends = np.concatenate([[0], np.cumsum(full)]) * s.shape[1]
         flat = pa.array(s[full].reshape(-1).view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [rows.column(0).filter(keep), pa.ListArray.from_arrays(pa.array(np.arange(int(full.sum()) + 1, dtype=np.int32) * s.shape[1]), flat), pa.FixedSizeListArray.from_arrays(pa.array(signature.reshape(-1)), SIGNATURE).cast(pa.list_(pa.int16()))], names=["key", "sketches", "signature"]
-        )
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat, mask=pa.array(~full))
+        kept = [n for n in rows.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(n)) for n in kept), lists], names=[*kept, "sketches"])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, token) of all labelled shingles."""
+    for rows, raw, offsets in kernels.chunks(batches, "text"):
+        h, at = shingles(raw, offsets)
+        owner = np.repeat(rows.column(rows.schema.get_field_index("key")).to_numpy(), np.diff(at))
+        yield pa.RecordBatch.from_pydict({"key": pa.array(owner), "token": pa.array(labelled(h, at).view(np.int64))})
 
 
 def _verify(least: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, np.ndarray] = {}
+        memo: dict[int, np.ndarray] = {}
 
         def of(text: str) -> np.ndarray:
             raw = np.frombuffer(text.encode(), np.uint8)
@@ -200,20 +227,19 @@ def _verify(least: float):
 
         for batch in batches:
             score = []
-            for mine, theirs in zip(batch.column(2), batch.column(3), strict=True):
-                theirs = theirs.as_py()
-                if theirs not in memo:
-                    if len(memo) > 64:
+            for a, mine, theirs in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a not in memo:
+                    if len(memo) > 16:
                         memo.clear()
-                    memo[theirs] = of(theirs)
-                score.append(similarity(memo[theirs], of(mine.as_py()), least))
+                    memo[a] = of(theirs.as_py())
+                score.append(similarity(memo[a], of(mine.as_py()), least))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["a", "b", "score"])
 
     return verify
 
 
 def _scored(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b, score) of distinct pairs of keys with a < b; texts of b meet first, then salted copies of those of a."""
+    """(a, b, score) of distinct pairs of keys; texts of b meet first, then salted copies of those of a."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
     copies = texts.join(salts.hint("shuffle_hash"), F.col("key") == F.col("a")).select("a", F.col("text").alias("a_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -222,77 +248,70 @@ def _scored(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(_verify(least), "a long, b long, score double")
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """Adds to (grp, key, weight, label, last) rows their group's size and head; groups of one label are done."""
-    stats = rows.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.max(F.struct("weight", "key")).alias("h")
-    ).filter("n > 1 and least <> most")
-    return rows.join(stats.select("grp", "n", F.col("h.key").alias("head")), "grp")
-
-
-def _labelled(rows: DataFrame, tried: DataFrame) -> DataFrame:
-    """``rows`` with each text labelled by its component of the links verified so far."""
-    good = tried.filter("score > 0")
-    roots = components(good).withColumnRenamed("key", "k")
-    return rows.join(roots, F.col("key") == F.col("k"), "left").withColumn("label", F.coalesce("root", "key")).drop("k", "root")
+def _need(least: float, x: str, y: str):
+    """How many shingles two texts of sizes x and y must have in common."""
+    return (F.col(x) + F.col(y)) * (least / (1 + least)) - 1e-6
 
 
-def _likely(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in ``AGREE`` places or more; at the least similarity all but 2 in 10,000 do."""
-    left = pairs.join(sketched.select(F.col("key").alias("a"), F.col("signature").alias("x")), "a")
-    both = left.join(sketched.select(F.col("key").alias("b"), F.col("signature").alias("y")), "b")
-    return both.filter(F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda e: e)) >= AGREE).select("a", "b")
+def _open_pairs(members: DataFrame, texts: DataFrame, least: float, rare: int) -> DataFrame:
+    """(a, b) of texts of different labels in large groups that no bound keeps below ``least``.
 
-
-def links(texts: DataFrame, *, least: float = SIMILARITY, depth: int = DEPTH, few: int = FEW, more: int = MORE) -> DataFrame:
-    """(a, b, score) of all pairs verified, each once; ``score`` is 0 where a pair is below ``least``.
-
-    ``texts`` has one row (key, text) for each different text.  The links join all that are similar by a chain.
+    ``members`` has (grp, key, label) of all groups to look at, ``texts`` the texts of their keys.
+    """
+    pool = members.select("key", "label").distinct()
+    tokens = scratch.stored(texts.join(pool.hint("shuffle_hash"), "key", "left_semi").mapInArrow(_shingled, "key long, token long"), "near-tokens")
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    told = scratch.stored(tokens.join(counted, "token"), "near-told")
+    sizes = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    common = told.filter(F.col("n") > rare).groupBy("key").agg(F.count(F.lit(1)).alias("common"))
+    facts = pool.join(sizes, "key").join(common, "key", "left").select("key", "label", "size", F.coalesce("common", F.lit(0)).alias("common"))
+    facts = scratch.stored(facts, "near-facts")
+    a, b = (facts.select(*(F.col(c).alias(f"{s}_{c}" if c != "key" else s) for c in facts.columns)) for s in ("a", "b"))
+    differ = F.col("a_label") != F.col("b_label")
+    bound = F.least("a_common", "b_common")
+    # pairs that share rare shingles: each list has at most RARE texts
+    lists = told.filter(F.col("n") <= rare).groupBy("token").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    each = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, rare), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    shared = lists.select(F.explode(each).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared"))
+    by_rare = shared.join(a, "a").join(b, "b").filter(differ & (F.col("shared") + bound >= _need(least, "a_size", "b_size"))).select("a", "b")
+    # pairs of texts that mostly consist of common shingles: those outside a group's largest label meet all others in it
+    dense = scratch.stored(members.select("grp", "key").join(facts.filter(F.col("common") >= least * F.col("size") - 1e-6), "key"), "near-dense")
+    by_label = dense.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = by_label.groupBy("grp").agg(F.count(F.lit(1)).alias("labels"), F.ceil(F.sum("n") / SALT_ROWS).cast("int").alias("salts"), F.max(F.struct("n", "label")).alias("most")).filter("labels > 1")
+    groups = groups.select("grp", "salts", F.col("most.label").alias("most"))
+    placed = dense.join(groups, "grp")
+    mine = placed.filter("label <> most").select("grp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"a_{c}" if c != "key" else "a") for c in facts.columns))
+    others = placed.select("grp", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), *(F.col(c).alias(f"b_{c}" if c != "key" else "b") for c in facts.columns))
+    by_common = mine.join(others, (mine["grp"] == others["grp"]) & (mine["salt"] == others["salt"]) & differ & (bound >= _need(least, "a_size", "b_size")))
+    return by_rare.unionByName(by_common.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
+def links(sketched: DataFrame, texts_of, *, least: float = SIMILARITY, few: int = FEW, rare: int = RARE) -> DataFrame:
+    """(a, b, score) of verified pairs; ``score`` is 0 where a pair is below ``least``.
+
+    ``sketched`` has (key, sketches) of each different text; ``texts_of`` gives (key, text) of a table of keys.
+    The links join all texts that are similar by a chain of pairs that share a sketch.
     """
-    sketched = scratch.stored(texts.mapInArrow(_sketch, "key long, sketches array<long>, signature array<smallint>"), "near-sketches")
-    places = sketched.select("key", F.posexplode("sketches").alias("last", "grp"))
+    places = sketched.select("key", F.explode("sketches").alias("grp"))
     shared = places.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = scratch.stored(places.join(shared, "grp"), "near-met")
-    weights = met.groupBy("key").agg(F.sum("n").alias("weight"))
-    rows = scratch.stored(_groups(met.drop("n").join(weights, "key").withColumn("label", F.col("key"))), "near-groups")
-    texts = scratch.stored(texts.join(weights.hint("shuffle_hash"), "key", "left_semi"), "near-texts")
-    tried = None
-
-    def verify(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-        """What was tried, and those of the pairs that were not."""
-        pairs = pairs.distinct()
-        if tried is None:
-            return scratch.stored(_scored(pairs, texts, least), "near-scored")
-        known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        return scratch.stored(tried.unionByName(_scored(pairs.join(known, ["a", "b"], "left_anti"), texts, least)), "near-scored")
-
-    shares = 1
-    while not rows.isEmpty():
-        if shares < depth:
-            pairs, gone = rows.filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")), F.col("key") == F.col("head")
-        else:
-            # the members that share most come first; each meets those after it that no link joins to it yet
-            ranked = scratch.stored(rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("weight"), "key"))), "near-ranked")
-            gone = F.col("rank") <= more
-            other = ranked.select("grp", F.col("key").alias("b"), F.col("label").alias("b_label"), F.col("rank").alias("b_rank"))
-            pairs = ranked.filter(gone).join(other, "grp").filter((F.col("rank") < F.col("b_rank")) & (F.col("label") != F.col("b_label")))
-            pairs = _likely(pairs.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct(), sketched)
-            rows = ranked
-        tried = verify(pairs, tried)
-        rest = scratch.stored(_groups(_labelled(rows.filter(~gone).select("grp", "key", "weight", "last"), tried)), "near-rest")
-        if shares < depth:
-            small = rest.filter(F.col("n") <= few).select("grp", "key", "label")
-            other = small.select("grp", F.col("key").alias("b"), F.col("label").alias("b_label"))
-            pairs = small.join(other, "grp").filter((F.col("key") < F.col("b")) & (F.col("label") != F.col("b_label"))).select(F.col("key").alias("a"), "b")
-            tried = verify(_likely(pairs.distinct(), sketched), tried)
-            dealt = rest.filter(F.col("n") > few).join(sketched.select("key", "sketches"), "key").select("grp", "key", "weight", F.col("last").alias("was"), F.posexplode("sketches").alias("last", "sketch"))
-            rest = dealt.filter("last > was").select(F.xxhash64("grp", "sketch").alias("grp"), "key", "weight", "last")
-            shares += 1
-            rest = scratch.stored(_groups(_labelled(rest, tried)), "near-groups")
-        rows = rest
-    if tried is None:
-        return texts.sparkSession.createDataFrame([], "a long, b long, score double")
-    return tried
+    weights = scratch.stored(met.groupBy("key").agg(F.sum("n").alias("weight")), "near-weights")
+    heads = met.join(weights, "key").groupBy("grp").agg(F.max(F.struct("weight", "key")).alias("h")).select("grp", F.col("h.key").alias("head"))
+    star = scratch.stored(met.join(heads, "grp").filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(), "near-star")
+    texts = scratch.stored(texts_of(weights.select("key")), "near-texts")
+    first = scratch.stored(_scored(star, texts, least), "near-first")
+    roots = components(first.filter("score > 0")).withColumnRenamed("key", "k")
+    members = met.join(roots, F.col("key") == F.col("k"), "left").select("grp", "key", F.coalesce("root", "key").alias("label"))
+    members = scratch.stored(members, "near-members")
+    groups = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("n > 2 and x <> y").select("grp", "n")
+    rows = scratch.stored(members.join(groups, "grp"), "near-open")
+    small = rows.filter(F.col("n") <= few)
+    other = small.select("grp", F.col("key").alias("b"), F.col("label").alias("b_label"))
+    pairs = small.join(other, "grp").filter((F.col("key") < F.col("b")) & (F.col("label") != F.col("b_label"))).select(F.col("key").alias("a"), "b")
+    large = rows.filter(F.col("n") > few).select("grp", "key", "label")
+    pairs = pairs.unionByName(_open_pairs(large, texts, least, rare)).distinct()
+    known = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return first.unionByName(scratch.stored(_scored(pairs.join(known, ["a", "b"], "left_anti"), texts, least), "near-second"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -313,39 +332,47 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("key", "root")
 
 
-def text_key(text):
-    """A key of a text's letters and digits, lower-cased; null where it has none."""
-    words = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-    return F.when(words != "", F.xxhash64(words))
+def _judged(rows: DataFrame, docs: DataFrame, text_col: str, least: float) -> DataFrame:
+    """(row, id, class_id, class_size, is_kept) from rows of (row, id, digest, sketches); texts are read from ``docs``."""
+    distinct = rows.filter("sketches is not null").groupBy("digest").agg(F.min("row").alias("key"))
+    distinct = scratch.stored(distinct, "near-distinct")
+    sketched = scratch.stored(rows.join(distinct.select("key").hint("shuffle_hash"), F.col("row") == F.col("key")).select("key", "sketches"), "near-sketches")
+
+    def texts_of(keys: DataFrame) -> DataFrame:
+        wanted = scratch.limited(scratch.stored(distinct.join(keys, "key"), "near-wanted"))
+        found = docs.select(scratch.digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text")).join(wanted, "digest")
+        return found.groupBy("key").agg(F.first("text").alias("text"))
+
+    roots = components(links(sketched, texts_of, least=least).filter("score > 0")).withColumnRenamed("key", "k")
+    named = distinct.join(roots, F.col("key") == F.col("k"), "left").select("digest", F.coalesce("root", "key").alias("root"))
+    # the few rows of a digest are summed up before classes are, so that groups of copies send a row for each task
+    told = rows.filter("sketches is not null").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
+    per_digest = scratch.stored(told.join(named, "digest"), "near-named")
+    per_root = per_digest.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    per_digest = per_digest.select("digest", "root").join(per_root, "root").select("digest", F.col("first.id").alias("class_id"), F.col("first.row").alias("kept"), "n")
+    alone = F.col("sketches").isNull()
+    joined = rows.join(scratch.stored(per_digest, "near-classes"), "digest", "left")
+    return joined.select(
+        "row", "id", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("n")).cast("long").alias("class_size"), (alone | (F.col("row") == F.col("kept"))).alias("is_kept")
+    )
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(id, key, class_id, class_size, is_kept) for each row; class_id is the least id of the class."""
-    keyed = scratch.stored(docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key")), "near-keys")
-    firsts = keyed.filter("key is not null").groupBy("key").agg(F.min("id").alias("first"))
-    first_rows = scratch.stored(firsts, "near-firsts")
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(first_rows.hint("shuffle_hash"), F.col("id") == F.col("first")).filter(text_key(F.col("text")) == F.col("key"))
-    texts = scratch.stored(chosen.select("key", "text").dropDuplicates(["key"]), "near-distinct") if _repeats(keyed) else chosen.select("key", "text")
-    roots = components(links(texts, least=least).filter("score > 0"))
-    named = first_rows.join(roots, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    least_id = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    per_key = named.join(least_id, "root").select("key", "class_id")
-    rows = keyed.join(per_key, "key", "left").select("id", "key", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
-    sizes = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
-    return rows.join(sizes.withColumnRenamed("class_id", "c"), F.col("class_id") == F.col("c"), "left").select(
-        F.col("id").alias(id_col), "key", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("is_kept")
-    )
-
-
-def _repeats(keyed: DataFrame) -> bool:
-    """Whether an id stands in more than one row, so that joins by id may repeat a text."""
-    return not keyed.groupBy("id").count().filter("count > 1").isEmpty()
+    """(id, class_id, class_size, is_kept) for each row; class_id is the least id of the class."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sketched = own.withColumn("digest", scratch.digest(F.col("text"))).mapInArrow(_sketch, f"id {own.schema['id'].dataType.simpleString()}, digest binary, sketches array<long>")
+    rows = scratch.stored(sketched.withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    found = _judged(rows, own, "text", least)
+    return found.select(F.col("id").alias(id_col), "class_id", "class_size", "is_kept")
 
 
 def dedup_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class, that of the least id; rows without words all stay."""
-    gone = classes(docs, id_col=id_col, text_col=text_col, least=least).filter(~F.col("is_kept")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    numbered, number = scratch.numbered(docs)
+    own = numbered.select(F.col(number).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sketched = own.withColumn("digest", scratch.digest(F.col("text"))).mapInArrow(_sketch, f"row long, id {own.schema['id'].dataType.simpleString()}, digest binary, sketches array<long>")
+    gone = _judged(scratch.stored(sketched, "near-rows"), own, "text", least).filter(~F.col("is_kept")).select(F.col("row").alias(number))
+    return scratch.without(numbered, gone, number).select(*docs.columns)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

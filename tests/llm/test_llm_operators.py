@@ -156,34 +156,120 @@ def test_banded_similarity_is_exact_above_the_threshold():
         assert got == pytest.approx(want if want >= 0.8 else 0.0)
 
 
+def brute_classes(rows):
+    """The least id of each row's class, by all pairs; rows are (id, text) and keyed by their number."""
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    shingled = [shingle_sequence(t) for _, t in rows]
+    full = [k for k in range(len(rows)) if shingled[k]]
+    for n, a in enumerate(full):
+        for b in full[n + 1 :]:
+            x, y = shingled[a], shingled[b]
+            if find(a) == find(b) or min(len(x), len(y)) < 0.8 * max(len(x), len(y)):
+                continue
+            common = sum((collections.Counter(x) & collections.Counter(y)).values())
+            if common >= 0.8 * (len(x) + len(y) - common) and ordered_similarity(x, y) >= 0.8:
+                parent[find(b)] = find(a)
+    members = collections.defaultdict(list)
+    for k in range(len(rows)):
+        members[find(k)].append(k)
+    return [min((rows[k][0] is None, rows[k][0] or 0) for k in members[find(k)]) for k in range(len(rows))], len(members)
+
+
 def test_near_classes(spark, texts):
     rng = random.Random(11)
     base = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(200))
-    rows = dict(texts)
+    rows = [(i, t) for i, t in texts.items() if i != 47]
     for i in range(100, 130):
         w = base.split()
         w[rng.randint(0, 199)] = f"n{i}"
-        rows[i] = " ".join(w)
-    rows[130] = base.upper()
-    df = spark.createDataFrame([(i, t, "s", "k", "z") for i, t in rows.items()], SCHEMA)
+        rows.append((i, " ".join(w)))
+    rows += [(130, base.upper()), (47, texts[47])]
+    df = spark.createDataFrame([(i, t, "s", "k", "z") for i, t in rows], SCHEMA)
     got = {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()}
-    parent = {i: i for i in rows}
+    want, n = brute_classes(rows[:-1])
+    assert got == {i: c for (i, _), (_, c) in zip(rows, want, strict=False)} | {47: 47}
+    kept = near_dedup.dedup_near(df)
+    assert kept.columns == df.columns and kept.count() == n + 1
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    shingled = {i: shingle_sequence(t) for i, t in rows.items()}
-    ids = [i for i in rows if shingled[i] and i != 47]
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            n, m = len(shingled[a]), len(shingled[b])
-            if min(n, m) >= 0.8 * max(n, m) and find(a) != find(b) and ordered_similarity(shingled[a], shingled[b]) >= 0.8:
-                parent[max(find(a), find(b))] = min(find(a), find(b))
-    assert got == {i: find(i) for i in rows}
-    kept = near_dedup.dedup_near(df)
-    assert kept.columns == df.columns and kept.count() == len(set(got.values()))
+def edited(rng, base, edits):
+    w = base.split()
+    for k in rng.sample(range(len(w)), edits):
+        w[k] = f"e{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_near_classes_of_families(spark):
+    """Groups larger than FEW: edits of one text, texts around one passage, and pairs inside them that only bounds find."""
+    rng = random.Random(23)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    base, passage = fresh(150), fresh(120)
+    rows = [edited(rng, base, rng.randrange(9)) for _ in range(60)]
+    around = [f"{fresh(25)} {passage} {fresh(25)}" for _ in range(40)]
+    rows += around + [edited(rng, t, 1) for t in around[:12]]
+    blocks = [fresh(40) for _ in range(6)]
+    rows += [" ".join([*rng.sample(blocks, 4), fresh(5)]) for _ in range(40)]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame([(i, t, "s", "k", "z") for i, t in rows], SCHEMA).repartition(5)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()}
+    want, n = brute_classes(rows)
+    assert [got[i] for i, _ in rows] == [c for _, c in want] and n < len(rows) - 20
+
+
+def test_near_recall_close_to_the_threshold(spark, capsys):
+    rng = random.Random(31)
+    rows, pairs = [], []
+    for k in range(400):
+        x = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(60, 300))]
+        y = edited(rng, " ".join(x), rng.randint(1, max(1, len(x) // 45)))
+        rows += [(2 * k, " ".join(x)), (2 * k + 1, y)]
+        s = ordered_similarity(shingle_sequence(rows[-2][1]), shingle_sequence(y))
+        if 0.8 <= s < 0.9:
+            pairs.append(k)
+    df = spark.createDataFrame([(i, t, "s", "k", "z") for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()}
+    recall = sum(got[2 * k] == got[2 * k + 1] for k in pairs) / len(pairs)
+    with capsys.disabled():
+        print(f" recall of {len(pairs)} pairs of similarity 0.8 to 0.9: {recall:.4f}")
+    assert len(pairs) > 100 and recall >= 0.99
+
+
+def test_near_classes_of_repeated_and_null_ids(spark):
+    rng = random.Random(41)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    a, b, c = fresh(80), fresh(80), fresh(80)
+    rows = [(3, a), (7, edited(rng, a, 1)), (7, b), (7, b), (None, c), (None, c), (None, edited(rng, c, 1)), (None, None), (None, ""), (9, "..."), (9, None), (None, fresh(3))]
+    df = spark.createDataFrame([(i, t, "s", "k", str(n)) for n, (i, t) in enumerate(rows)], SCHEMA).repartition(4)
+    kept = collections.Counter((r.doc_id, r.text) for r in near_dedup.dedup_near(df).collect())
+    assert kept[(3, a)] == 1 and kept[rows[1]] == 0 and kept[(7, b)] == 1
+    assert sum(n for (i, t), n in kept.items() if t in (c, rows[6][1])) == 1
+    assert sum(kept.values()) == 3 + 5
+    got = collections.Counter((r.doc_id, r.class_id, r.class_size) for r in near_dedup.classes(df).collect())
+    assert got == collections.Counter({(3, 3, 2): 1, (7, 3, 2): 1, (7, 7, 2): 2, (None, None, 3): 3, (None, None, 1): 3, (9, 9, 1): 2})
+
+
+@pytest.mark.parametrize("words_of", [lambda rng: f"w{rng.randrange(10**9)}", lambda rng: f"w{rng.randrange(3)}"])
+def test_very_long_pair_in_bounded_memory(words_of):
+    import tracemalloc
+
+    rng = random.Random(2)
+    a = [words_of(rng) for _ in range(200_000)]
+    b = [x if rng.random() > 0.004 else f"e{k}" for k, x in enumerate(a)]
+    del b[1000:1400]
+    shingled = []
+    for x in (a, b):
+        raw = np.frombuffer(" ".join(x).encode(), np.uint8)
+        shingled.append(near_dedup.shingles(raw, np.array([0, len(raw)]))[0])
+    tracemalloc.start()
+    assert near_dedup.similarity(*shingled, 0.8) > 0.9
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
 
 
 def test_near_classes_of_nothing(nothing):

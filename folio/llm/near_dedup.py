@@ -19,7 +19,8 @@ Exact copies collapse first, so a group of copies costs one text.  What a sketch
    these texts are common ones, the others are rare.  Two texts have no more in common than the rare shingles they
    share, which are counted over lists of at most RARE texts, and the smaller number of common ones.  A pair that
    shares no rare shingle can only be similar if both texts consist of common ones for the most part; such texts
-   meet those of other labels in their groups.  Whatever the bound does not turn down for certain is verified.
+   meet those of other labels in the first group that they share.  Whatever these bounds do not turn down for certain
+   is verified.
 
 Nothing is capped or sampled, and no pair that shares a sketch is turned down but by a bound.  Pairs can only become
 many where many texts of a group consist of passages that many others hold too and are yet below the least
@@ -253,7 +254,7 @@ def _need(least: float, x: str, y: str):
     return (F.col(x) + F.col(y)) * (least / (1 + least)) - 1e-6
 
 
-def _open_pairs(members: DataFrame, texts: DataFrame, least: float, rare: int) -> DataFrame:
+def _open_pairs(members: DataFrame, texts: DataFrame, sketched: DataFrame, least: float, rare: int) -> DataFrame:
     """(a, b) of texts of different labels in large groups that no bound keeps below ``least``.
 
     ``members`` has (grp, key, label) of all groups to look at, ``texts`` the texts of their keys.
@@ -275,14 +276,17 @@ def _open_pairs(members: DataFrame, texts: DataFrame, least: float, rare: int) -
     shared = lists.select(F.explode(each).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared"))
     by_rare = shared.join(a, "a").join(b, "b").filter(differ & (F.col("shared") + bound >= _need(least, "a_size", "b_size"))).select("a", "b")
     # pairs of texts that mostly consist of common shingles: those outside a group's largest label meet all others in it
-    dense = scratch.stored(members.select("grp", "key").join(facts.filter(F.col("common") >= least * F.col("size") - 1e-6), "key"), "near-dense")
+    mostly = facts.filter(F.col("common") >= least * F.col("size") - 1e-6).join(sketched, "key")
+    dense = scratch.stored(members.select("grp", "key").join(mostly, "key"), "near-dense")
     by_label = dense.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
-    groups = by_label.groupBy("grp").agg(F.count(F.lit(1)).alias("labels"), F.ceil(F.sum("n") / SALT_ROWS).cast("int").alias("salts"), F.max(F.struct("n", "label")).alias("most")).filter("labels > 1")
-    groups = groups.select("grp", "salts", F.col("most.label").alias("most"))
-    placed = dense.join(groups, "grp")
-    mine = placed.filter("label <> most").select("grp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"a_{c}" if c != "key" else "a") for c in facts.columns))
-    others = placed.select("grp", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), *(F.col(c).alias(f"b_{c}" if c != "key" else "b") for c in facts.columns))
-    by_common = mine.join(others, (mine["grp"] == others["grp"]) & (mine["salt"] == others["salt"]) & differ & (bound >= _need(least, "a_size", "b_size")))
+    groups = by_label.groupBy("grp").agg(F.count(F.lit(1)).alias("labels"), F.ceil(F.sum("n") / SALT_ROWS).cast("int").alias("salts"), F.max(F.struct("n", "label")).alias("main")).filter("labels > 1")
+    placed = dense.join(groups.select("grp", "salts", F.col("main.label").alias("main")), "grp")
+    sides = [[F.col(c).alias(f"{side}_{c}" if c != "key" else side) for c in ("key", "label", "size", "common", "sketches")] for side in ("a", "b")]
+    mine = placed.filter("label <> main").select("grp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *sides[0])
+    others = placed.select("grp", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), *sides[1])
+    like = differ & (bound >= _need(least, "a_size", "b_size"))
+    first = F.get(F.array_intersect("a_sketches", "b_sketches"), F.lit(0)) == mine["grp"]
+    by_common = mine.join(others, (mine["grp"] == others["grp"]) & (mine["salt"] == others["salt"]) & like & first)
     return by_rare.unionByName(by_common.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
@@ -309,7 +313,7 @@ def links(sketched: DataFrame, texts_of, *, least: float = SIMILARITY, few: int
     other = small.select("grp", F.col("key").alias("b"), F.col("label").alias("b_label"))
     pairs = small.join(other, "grp").filter((F.col("key") < F.col("b")) & (F.col("label") != F.col("b_label"))).select(F.col("key").alias("a"), "b")
     large = rows.filter(F.col("n") > few).select("grp", "key", "label")
-    pairs = pairs.unionByName(_open_pairs(large, texts, least, rare)).distinct()
+    pairs = pairs.unionByName(_open_pairs(large, texts, sketched, least, rare)).distinct()
     known = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return first.unionByName(scratch.stored(_scored(pairs.join(known, ["a", "b"], "left_anti"), texts, least), "near-second"))
 

@@ -105,12 +105,43 @@ def test_contamination_of_nothing(spark, nothing, docs):
     assert decontaminate.contamination(docs, bench).filter("n_hit > 0").count() == 0
 
 
-def test_importance_on_held_out_labels(spark):
-    docs = scratch.documents(spark, "/root/testdata/sf0.01")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+@pytest.mark.parametrize(("sf", "least_bad"), [("sf0.01", 0.5), ("sf0.1", 0.9)])
+def test_importance_on_held_out_labels(spark, sf, least_bad):
+    docs = scratch.documents(spark, f"/root/testdata/{sf}")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
     got = importance.judged(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id")
-    rates = got.agg(F.avg(F.when(F.expr("quality = 1 and toxic = 0"), F.col("kept").cast("double"))).alias("good"), F.avg(F.when(F.expr("quality = 0"), F.col("kept").cast("double"))).alias("bad")).first()
-    assert rates.good > 0.95 and rates.bad < rates.good
+    rate = lambda x: F.avg(F.when(F.expr(x), F.col("kept").cast("double")))
+    rates = got.agg(rate("quality = 1 and toxic = 0").alias("good"), rate("quality = 0").alias("bad")).first()
+    assert rates.good > 0.95 and rates.bad < 1 - least_bad
+
+
+def test_importance_samples_by_weight(spark):
+    """The greatest key falls on a text as often as its weight says."""
+    weights = [1.0, 2.0, 3.0, 10.0]
+    rows = spark.range(4000).select("id", F.posexplode(F.array(*map(F.lit, weights))).alias("item", "weight"))
+    keyed = rows.withColumn("key", importance.gumbel_key(F.log("weight"), F.struct("id", "item")))
+    won = dict(keyed.groupBy("id").agg(F.max_by("item", "key").alias("item")).groupBy("item").count().collect())
+    for item, w in enumerate(weights):
+        assert abs(won[item] / 4000 - w / sum(weights)) < 0.03
+
+
+def test_importance_counts_against_brute_force(spark):
+    texts = ["aa bb aa", "bb cc bb bb", "aa cc dd", None, "dd dd"]
+    raw = [(t or "").encode() for t in texts]
+    text, bucket, n_words = importance.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    words_only = bucket < importance.PAIRS
+    assert list(n_words) == [3, 4, 3, 0, 2] and words_only.sum() == 12
+    pairs = (bucket >= importance.PAIRS) & (bucket < importance.HEADS)
+    assert collections.Counter(text[pairs].tolist()) == {0: 2, 1: 3, 2: 2, 4: 1}
+
+
+def test_resample_drops_rows_not_ids(spark):
+    junk, fine = "zz## qq## " * 40, "river stone law road tree "
+    rows = [(k, (fine * (k % 5 + 3) if k % 4 else junk)) for k in range(400)] + [(1, junk), (None, junk), (None, fine * 4), (None, fine * 4)]
+    df = spark.createDataFrame([(i, t, "s", "k", "z") for i, t in rows], SCHEMA)
+    labels = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(2, 300)], "doc_id long, quality int, toxic int")
+    kept = collections.Counter((r.doc_id, r.text) for r in importance.resample(df, labels).collect())
+    assert kept[(1, fine * 4)] == 1 and kept[(1, junk)] == 0 and kept[(None, junk)] == 0 and kept[(None, fine * 4)] == 2
 
 
 def test_importance_edges(spark, docs, nothing):

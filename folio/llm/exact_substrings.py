@@ -3,7 +3,8 @@
 Every string of ``LENGTH`` bytes holds k-grams, of which the one with the least hash (the first on ties) is its
 anchor.  Equal strings have equal anchors at equal offsets, so the strings that share an anchor can be compared
 apart from all others.  Strings that start one after another and have one anchor form a piece; pieces of anchors
-that stand at two or more places are dealt to shards by anchor.  Equal pieces travel once, with their count.
+that stand at two or more places are dealt to shards by anchor.  Equal pieces travel once, with their count, and
+an anchor whose pieces are all equal needs no sorting, as all its strings are repeated.
 
 In a shard an external induced sort (module ``suffix``) finds every start whose suffix shares LENGTH bytes with
 another one.  Those starts, and all starts of a piece that stands more than once, are repeated strings; their bytes
@@ -11,7 +12,8 @@ are removed from every text that they stand in, judged on the input.
 
 Two scans of the texts find the anchors; texts meet a shuffle only where they are cut or give pieces to a shard.
 Defined results: a null text is empty; matches never cross texts; a row that is there twice repeats
-all its strings; extra columns are ignored.
+all its strings; rows with equal ids or none are told apart by their texts; a very long text is gone through in parts
+that overlap by a string; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,25 +77,32 @@ def _texts(batches: Iterator[pa.RecordBatch], length: int):
 def _scan(length: int, anchor: int, only_anchors: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        names: list[bytes] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            anchors, own, first, count, keys = (np.concatenate([x[k] for x in held]) for k in range(5))
+            anchors, own, first, count, owner = (np.concatenate([x[k] for x in held]) for k in range(5))
             if only_anchors:
-                found, n = np.unique(anchors, return_counts=True)
-                return pa.RecordBatch.from_pydict({"anchor": pa.array(found.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+                order = np.argsort(anchors, kind="stable")
+                anchors, own = anchors[order], own[order].view(np.int64)
+                at = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+                n = np.diff(np.concatenate([at, [len(anchors)]]))
+                return pa.RecordBatch.from_pydict({
+                    "anchor": pa.array(anchors[at].view(np.int64)), "n": pa.array(n.astype(np.int64)), "low": pa.array(np.minimum.reduceat(own, at)), "high": pa.array(np.maximum.reduceat(own, at)),
+                })
             return pa.RecordBatch.from_pydict({
-                "anchor": pa.array(anchors.view(np.int64)), "piece": pa.array(own.view(np.int64)), "key": pa.array(keys), "first": pa.array(first), "starts": pa.array(count.astype(np.int32)),
+                "anchor": pa.array(anchors.view(np.int64)), "piece": pa.array(own.view(np.int64)), "key": pa.array(names, pa.binary()).take(pa.array(owner)), "first": pa.array(first), "starts": pa.array(count.astype(np.int32)),
             })
 
         for rows, i, text, a in _texts(batches, length):
             anchors, own, first, count = pieces(text, length, anchor)
             if len(anchors):
-                held.append((anchors, own, first + a, count, np.full(len(anchors), rows.column(0)[i].as_py(), np.int64)))
+                held.append((anchors, own, first + a, count, np.full(len(anchors), len(names), np.int32)))
+                names.append(b"" if only_anchors else rows.column(0)[i].as_py())
                 size += len(anchors)
             if size > 200_000:
                 yield out()
-                held, size = [], 0
+                held, names, size = [], [], 0
         if held:
             yield out()
 
@@ -152,22 +161,31 @@ RANGES = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """((key, ranges) of texts with repeated strings, by their starts; (key, text) of all texts that hold an anchor twice found)."""
     spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
-    counted = rows.mapInArrow(_scan(length, anchor, True), "anchor long, n long")
-    twice = scratch.stored(counted.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "suffix-anchors")
-    found = rows.mapInArrow(_scan(length, anchor, False), "anchor long, piece long, key long, first long, starts int")
-    places = scratch.stored(found.join(twice, "anchor", "left_semi"), "suffix-places")
-    own = places.groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "starts")).alias("x"))
+    rows = docs.select(scratch.row_digest(id_col, text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
+    counted = docs.select(F.lit(0).alias("key"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(_scan(length, anchor, True), "anchor long, n long, low long, high long")
+    anchors = counted.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    twice = scratch.stored(anchors.filter("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("differ")), "suffix-anchors")
+    found = rows.mapInArrow(_scan(length, anchor, False), "anchor long, piece long, key binary, first long, starts int")
+    places = scratch.stored(found.join(twice, "anchor"), "suffix-places")
+    own = places.filter("differ").groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "starts")).alias("x"))
     own = own.select("anchor", "piece", "n", "x.key", "x.first", (F.col("x.starts") + length - 1).alias("size"))
     wanted = own.groupBy("key").agg(F.collect_list(F.struct("anchor", "piece", "n", "first", "size")).alias("wanted"))
     wanted = scratch.stored(places.select("key").distinct().join(wanted, "key", "left"), "suffix-wanted")
     texts = scratch.stored(rows.join(wanted.hint("shuffle_hash"), "key"), "suffix-texts")
-    cut = texts.filter("wanted is not null").select("text", "wanted").mapInArrow(_slices, "anchor long, piece long, n long, bytes binary")
+    cut = texts.filter("wanted is not null")
+    cut = (cut.dropDuplicates(["key"]) if _repeats(texts) else cut).select("text", "wanted")
+    cut = cut.mapInArrow(_slices, "anchor long, piece long, n long, bytes binary")
     size = wanted.select(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda s, x: s + x["size"]))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     ranges = scratch.stored(cut.repartition(shards, "anchor").mapInArrow(_sort_shard(length), "anchor long, piece long, ranges array<struct<start:long,stop:long>>").filter(F.size("ranges") > 0), "suffix-ranges")
-    hits = places.join(ranges, ["anchor", "piece"]).select("key", F.transform("ranges", lambda r: F.struct((r["start"] + F.col("first")).alias("start"), (r["stop"] + F.col("first")).alias("stop"))).alias("ranges"))
-    return hits.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), texts.select("key", "text")
+    sorted_ = places.filter("differ").join(ranges, ["anchor", "piece"]).select("key", F.transform("ranges", lambda r: F.struct((r["start"] + F.col("first")).alias("start"), (r["stop"] + F.col("first")).alias("stop"))).alias("ranges"))
+    equal = places.filter("not differ").select("key", F.array(F.struct(F.col("first").alias("start"), (F.col("first") + F.col("starts")).alias("stop"))).alias("ranges"))
+    return sorted_.unionByName(equal).groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), texts.select("key", "text")
+
+
+def _repeats(texts: DataFrame) -> bool:
+    """Whether a key stands in more than one row, as rows equal in id and text share it."""
+    return not texts.groupBy("key").count().filter("count > 1").isEmpty()
 
 
 def _merged(ranges: list[dict[str, int]], length: int) -> list[tuple[int, int]]:
@@ -187,7 +205,7 @@ def _cut(length: int):
             for key, text, ranges in zip(*(batch.column(i) for i in range(3)), strict=True):
                 raw, spans = text.as_py().encode(), _merged(ranges.as_py(), length)
                 kept = b"".join(raw[b:a] for b, a in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(raw)], strict=True))
-                yield pa.RecordBatch.from_pydict({"key": [key.as_py()], "spans": pa.array([[{"start": a, "stop": b} for a, b in spans]], RANGES), "kept": pa.array([kept], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array([key.as_py()], pa.binary()), "spans": pa.array([[{"start": a, "stop": b} for a, b in spans]], RANGES), "kept": pa.array([kept], pa.binary())})
 
     return cut
 
@@ -195,7 +213,7 @@ def _cut(length: int):
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
     """(key, spans, kept) of each text that loses bytes: byte ranges removed and the bytes that are left."""
     ranges, texts = repeated_ranges(docs, id_col=id_col, text_col=text_col, length=length, **options)
-    return texts.join(ranges.hint("shuffle_hash"), "key").select("key", "text", "ranges").mapInArrow(_cut(length), "key long, spans array<struct<start:long,stop:long>>, kept binary")
+    return texts.join(ranges.hint("shuffle_hash"), "key").select("key", "text", "ranges").mapInArrow(_cut(length), "key binary, spans array<struct<start:long,stop:long>>, kept binary")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +221,7 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
     cut = cut_repeats(docs).select(F.col("key").alias("k"), removed.alias("removed"), F.size("spans").cast("long").alias("spans"), F.sha2("kept", 256).alias("digest")).dropDuplicates(["k"])
     text = F.coalesce("text", F.lit(""))
-    whole = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))
+    whole = docs.select("doc_id", scratch.row_digest("doc_id", "text").alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))
     return whole.join(cut, F.col("key") == F.col("k"), "left").select(
         "doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).alias("n_removed"), F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("digest", "own").alias("kept_sha256")
     )

@@ -67,5 +67,11 @@ def digest(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
+def row_digest(id_col: str, text_col: str) -> Column:
+    """16 bytes of SHA-256 of a row's id and text, which tells nulls from empty values; equal rows share it."""
+    told = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (id_col, text_col))
+    return digest(F.concat_ws(" ", *told))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -424,6 +424,17 @@ def test_repeated_bytes(spark, docs, texts):
         assert sorted(got) == sorted(x for i, b in raw.items() if (x := want.get(hashlib.sha256(b).hexdigest())) is not None)
 
 
+def test_repeated_bytes_of_repeated_and_null_ids(spark):
+    rng = random.Random(6)
+    shared, fresh = "".join(rng.choices("abcdef ", k=260)), lambda n: "".join(rng.choices("uvwxyz ", k=n))
+    rows = [(1, fresh(99) + "1" + shared), (1, shared + "2" + fresh(90)), (None, fresh(19) + "3" + shared + "4" + fresh(9)), (None, fresh(300)), (2, None), (2, ""), (3, fresh(250))]
+    rows += [rows[-1]]
+    df = spark.createDataFrame([(i, t, "s", "k", "z") for i, t in rows], SCHEMA).repartition(3)
+    got = sorted(bytes(r.kept) for r in exact_substrings.cut_repeats(df).collect())
+    assert got == sorted(x.encode() for x in ["", "", rows[0][1][:100], rows[1][1][260:], rows[2][1][:20] + rows[2][1][280:]])
+    assert exact_substrings.cut_repeats(df.filter("false")).count() == 0
+
+
 def test_line_dedup_cuts_later_passages(docs, texts):
     got = {r.doc_id: (r.text, r.lines_cut) for r in line_dedup.dedup_lines(docs, counts=True).collect()}
     assert got[40][0] == texts[40]

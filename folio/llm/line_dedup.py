@@ -12,8 +12,10 @@ Narrow columns only take part in the joins: line hashes, word counts and positio
 texts match is joined through salted copies, as many as its matches ask for.
 
 Defined results: a null text stays null; a run within one text is cut where it stands for the second time; a text
-may end up empty, and its row stays; rows with equal ids are told apart by their texts, and rows equal in
-both are one text, cut alike; extra columns are kept.
+may end up empty, and its row stays; rows with equal ids or none are told apart by their texts, and rows equal in
+both are one text, cut alike; null ids come first; of equally early places the lesser text digest is the first; a
+very long text travels as a hash for each line; an empty table gives an empty one; extra columns are kept, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -121,13 +123,13 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start.append(edges[ends - 1] + 1)
             end.append(edges[ends])
         start, end = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (start, end))
-        yield pa.RecordBatch.from_pydict({"key": pa.array(out_key, pa.int64()), "start": pa.array(start.astype(np.int32)), "end": pa.array(end.astype(np.int32))})
+        yield pa.RecordBatch.from_pydict({"key": pa.array(out_key, pa.binary()), "start": pa.array(start.astype(np.int32)), "end": pa.array(end.astype(np.int32))})
 
 
 def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, window: int = WINDOW) -> DataFrame:
-    """(key, runs) for each text with later repeated runs; key is ``row_key`` and runs are line ranges."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
-    index = scratch.stored(rows.mapInArrow(_index("text", block, window), f"id long, key long, lines array<long>, prints {PRINTS}"), "line-index")
+    """(key, runs) for each text with later repeated runs; key is the row's digest and runs are line ranges."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), scratch.row_digest(id_col, text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
+    index = scratch.stored(rows.mapInArrow(_index("text", block, window), f"id long, key binary, lines array<long>, prints {PRINTS}"), "line-index")
     places = index.select("id", "key", F.explode("prints").alias("x")).select("id", "key", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
     firsts = places.groupBy("h").agg(F.min(F.struct("id", "key", "at")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", F.col("f.id").alias("f_id"), F.col("f.key").alias("f_key"), F.col("f.at").alias("f_at"))
     later = places.join(firsts, "h").filter(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")) & (F.col("at") == F.col("f_at"))))
@@ -139,18 +141,14 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     mine = later.join(lines, "key").join(salts, "f_key").withColumn("salt", F.pmod(F.xxhash64("key", "diagonal"), F.col("salts")).cast("int"))
     theirs = salts.join(lines.withColumnRenamed("key", "f_key"), "f_key").select("f_key", F.col("lines").alias("f_lines"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     pairs = mine.join(theirs, ["f_key", "salt"]).select("key", "lines", "f_lines", "diagonal", "ats")
-    runs = pairs.mapInArrow(_extended, "key long, start int, end int")
+    runs = pairs.mapInArrow(_extended, "key binary, start int, end int")
     return runs.distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def row_key(id_col: str, text_col: str):
-    return F.xxhash64(id_col, text_col)
-
-
-def _cut(out_schema: pa.Schema, text_col: str):
+def _cut(out_schema: pa.Schema, text_col: str, runs_col: str, made_cols: tuple[str, str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in kernels.chunks(batches, text_col):
-            runs = rows.column(rows.schema.get_field_index("__runs"))
+            runs = rows.column(rows.schema.get_field_index(runs_col))
             text = rows.column(rows.schema.get_field_index(text_col))
             texts, lines_cut, words_cut = text.to_pylist(), [0] * len(rows), [0] * len(rows)
             todo = [i for i in range(len(rows)) if runs[i].is_valid]
@@ -167,7 +165,7 @@ def _cut(out_schema: pa.Schema, text_col: str):
                     left = raw[offsets[i] : offsets[i + 1]][keep].tobytes().decode()
                     texts[i] = left[:-1] if left.endswith("\n") and not texts[i].endswith("\n") else left
                     lines_cut[i], words_cut[i] = int(drop.sum()), int(words[a:b][drop].sum())
-            made = {text_col: pa.array(texts, pa.string()), "__lines_cut": pa.array(lines_cut, pa.int64()), "__words_cut": pa.array(words_cut, pa.int64())}
+            made = {text_col: pa.array(texts, pa.string()), **{c: pa.array(n, pa.int64()) for c, n in zip(made_cols, (lines_cut, words_cut), strict=True)}}
             yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else rows.column(rows.schema.get_field_index(f.name)).cast(f.type) for f in out_schema], schema=out_schema)
 
     return cut
@@ -177,12 +175,13 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with later repeated runs cut out of the texts; with ``counts``, also lines_cut and words_cut."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    runs = repeated_runs(docs, id_col=id_col, text_col=text_col, block=block, window=window).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
-    keyed = docs.withColumn("__own", row_key(id_col, text_col))
-    joined = keyed.join(runs.hint("shuffle_hash"), F.col("__own") == F.col("__key"), "left").drop("__own", "__key")
-    schema = docs.select("*", F.lit(0).cast("long").alias("__lines_cut"), F.lit(0).cast("long").alias("__words_cut")).schema
-    out = joined.mapInArrow(_cut(to_arrow_schema(schema), text_col), schema)
-    return out.withColumnsRenamed({"__lines_cut": "lines_cut", "__words_cut": "words_cut"}) if counts else out.drop("__lines_cut", "__words_cut")
+    own, key, runs_col, lines_cut, words_cut = (scratch.fresh(n, *docs.columns) for n in ("own_digest", "run_digest", "runs", "lines_cut", "words_cut"))
+    runs = repeated_runs(docs, id_col=id_col, text_col=text_col, block=block, window=window).select(F.col("key").alias(key), F.col("runs").alias(runs_col))
+    keyed = docs.withColumn(own, scratch.row_digest(id_col, text_col))
+    joined = keyed.join(runs.hint("shuffle_hash"), F.col(own) == F.col(key), "left").drop(own, key)
+    schema = docs.select("*", F.lit(0).cast("long").alias(lines_cut), F.lit(0).cast("long").alias(words_cut)).schema
+    out = joined.mapInArrow(_cut(to_arrow_schema(schema), text_col, runs_col, (lines_cut, words_cut)), schema)
+    return out if counts else out.drop(lines_cut, words_cut)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ rows that repeat an id are rounded each; a source whose texts are all empty has
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import scratch
@@ -36,25 +36,39 @@ def text_size(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, source_size, n, target) from (source, size), in DataFrame operations.
+def ranked_sources(sizes: DataFrame) -> DataFrame:
+    """(source, source_size, n, k) with k the place of a source in code point order, null last.
 
-    Targets are the smaller of ``most`` times the size and weight times one common level.  In the order of
-    most * size / weight the sources at their limit come first, so the level follows from running sums.
+    Sources are sorted in ranges; a range's first place follows from the counts of the ranges before it.
     """
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    ranked = sources.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    placed = scratch.stored(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("place", F.monotonically_increasing_id()), "mix-sources")
+    placed = placed.withColumn("range", F.shiftright("place", 33)).withColumn("k", F.col("place").bitwiseAND((1 << 33) - 1))
+    ranges = sorted((r["range"], r["count"]) for r in placed.groupBy("range").count().collect())  # one row for each partition
+    before = [(at, sum(n for _, n in ranges[:i])) for i, (at, _) in enumerate(ranges)]
+    table = sizes.sparkSession.createDataFrame(before, "range long, before long")
+    return placed.join(F.broadcast(table), "range").select("source", "source_size", "n", (F.col("k") + F.col("before")).alias("k"))
+
+
+def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(source, source_size, n, target) from (source, size).
+
+    Targets are the smaller of ``most`` times the size and weight times one common level.  The level rises as the
+    sources at their limit pass on their excess; each round sums over all sources, and rounds end when no further
+    source reaches its limit.
+    """
+    ranked = ranked_sources(sizes)
     ranked = ranked.withColumn("w", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("k") % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("most", F.col("source_size") * F.lit(most))
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("most") / F.col("w"), "k").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumn("total", F.sum("source_size").over(everything) * F.lit(share)).withColumn("all_w", F.sum("w").over(everything))
-    ranked = ranked.withColumn("level", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.col("all_w") - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    # the first source below its limit sets the level; those before it stand at their limits
-    free = F.min(F.when(F.col("w") * F.col("level") <= F.col("most"), F.struct("most_by_w", "k", "level"))).over(everything)
-    ranked = ranked.withColumn("most_by_w", F.col("most") / F.col("w")).withColumn("free", free)
-    held = F.col("free").isNull() | (F.struct("most_by_w", "k") < F.struct("free.most_by_w", "free.k"))
-    return ranked.select("source", "source_size", "n", F.when(held, F.col("most")).otherwise(F.col("w") * F.col("free.level")).alias("target"))
+    ranked = scratch.stored(ranked.withColumn("most", F.col("source_size") * F.lit(most)), "mix-weights")
+    total = (ranked.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, held = 0.0, -1
+    while True:
+        full = F.col("most") < F.col("w") * level
+        n, taken, free = ranked.agg(F.count_if(full), F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
+        if n == held or not free:
+            break
+        held, level = n, (total - taken) / free
+    return ranked.select("source", "source_size", "n", F.least(F.col("most"), F.col("w") * level).alias("target"))
 
 
 def _rounded(rows: pd.DataFrame) -> pd.DataFrame:
@@ -88,40 +102,42 @@ def _uniform(*cols):
 
 
 def round_fractions(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(source, id, size, p) with each p at 0 or 1, from fractions in [0, 1); sizes are positive."""
-    schema = "source string, id long, size long, p double, n long, draw long, u double, bucket long"
+    """(source, id, size, p) with each p at 0 or 1, from fractions in [0, 1); sizes are positive.
+
+    ``rows`` has (source, id, size, p, n, seed): ids tell rows apart, seeds give the draws, n counts the source.
+    """
+    schema = "source string, id long, size long, p double, n long, seed long, draw long, u double, bucket long"
     level, done = 0, None
     todo = rows
     while True:
         counted = todo if level == 0 else todo.drop("n").join(todo.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         dealt = counted.select(
-            "source", "id", "size", "p", "n",
-            F.xxhash64("id", F.lit(f"order {level}")).alias("draw"), _uniform(F.col("id"), F.lit(f"draw {level}")).alias("u"),
-            F.pmod(F.xxhash64("id", F.lit(f"bucket {level}")), F.ceil(F.col("n") / bucket)).alias("bucket"),
+            "source", "id", "size", "p", "n", "seed",
+            F.xxhash64("seed", F.lit(f"order {level}")).alias("draw"), _uniform(F.col("seed"), F.lit(f"draw {level}")).alias("u"),
+            F.pmod(F.xxhash64("seed", F.lit(f"bucket {level}")), F.ceil(F.col("n") / bucket)).alias("bucket"),
         )
         out = scratch.stored(dealt.groupBy("source", "bucket").applyInPandas(_rounded, schema), "mix-rounded")
         whole = out.filter("p = 0 or p = 1").select("source", "id", "size", "p")
         done = whole if done is None else done.unionByName(whole)
-        todo = out.filter("p > 0 and p < 1").select("source", "id", "size", "p", "n")
+        todo = out.filter("p > 0 and p < 1").select("source", "id", "size", "p", "n", "seed")
         if todo.groupBy("source").count().filter("count > 1").isEmpty():
-            last = todo.select("source", "id", "size", (_uniform(F.col("id"), F.lit("last")) < F.col("p")).cast("double").alias("p"))
+            last = todo.select("source", "id", "size", (_uniform(F.col("seed"), F.lit("last")) < F.col("p")).cast("double").alias("p"))
             return done.unionByName(last)
         level += 1
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, bucket: int = BUCKET) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) for each row of ``docs``."""
-    sizes = scratch.stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size")).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    told = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("seed"))
+    sizes = scratch.stored(told.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     targets = scratch.stored(source_targets(sizes, weights, share, most), "mix-targets").withColumnRenamed("source", "s")
     wanted = sizes.join(targets, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     wanted = wanted.withColumn("copies", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    # a repeated id draws with its row's number among the repetitions
-    again = F.row_number().over(Window.partitionBy("id").orderBy("source", "size", "row"))
-    wanted = scratch.stored(wanted.withColumn("whole", F.floor("copies").cast("long")).withColumn("key", F.xxhash64("id", again)), "mix-wanted")
-    fractions = wanted.filter("size > 0 and copies > whole").select("source", F.col("key").alias("id"), "size", (F.col("copies") - F.col("whole")).alias("p"), "n")
-    rounded = round_fractions(fractions, bucket).filter("p = 1").select(F.col("id").alias("key"), F.lit(1).cast("long").alias("more"))
+    wanted = scratch.stored(wanted.withColumn("whole", F.floor("copies").cast("long")), "mix-wanted")
+    fractions = wanted.filter("size > 0 and copies > whole").select("source", F.col("row").alias("id"), "size", (F.col("copies") - F.col("whole")).alias("p"), "n", "seed")
+    rounded = round_fractions(fractions, bucket).filter("p = 1").select(F.col("id").alias("row"), F.lit(1).cast("long").alias("more"))
     taken = (F.col("whole") + F.coalesce("more", F.lit(0))).cast("long")
-    return wanted.join(rounded, "key", "left").select(
+    return wanted.join(rounded, "row", "left").select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", F.col("target"), F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("copies")
     ).withColumn("taken", F.col("copies") * F.col("size"))
 

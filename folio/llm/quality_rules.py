@@ -5,12 +5,15 @@ the hashes are sorted with their positions, and equal neighbours mark the repeat
 
 The decision list is learned by sequential covering.  All labelled texts are summed up once into counts for
 each combination of threshold bins; a rule grows one threshold condition at a time by the best gain over those
-counts, is pruned from its end against a held-out third of the texts, and is kept if it is precise enough there;
+counts, is pruned from its end against a held-out third of the texts, and is kept if it is precise enough there, by
+its share of bad texts and by the lower bound of that share, so that few held-out texts can do if all of them agree;
 then the texts that it covers go and the next rule is grown.  Rules are emitted as one ordered CASE expression.
 
 Defined results: a null text has no words and fails the base rule; texts without label count for nothing in
 learning; with no labels, or none of one kind, the list is empty and keeps what passes the base rule; a text with
-several labels counts with the smallest quality; rows that repeat an id get a row each; extra columns are ignored.
+several labels counts with the smallest quality; rows that repeat an id or have none get a row each, and null ids have
+no label; ties between conditions go to the last feature and threshold; a text's windows stay in its row, so a very
+long text costs memory by its words; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ BINS = 16
 MAX_RULES = 8
 MAX_CONDITIONS = 3
 MIN_PRECISION = 0.9
+#: Least lower bound of a rule's held-out precision, one standard deviation down.
+MIN_LOWER = 0.6
 MIN_COVER = 0.002
 
 
@@ -115,7 +120,16 @@ def _binned(stats: DataFrame, thresholds: dict[str, list[float]]) -> DataFrame:
     return stats.select("bad", "held", *bins)
 
 
-def learn_rules(labelled: DataFrame, *, features: tuple[str, ...] = FEATURES, bins: int = BINS, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, min_precision: float = MIN_PRECISION, min_cover: float = MIN_COVER) -> list[Rule]:
+def lower_bound(p: float, n: float, z: float = 1.0) -> float:
+    """Wilson's lower bound of the share p / (p + n)."""
+    total = p + n
+    if not total:
+        return 0.0
+    share = p / total
+    return (share + z * z / (2 * total) - z * math.sqrt(share * (1 - share) / total + z * z / (4 * total * total))) / (1 + z * z / total)
+
+
+def learn_rules(labelled: DataFrame, *, features: tuple[str, ...] = FEATURES, bins: int = BINS, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, min_precision: float = MIN_PRECISION, min_lower: float = MIN_LOWER, min_cover: float = MIN_COVER) -> list[Rule]:
     """An ordered list of rules that reject, from rows with the features, ``bad`` and ``held`` (for pruning).
 
     Each step asks Spark for one row of counts; what comes back has one number for each feature, threshold and
@@ -154,10 +168,11 @@ def learn_rules(labelled: DataFrame, *, features: tuple[str, ...] = FEATURES, bi
         if not grown:
             break
         held = rest.filter("held").agg(F.array(*(x for k in range(1, len(grown) + 1) for x in (total(holds(grown[:k]) & F.col("bad")), total(holds(grown[:k]) & ~F.col("bad"))))).alias("x")).first()[0]
-        scored = [((p + 1) / (p + n + 2), p + n, -k) for k, (p, n) in enumerate(zip(held[::2], held[1::2], strict=True), 1)]
-        precision, covered, k = max(scored, key=lambda x: (x[0] >= min_precision, x[1] * x[0] if x[0] >= min_precision else x[0]))
-        if precision < min_precision or covered < min_cover * size * 0.3:
+        scored = [(p / (p + n) if p else 0.0, lower_bound(p, n), p + n, -k) for k, (p, n) in enumerate(zip(held[::2], held[1::2], strict=True), 1)]
+        good = [x for x in scored if x[0] >= min_precision and x[1] >= min_lower and x[2] >= min_cover * size * 0.3]
+        if not good:
             break
+        precision, _, covered, k = max(good, key=lambda x: (x[0] * x[2], x[3]))
         kept = grown[:-k]
         rules.append(Rule(tuple(Condition(f, above, thresholds[f][i]) for f, above, i in kept), precision, int(covered)))
         rest = rest.filter(~holds(kept))
@@ -182,9 +197,9 @@ def first_rule(rules: list[Rule]) -> Column:
 
 def with_labels(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """Labelled rows of ``stats`` with ``bad`` and ``held`` (a third, by a hash of the id)."""
-    quality = labels.filter("quality is not null").groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("__quality"))
-    joined = stats.join(quality, F.col(id_col) == F.col("__id"))
-    return joined.withColumn("bad", F.col("__quality") == 0).withColumn("held", F.pmod(F.xxhash64(id_col), F.lit(3)) == 0).drop("__id", "__quality")
+    quality = labels.filter("quality is not null").groupBy(F.col(id_col).alias("label_id")).agg(F.min("quality").alias("label_quality"))
+    joined = stats.join(quality, F.col(id_col) == F.col("label_id"))
+    return joined.withColumn("bad", F.col("label_quality") == 0).withColumn("held", F.pmod(F.xxhash64(id_col), F.lit(3)) == 0).drop("label_id", "label_quality")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from folio.llm import decontaminate, exact_substrings, importance, license_scan,
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, text string, source string, key string, __id string"
+CLASHING = ("key", "row", "id", "runs", "lines_cut", "words_cut", "own_digest", "run_digest", "row_number", "__key", "__own", "__runs", "sketches", "digest", "label", "n", "size", "seed", "p", "words", "half", "good")
 
 
 def low(text):
@@ -334,6 +335,18 @@ def test_rules_find_a_planted_conjunction(spark):
     assert quality_rules.learn_rules(df.filter("false"), features=("a", "b")) == []
 
 
+def test_rules_of_real_labels(spark):
+    """Learned on half of the labels, the list rejects bad texts of the other half and hardly any good ones."""
+    docs, labels = scratch.documents(spark, "/root/testdata/sf0.01"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    stats = scratch.stored(quality_rules.statistics(docs), "test-statistics").filter(~quality_rules.base_failed())
+    rules = quality_rules.learn_rules(quality_rules.with_labels(stats, labels.filter("doc_id % 2 = 0")))
+    assert rules
+    told = quality_rules.with_labels(stats, labels.filter("doc_id % 2 = 1")).groupBy("bad").agg(F.avg(quality_rules.verdict(rules).cast("double"))).collect()
+    kept = dict((r[0], r[1]) for r in told)
+    assert kept[False] > 0.98 and kept[True] < 0.9
+    assert quality_rules.lower_bound(3, 0) > 0.7 > quality_rules.lower_bound(1, 0) and quality_rules.lower_bound(0, 0) == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "WARC/1.1\r\n".join(["<p>ü</p>" * 3000] * 4)
     rows = [(1, "http://a\r\nX: y", long, 0), (2, None, None, 0), (3, "u", "same " * 50, 0), (4, "u", "same " * 50, 0), (5, "u", "short", 0), (6, "u", "short", 0), (9, "u", long, 0)]
@@ -486,6 +499,28 @@ def test_line_dedup_cuts_all_runs_of_a_diagonal(spark):
     assert got == {i: "\n".join(x) for i, x in want.items()}
 
 
+def test_clashing_names(spark, docs):
+    more = docs.drop("key", "__id").withColumns({c: F.lit(c) for c in CLASHING})
+    bench = spark.createDataFrame([("1", "river salt")], "item_id string, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert line_dedup.dedup_lines(more).columns == more.columns
+    assert sorted(map(str, line_dedup.dedup_lines(more).select("doc_id", "text").collect())) == sorted(map(str, line_dedup.dedup_lines(docs).select("doc_id", "text").collect()))
+    for kept in (near_dedup.dedup_near(more), decontaminate.drop_contaminated(more, bench), decontaminate.remove_spans(more, bench), importance.resample(more, labels)):
+        assert kept.columns == more.columns and kept.filter("lines_cut <> 'lines_cut'").count() == 0
+    for found in (near_dedup.classes(more), mixing.mix(more), quality_rules.statistics(more), license_scan.scan(more), decontaminate.contamination(more, bench), importance.judged(more, labels)):
+        assert found.count() == more.count()
+
+
+def test_empty_tables(spark, nothing, tmp_path):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert mixing.mix(nothing).count() == 0 and license_scan.scan(nothing).count() == 0
+    stats = quality_rules.statistics(nothing)
+    assert quality_rules.learn_rules(quality_rules.with_labels(stats, labels)) == [] and stats.count() == 0
+    assert token_counts.count_tokens(nothing, str(tmp_path / "cache")).count() == 0
+    warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert warc.read_pages(spark, str(tmp_path / "w")).count() == 0
+
+
 def test_line_dedup_of_nothing(nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
@@ -530,10 +565,19 @@ def test_mix(spark, docs, texts):
     assert sorted((r.doc_id, r.taken) for r in mixing.mix(docs, bucket=4).collect()) == sorted((r.doc_id, r.taken) for r in rows)
 
 
+def test_mix_of_repeated_and_null_ids(spark):
+    rows = [(i % 3 if i % 5 else None, "w " * (i % 9 + 1), f"s{i % 4}" if i % 7 else None) for i in range(300)] + [(1, "a b", "s1")] * 4 + [(None, None, None), (None, "", "s9")]
+    df = spark.createDataFrame([(i, t, s, "k", "z") for i, t, s in rows], SCHEMA)
+    got = [sorted(map(str, mixing.mix(x, bucket=16).select("doc_id", "source", "size", "target", "taken").collect())) for x in (df, df.repartition(7))]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    by = mixing.mix(df, bucket=16).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("most"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
+    assert all(abs(r.taken - r.target) <= r.most and r.over <= 0 for r in by)
+
+
 def test_rounding_keeps_inclusion_rates(spark):
     total = 0.0
     for seed in range(3):
-        rows = spark.createDataFrame([("s", seed * 1000 + i, 10 + i % 7, 0.3, 400) for i in range(400)], "source string, id long, size long, p double, n long")
+        rows = spark.createDataFrame([("s", i, 10 + i % 7, 0.3, 400, seed * 1000 + i) for i in range(400)], "source string, id long, size long, p double, n long, seed long")
         out = mixing.round_fractions(rows, 64).collect()
         assert all(r.p in (0.0, 1.0) for r in out) and len(out) == 400
         total += sum(r.p for r in out)

@@ -100,12 +100,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = rows.column(1).to_numpy(zero_copy_only=False)
         keys, n = np.unique(text * BUCKETS + bucket, return_counts=True)
         text, bucket = keys // BUCKETS, keys % BUCKETS
-        raw_n += np.bincount(bucket, n, BUCKETS).astype(np.int64)
-        squares += np.bincount(bucket, n * n, BUCKETS).astype(np.int64)
+        np.add.at(raw_n, bucket, n)
+        np.add.at(squares, bucket, n * n)
         texts += (words > 0).sum()
         for k in (0, 1):
             own = half[text] == k
-            halves[k] += np.bincount(bucket[own], n[own], BUCKETS).astype(np.int64)
+            np.add.at(halves[k], bucket[own], n[own])
             targets[k] += ((half == k) & (words > 0)).sum()
     held = np.flatnonzero(raw_n)
     yield pa.RecordBatch.from_pydict({

@@ -1,21 +1,22 @@
 """License scan by diagonal voting, in DataFrame operations only.
 
-All rolling word k-grams of every text are hashed and joined with the positions of the same hashes in a fixed set
-of license templates.  A hit at text word p and template word q votes for the diagonal p - q; votes of one text,
-template and diagonal are summed, diagonals that are at most ``JOIN`` words apart merge (a word put in or left out
-shifts what follows), and a merged band stands as a span if enough different template k-grams voted in it.
+All rolling word k-grams of every text are hashed and joined with the positions of the same hashes in a table of
+license templates.  A hit at text word p and template word q votes for the diagonal p - q; votes of one text,
+template and diagonal are summed.  Diagonals at most ``JOIN`` words apart merge (a word put in or left out shifts
+what follows) into bands of at most ``WIDTH`` diagonals, which are laid out twice, half a width apart, so that a
+drift of half a width always stands in one band.  Bands with enough different k-grams are then verified word by word
+in the texts that have them: a template word counts if the text has it on one of the band's diagonals.
 
 The base phrases are found apart from that, at every place where their words stand one after another.
 
 Defined results: a null text is empty; a text without hits has null first and last words, empty labels and score
-0; of several spans of one template the best counts; rows that repeat an id get a row each; extra columns are
-ignored.
+0; the score is the best verified share of a template's words, and 1 where a base phrase stands; templates of fewer
+than k words are never found; rows that repeat an id or have none get a row each; a text's words stay in its row, so
+a very long text costs memory by its words; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,9 @@ from folio.llm import scratch
 K = 4
 #: Diagonals at most so many words apart belong to one span.
 JOIN = 4
-#: Share of a template's k-grams that a span must hold.
+#: Diagonals of one band at most.
+WIDTH = 16
+#: Share of a template's k-grams, and then of its words, that a span must hold.
 COVER = 0.5
 
 #: Base phrases and their labels.
@@ -66,36 +69,42 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), lambda w: w != "")
 
 
-def template_words(text: str) -> list[str]:
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+def template_table(spark: SparkSession, templates: dict[str, list[str]] | DataFrame = TEMPLATES) -> DataFrame:
+    """(label, template, said): the words of each template, from label to texts or from a table (label, template, text)."""
+    if isinstance(templates, dict):
+        rows = [(label, n, text) for label, texts in templates.items() for n, text in enumerate(texts)]
+        return F.broadcast(spark.createDataFrame(rows, "label string, template int, text string").select("label", "template", word_array(F.col("text")).alias("said")))
+    return scratch.limited(scratch.stored(templates.select("label", "template", word_array(F.col("text")).alias("said")), "license-templates"))
 
 
-def template_grams(spark: SparkSession, k: int = K, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """(h, label, template, q, grams): the positions of all k-grams of the templates; a fixed, small table."""
-    rows = []
-    for label, texts in templates.items():
-        for n, text in enumerate(texts):
-            words = template_words(text)
-            rows += [(label, n, q, len(words) - k + 1, *words[q : q + k]) for q in range(len(words) - k + 1)]
-    grams = spark.createDataFrame(rows, "label string, template int, q int, grams int, " + ", ".join(f"w{i} string" for i in range(k)))
-    return grams.select(F.xxhash64(*(f"w{i}" for i in range(k))).alias("h"), "label", "template", "q", "grams")
+def k_grams(words: Column, k: int) -> Column:
+    """Hashes of all runs of k words, by their first."""
+    starts = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
 
 
-def spans(words: DataFrame, spark: SparkSession, *, k: int = K, join: int = JOIN, cover: float = COVER, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """(row, label, first, last, score) of verified spans, from (row, words)."""
-    starts = F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k)).otherwise(F.array().cast("array<int>"))
-    hashed = words.select("row", F.posexplode(F.transform(starts, lambda i: F.xxhash64(*(F.get("words", i + j) for j in range(k))))).alias("p", "h"))
-    hits = hashed.join(F.broadcast(template_grams(spark, k, templates)), "h")
-    diagonals = hits.groupBy("row", "label", "template", "grams", (F.col("p") - F.col("q")).alias("d")).agg(
-        F.collect_set("q").alias("qs"), F.min("p").alias("first"), F.max("p").alias("last")
-    )
+def spans(rows: DataFrame, *, k: int = K, join: int = JOIN, width: int = WIDTH, cover: float = COVER, templates: dict[str, list[str]] | DataFrame = TEMPLATES) -> DataFrame:
+    """(row, label, score) of verified spans, from (row, text)."""
+    said = template_table(rows.sparkSession, templates)
+    grams = said.select("label", "template", (F.size("said") - k + 1).alias("grams"), F.posexplode(k_grams(F.col("said"), k)).alias("q", "h"))
+    grams = F.broadcast(grams) if isinstance(templates, dict) else scratch.limited(scratch.stored(grams, "license-grams"))
+    hashed = rows.select("row", F.posexplode(k_grams(word_array(F.col("text")), k)).alias("p", "h"))
+    hits = hashed.join(grams, "h")
+    diagonals = hits.groupBy("row", "label", "template", "grams", (F.col("p") - F.col("q")).alias("d")).agg(F.collect_set("q").alias("qs"))
     near = Window.partitionBy("row", "label", "template").orderBy("d")
-    band = diagonals.withColumn("new", (F.col("d") - F.lag("d").over(near) > join).cast("int")).withColumn("band", F.sum(F.coalesce("new", F.lit(0))).over(near))
-    merged = band.groupBy("row", "label", "template", "grams", "band").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("votes"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last")
+    islands = diagonals.withColumn("new", (F.col("d") - F.lag("d").over(near) > join).cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(near))
+    off = F.col("off")
+    islands = islands.withColumn("off", F.col("d") - F.min("d").over(Window.partitionBy("row", "label", "template", "island")))
+    laid = islands.withColumn("band", F.explode(F.array(2 * F.floor(off / width), 2 * F.floor((off + width // 2) / width) + 1)))
+    bands = laid.groupBy("row", "label", "template", "grams", "island", "band").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("votes"), F.min("d").alias("low"), F.max("d").alias("high")
     )
-    scored = merged.withColumn("score", F.col("votes") / F.col("grams"))
-    return scored.filter(F.col("score") >= cover).select("row", "label", "first", "last", "score")
+    likely = scratch.stored(bands.filter(F.col("votes") >= cover * F.col("grams")).select("row", "label", "template", "low", "high"), "license-bands")
+    # the words of texts with a likely band, and of these only, are compared with the template's
+    texts = rows.join(scratch.limited(scratch.stored(likely.select("row").distinct(), "license-rows")), "row").select("row", word_array(F.col("text")).alias("words"))
+    found = likely.join(texts, "row").join(said, ["label", "template"])
+    matched = F.filter(F.sequence(F.lit(0), F.size("said") - 1), lambda q: F.exists(F.sequence("low", "high"), lambda d: F.get("words", q + d).eqNullSafe(F.get("said", q))))
+    return found.select("row", "label", (F.size(matched) / F.size("said")).alias("score")).filter(F.col("score") >= cover)
 
 
 def phrase_starts(words: Column, phrase: str) -> Column:
@@ -109,24 +118,24 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.when((F.size(words) >= len(said)) & there, starts).otherwise(F.array().cast("array<int>"))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, join: int = JOIN, cover: float = COVER, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, join: int = JOIN, width: int = WIDTH, cover: float = COVER, templates: dict[str, list[str]] | DataFrame = TEMPLATES) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of ``docs``."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col), F.col(text_col)).withColumn("row", F.xxhash64(id_col, text_col))
-    words = rows.select(id_col, "row", word_array(F.col(text_col)).alias("words"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), scratch.row_digest(id_col, text_col).alias("row"))
+    words = rows.select("id", "row", word_array(F.col("text")).alias("words"))
     places = {label: phrase_starts(F.col("words"), phrase) for phrase, label in PHRASES.items()}
-    based = words.select(id_col, "row", F.size("words").cast("long").alias("n_words"), *(x.alias(f"at_{i}") for i, x in enumerate(places.values())))
+    based = words.select("id", "row", F.size("words").cast("long").alias("n_words"), *(x.alias(f"at_{i}") for i, x in enumerate(places.values())))
     at = [F.col(f"at_{i}") for i in range(len(places))]
     based = based.select(
-        id_col, "row", "n_words",
+        "id", "row", "n_words",
         F.array_sort(F.concat(*at)).alias("places"),
         F.array_compact(F.array(*(F.when(F.size(a) > 0, label) for a, label in zip(at, places, strict=True)))).alias("base"),
     )
-    found = spans(words, spark, k=k, join=join, cover=cover, templates=templates).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
-    joined = based.join(found.withColumnRenamed("row", "__row"), F.col("row") == F.col("__row"), "left")
+    found = spans(rows.select("row", "text"), k=k, join=join, width=width, cover=cover, templates=templates)
+    found = found.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
+    joined = based.join(found, "row", "left")
     base = F.col("base")
     return joined.select(
-        id_col, "n_words",
+        F.col("id").alias(id_col), "n_words",
         F.size("places").cast("long").alias("n_base"),
         F.get("places", F.lit(0)).cast("long").alias("first_word"),
         F.get("places", F.size("places") - 1).cast("long").alias("last_word"),

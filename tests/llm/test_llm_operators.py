@@ -535,6 +535,45 @@ def test_license_scan(spark):
     assert all(got[i].labels == "" and got[i].score == 0 for i in (2, 6, 7))
 
 
+def test_license_base_against_brute_force(docs, texts):
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan.scan(docs).collect()}
+    for i, t in texts.items():
+        w = words(t)
+        at = [(k, label) for phrase, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        first, last = (min(at)[0], max(at)[0]) if at else (None, None)
+        assert got[i] == (len(w), len(at), first, last, ",".join(sorted({x for _, x in at})))
+
+
+def test_license_spans_of_a_template_table(spark):
+    """Many templates as a table: copies with words changed, put in or left out are found, mixed and shuffled ones are not."""
+    rng = random.Random(17)
+    vocabulary = [f"v{k}" for k in range(400)]
+    templates = [(f"L{n}", n, [rng.choice(vocabulary) for _ in range(rng.randint(20, 150))]) for n in range(40)]
+    table = spark.createDataFrame([(label, n, " ".join(w)) for label, n, w in templates], "label string, template int, text string")
+    filler = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(60):
+        label, _, w = rng.choice(templates)
+        w = list(w)
+        kind = i % 4
+        if kind == 0:
+            for k in rng.sample(range(len(w)), len(w) // 20):
+                w[k] = "changed"
+        elif kind == 1:
+            for k in sorted(rng.sample(range(len(w)), 3), reverse=True):
+                w.insert(k, "more")
+        elif kind == 2:
+            del w[5:8]
+        else:
+            rng.shuffle(w)
+        rows.append((i, " ".join(filler(rng.randint(0, 50)) + w + filler(30)).upper()))
+        want[i] = "" if kind == 3 else label
+    df = spark.createDataFrame([(i, t, "s", "k", "z") for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(df, templates=table).collect()}
+    assert {i: x for i, (x, _) in got.items()} == want
+    assert all((0.8 < score <= 1) == bool(want[i]) for i, (_, score) in got.items())
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % len(weights)] for k, s in enumerate(order)}

@@ -88,7 +88,7 @@ def spans(rows: DataFrame, *, k: int = K, join: int = JOIN, width: int = WIDTH,
     said = template_table(rows.sparkSession, templates)
     grams = said.select("label", "template", (F.size("said") - k + 1).alias("grams"), F.posexplode(k_grams(F.col("said"), k)).alias("q", "h"))
     grams = F.broadcast(grams) if isinstance(templates, dict) else scratch.limited(scratch.stored(grams, "license-grams"))
-    hashed = rows.select("row", F.posexplode(k_grams(word_array(F.col("text")), k)).alias("p", "h"))
+    hashed = rows.select("row", word_array(F.col("text")).alias("words")).select("row", F.posexplode(k_grams(F.col("words"), k)).alias("p", "h"))
     hits = hashed.join(grams, "h")
     diagonals = hits.groupBy("row", "label", "template", "grams", (F.col("p") - F.col("q")).alias("d")).agg(F.collect_set("q").alias("qs"))
     near = Window.partitionBy("row", "label", "template").orderBy("d")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folio.functions import pagenum as N
 from folio.functions import text as T
-from folio.operators.toc import page_counts, reused
+from folio.operators.tables import stored
+from folio.operators.toc import page_counts
 
 BLANK_CHARS = 150
 INFER_GAP = 10
@@ -23,7 +24,7 @@ def match_confidence(score, margin):
 def page_numbers(pages: DataFrame) -> DataFrame:
     """(book_id, page_index, printed, value, is_roman): the number read on each page, and its value if it has one."""
     # read once: kept apart so that the reading is not repeated for every use of it
-    rows = reused(pages.select("book_id", "page_index", N.printed_page_number(F.col("text")).alias("printed")))
+    rows = stored(pages.select("book_id", "page_index", N.printed_page_number(F.col("text")).alias("printed")))
     return rows.select("book_id", "page_index", "printed", N.page_value(F.col("printed")).alias("value"), (~F.col("printed").rlike(r"^\d+$")).alias("is_roman"))
 
 
@@ -90,7 +91,7 @@ def citation_pages(ranges: DataFrame, numbers: DataFrame) -> DataFrame:
     stand_in = F.coalesce("fallback_shown", "fallback_inferred")
     rows = rows.withColumn("declared", declared).withColumn("next_declared", next_declared).withColumn("next_value", N.page_value(F.col("next_printed"))).withColumn("stand_value", N.page_value(stand_in))
     # narrow rows are kept here, or the optimizer would copy the numeral expressions into every use
-    rows = reused(rows)
+    rows = stored(rows)
     rows = rows.withColumn("read", F.coalesce("declared", "start_shown")).withColumn("first", F.coalesce("read", "start_inferred"))
     follows = (F.col("next_roman") == F.col("is_roman")) & F.col("next_declared").isNotNull() & (F.col("next_value") > 1)
     rows = rows.withColumn("derived", F.when(follows, N.format_page(F.col("next_value") - 1, F.col("is_roman"))))

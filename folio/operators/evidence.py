@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import fuzzy
 from folio.functions import pagenum as N
 from folio.functions import text as T
+from folio.operators.tables import stored
 
 ALIGN = 70.0
 BOOK_TITLE = 90.0
@@ -160,8 +161,8 @@ def segment_evidence(pages: DataFrame, books: DataFrame, outline: DataFrame, sou
 
     facts = segment.page_facts(pages)
     n_pages, bare, heads, numbers = facts
-    merged = toc.reused(book_order(dedupe_evidence(drop_book_title(merge_outline(outline, merge_metadata(sources)), books))))
-    listed = toc.reused(toc.toc_entries(pages))
+    merged = stored(book_order(dedupe_evidence(drop_book_title(merge_outline(outline, merge_metadata(sources)), books))))
+    listed = stored(toc.toc_entries(pages))
     contents = listed.select("book_id", F.col("source_page_index").alias("page_index")).distinct()
     common = merged.select("book_id", F.col("cand_no").alias("entry_no"), "title", "authors", F.col("printed_page_number").cast("string").alias("printed"), F.lit(False).alias("is_roman"), "pdf_page_index", "source", "metadata_confidence")
     fixed = common.filter("pdf_page_index is not null").withColumn("page_index", F.col("pdf_page_index")).withColumn("score", F.lit(100.0)).withColumn("margin", F.lit(20.0))

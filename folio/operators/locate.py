@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import fuzzy
 from folio.functions import text as T
-from folio.operators.toc import reused
+from folio.operators.tables import stored
 
 HEADER_LINES = 5
 HEADER_CHARS = 8
@@ -65,6 +65,8 @@ def score_title_pages(titles: DataFrame, heads: DataFrame, threshold: float = SC
     """
     t = titles.select("book_id", F.lower("reading").alias("reading")).distinct()
     h = heads.filter(F.length(T.strip(F.col("head"))) >= MIN_HEAD).select("book_id", "page_index", F.lower("head").alias("head"))
+    # a stated number of partitions: the tables are small beside the scorer's work, and adaptive plans would join them in few tasks
+    h = h.repartition(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "book_id")
     pairs = t.join(h, "book_id").withColumn("inside", (F.length("reading") <= F.length("head")) & F.contains("head", F.col("reading")))
     exact = pairs.filter("inside").withColumn("score", F.lit(100.0))
     near = pairs.filter("not inside").withColumn("score", fuzzy.partial_ratio_from(threshold)("reading", "head"))
@@ -178,15 +180,15 @@ def locate_entries(entries: DataFrame, n_pages: DataFrame, bare: DataFrame, head
     ``entries`` need book_id, entry_no, title, title_variants, printed, is_roman, authors and source_page_index.
     """
     bodies = bare.select("book_id", "page_index", F.substring("text", 1, BODY).alias("body")).join(excluded.select("book_id", "page_index"), ["book_id", "page_index"], "left_anti")
-    closed = reused(excluded.select("book_id", "page_index").unionByName(secondary_listings(entries, bodies)).distinct())
+    closed = stored(excluded.select("book_id", "page_index").unionByName(secondary_listings(entries, bodies)).distinct())
     titles = readings(entries)
     heads = heads.select("book_id", "page_index", "head")
     scored = score_title_pages(titles, heads).withColumnRenamed("reading", "low")
     met = titles.withColumn("low", F.lower("reading")).join(scored, ["book_id", "low"]).join(heads, ["book_id", "page_index"])
     candidates = met.withColumn("author_confirmed", author_confirmed(F.col("authors"), F.col("head"))).drop("head", "low", "authors")
     candidates = allowed_pages(candidates, closed, last_front_page(entries, n_pages))
-    clusters = reused(cluster_candidates(candidates))
-    first = reused(best_variant(best_cluster(clusters)))
+    clusters = stored(cluster_candidates(candidates))
+    first = stored(best_variant(best_cluster(clusters)))
     more = order_disambiguate(entries, first, clusters, n_pages)
     found = first.select("book_id", "entry_no", "reading", "page_index", "score", "margin", "author_confirmed").unionByName(more)
     own = entries.drop("title", "title_variants")

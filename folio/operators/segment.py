@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators import boundaries, locate, toc
+from folio.operators.tables import stored
 
 
 def page_facts(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(page counts, pages without running headers, their heads, their printed numbers): what every method needs."""
-    n_pages = toc.reused(toc.page_counts(pages))
+    n_pages = stored(toc.page_counts(pages))
     headers = locate.running_headers(toc.explode_lines(pages), n_pages)
     bare = locate.strip_headers(pages, headers)
-    heads = toc.reused(locate.page_heads(bare, boundaries.BLANK_CHARS))
-    numbers = toc.reused(boundaries.infer_printed(boundaries.page_numbers(pages)))
+    heads = stored(locate.page_heads(bare, boundaries.BLANK_CHARS))
+    numbers = stored(boundaries.infer_printed(boundaries.page_numbers(pages)))
     return n_pages, bare, heads, numbers
 
 
@@ -23,12 +24,12 @@ def segment_entries(pages: DataFrame, entries: DataFrame, source: str = "heurist
     n_pages, bare, heads, numbers = facts or page_facts(pages)
     listed = entries.filter("source_page_index >= 0").select("book_id", F.col("source_page_index").alias("page_index")).distinct()
     located, closed = locate.locate_entries(entries, n_pages, bare, heads, listed)
-    located = toc.reused(located if "source" in located.columns else located.withColumn("source", F.lit(source)))
+    located = stored(located if "source" in located.columns else located.withColumn("source", F.lit(source)))
     return boundaries.chapters(numbers, n_pages, located, heads, closed), located
 
 
 def segment(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chapters, books_summary) of a corpus from its printed contents alone."""
-    entries = toc.reused(toc.toc_entries(pages))
+    entries = stored(toc.toc_entries(pages))
     found, located = segment_entries(pages, entries)
     return found, boundaries.book_summary(pages, entries, located, found)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import pagenum as N
 from folio.functions import text as T
+from folio.operators.tables import stored
 
 MIN_LINES = 3
 MIN_LINES_AFTER = 2
@@ -27,11 +27,6 @@ def explode_lines(pages: DataFrame) -> DataFrame:
     return pages.select("book_id", "page_index", F.posexplode(F.transform(T.lines(F.col("text")), T.strip)).alias("line_no", "line"))
 
 
-def reused(df: DataFrame) -> DataFrame:
-    """Keeps a narrow result that several later steps read; what an executor loses is computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def in_scan_range(front: float = 0.15, back: float = 0.05):
     """Whether a page stands in the front or back share of its book's ``n_pages``; at least one page each."""
     first = F.greatest(F.lit(1), F.floor(F.col("n_pages") * front))
@@ -119,7 +114,7 @@ def apply_author_marker(entries: DataFrame, min_lines: int = MIN_AUTHOR_LINES) -
 def toc_entries(pages: DataFrame) -> DataFrame:
     """The contents entries of every book in listing order, numbered from 0 by ``entry_no``."""
     n_pages = page_counts(pages)
-    lines = reused(toc_lines(pages, n_pages))
+    lines = stored(toc_lines(pages, n_pages))
     scanned = lines.join(n_pages, "book_id").filter(in_scan_range()).drop("n_pages")
     listings = listing_pages(scanned)
     chosen = extend_cluster(first_cluster(listings), lines, listings)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+from folio.functions import text
 from folio.operators import boundaries, curate, evaluate, evidence, layout, locate, redact, runs, segment, toc
 from folio.plans import fixture
 
@@ -159,11 +159,15 @@ def micro_rollup(spark, sf_dir):
     return evaluate.micro_rollup(rows.withColumn("corpus", F.expr("concat('corpus', book_id % 4)")))
 
 
-@query(f"""with {EXPECTED}, {FOUND}, p as (select strategy, book_id, count(*) as pairs, count(*) as covered, count(*) as start_ok, count(*) as end_ok from found join expected using (book_id, pdf_start_index, pdf_end_index) group by all)
-select *, 1.0 as coverage, 1.0 as start_accuracy, 1.0 as end_accuracy from p""")
+@query(f"""with {EXPECTED}, {FOUND}, p as (select strategy, book_id, count(*) as pairs, count(*) as covered, count(*) filter (where (3 * book_id + found.chapter_no) % 4 <> 1) as start_ok,
+  count(*) filter (where 2 * ((book_id + found.chapter_no) % 5) <= 3) as end_ok from found join expected using (book_id, pdf_start_index, pdf_end_index) group by all)
+select *, 1.0 as coverage, cast(start_ok as double) / covered as start_accuracy, cast(end_ok as double) / covered as end_accuracy from p""")
 def citation_accuracy(spark, sf_dir):
-    """How many printed ranges of rightly found chapters are right."""
-    return evaluate.citation_metrics(evaluate.citation_pairs(expected(spark, sf_dir), found(spark, sf_dir)))
+    """How many printed ranges of rightly found chapters are right, where some starts are one late and ends up to eight."""
+    start = F.expr("pdf_start_index - 1 + if((3 * book_id + chapter_no) % 4 = 1, 1, 0)")
+    end = F.expr("pdf_end_index - 1 + 2 * ((book_id + chapter_no) % 5)")
+    rows = found(spark, sf_dir).withColumn("citation_pages", F.concat(start.cast("string"), F.lit("-"), end.cast("string")))
+    return evaluate.citation_metrics(evaluate.citation_pairs(expected(spark, sf_dir), rows))
 
 
 @query(f"""with {EXPECTED}, {FOUND}, s as (select *, lead(pdf_start_index) over (partition by book_id order by pdf_start_index, pdf_end_index) as next from found where strategy = 'heuristic')
@@ -391,8 +395,9 @@ def redacted_pages(spark, sf_dir):
     return done.select("book_id", "page_index", F.length("text").cast("long").alias("n"))
 
 
+@query()
 def segment_corpus(spark, sf_dir):
-    """Chapters of every derived book from its contents."""
+    """Chapters of every derived book from its contents, on uncut texts."""
     return segment.segment(fixture.book_pages(spark, sf_dir))[0]
 
 
@@ -401,21 +406,36 @@ def _outline(spark, sf_dir) -> DataFrame:
     return rows.select("book_id", F.col("chapter_no").alias("cand_no"), F.expr("concat('Study of matters ', chapter_no)").alias("title"), F.array().cast("array<string>").alias("authors"), F.expr("pdf_start_index - 1").alias("printed_page_number"), F.col("pdf_start_index").alias("pdf_page_index"), F.lit(None).cast("string").alias("chapter_doi"), F.lit("outline").alias("source"), F.lit(1.0).alias("metadata_confidence"))
 
 
+@query()
 def outline_chapters(spark, sf_dir):
     """Chapters straight from outlines."""
     n_pages, _, heads, numbers = segment.page_facts(pages(spark, sf_dir))
     return evidence.segment_outline(numbers, n_pages, heads, _outline(spark, sf_dir))
 
 
+@query()
 def fuzzy_alignment(spark, sf_dir):
     """Titles of two lists of each book matched in order."""
     rows = _outline(spark, sf_dir)
     return evidence.align(rows, rows.filter("cand_no <> 3").withColumn("title", F.concat(F.col("title"), F.lit(" revised"))))
 
 
+@query(f"""with {TEXT_CTES}, {LISTED}, listings as (select distinct book_id, page_index from valid join first using (book_id, page_index) where value <= 2 * n_pages and length(title) >= 3),
+shown as (select distinct book_id, unnest([page_index - 1, page_index, page_index + 1]) as page_index from listings union
+  select book_id, page_index from pages_book join n_pages using (book_id) where book_id not in (select book_id from listings) and (page_index < greatest(1, floor(n_pages * 0.15)) or page_index >= n_pages - greatest(1, floor(n_pages * 0.05))))
+select book_id, string_agg(concat('[PAGE ', cast(page_index as varchar), ']', chr(10), text), concat(chr(10), chr(10)) order by page_index) as prompt from pages_book join shown using (book_id, page_index) group by book_id""")
 def prompt_table(spark, sf_dir):
     """What a model outside is shown of each book."""
     p = pages(spark, sf_dir)
     return toc.prompt_table(p, toc.toc_entries(p))
 
 
+@query("""select doc_id, case doc_id % 4 when 0 then concat('978', lpad(cast(doc_id as varchar), 10, '0')) when 1 then concat(lpad(cast(doc_id as varchar), 9, '0'), 'X') when 2 then concat('979', lpad(cast(doc_id as varchar), 10, '0')) end as isbn from documents""")
+def isbn_normalize(spark, sf_dir):
+    """The first long, else the first short number of book number fields written in several ways."""
+    nine, ten = F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lpad(F.col("doc_id").cast("string"), 10, "0")
+    raw = (
+        F.when(F.expr("doc_id % 4 = 0"), F.concat(nine, F.lit("1; 978-"), ten)).when(F.expr("doc_id % 4 = 1"), F.concat(F.lit("12345 "), nine, F.lit("x")))
+        .when(F.expr("doc_id % 4 = 2"), F.concat(F.lit("979"), ten, F.lit(" 9780000000000"))).otherwise(F.lit("none; 123"))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_isbn(raw).alias("isbn"))

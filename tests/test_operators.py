@@ -65,3 +65,26 @@ def test_query_equals_its_sql(spark, name):
     b = sorted(repr(tuple(plain(r[i]) for i in at)) for r in want.fetchall())
     normal = lambda rows: [r.replace(".0,", ",").replace(".0)", ")") for r in rows]
     assert normal(a) == normal(b)
+
+
+def test_whole_segmentation_finds_the_derived_chapters(spark):
+    from folio.plans import queries
+
+    got = {(r.book_id, r.pdf_start_index) for r in registry.queries()["segment_corpus"](spark, SF).collect()}
+    want = {(r.book_id, r.pdf_start_index) for r in queries.expected(spark, SF).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(want)
+
+
+def test_segmentation_of_a_small_book(spark):
+    from folio.operators import segment
+
+    filler = "Nothing of note is told on this page, and it goes on in the same way for a good while. " * 4
+    texts = ["Cover", "Contents\nThe Growth of Harbour Towns ... 4\nSalt and Its Merchants ... 9\nRoads Across the Northern Moor ... 14"]
+    texts += [f"{'abcdefghijklmnopqrst'[k] * 9} {filler}\n{k + 1}" for k in range(2, 20)]
+    for k, title in ((3, "The Growth of Harbour Towns"), (8, "Salt and Its Merchants"), (13, "Roads Across the Northern Moor")):
+        texts[k] = f"{title}\n\n{texts[k]}"
+    chapters, summary = segment.segment(book(spark, texts))
+    assert [(r.title, r.pdf_start_index, r.pdf_end_index, r.citation_pages) for r in chapters.orderBy("chapter_no").collect()] == [
+        ("The Growth of Harbour Towns", 3, 7, "4-8"), ("Salt and Its Merchants", 8, 12, "9-13"), ("Roads Across the Northern Moor", 13, 19, "14-20"),
+    ]
+    assert summary.first().segmentation_confidence == "high"

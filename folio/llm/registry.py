@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import decontaminate, exact_substrings, importance, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_counts, warc
+from folio.llm import decontaminate, embedding_codes, exact_substrings, importance, license_scan, line_dedup, mixing, near_dedup, periodic_runs, quality_rules, spelling, token_counts, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op2_quality_classifier": importance.op2_quality_classifier,
         "op7_suffix_array_dedup": exact_substrings.op7_suffix_array_dedup,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_embedding_near_dedup": embedding_codes.op13_embedding_near_dedup,
     }
 
 

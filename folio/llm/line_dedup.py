@@ -4,8 +4,8 @@ A block starts at a line with words and goes on to the line in which its ``BLOCK
 without words are left out of all this.  Of the blocks that start within ``WINDOW`` words the one with the least
 hash is a fingerprint, so any run of lines of BLOCK + WINDOW words or more that two places share has a
 fingerprint in common.  Fingerprints that stand at several places are joined with the first of those places, by
-(id, line); the matches of two texts at one distance in lines are taken together, each is extended line by line
-both ways, and all runs found are cut from the later text.
+(id, line); the matches of two texts are taken together, each is extended line by line both ways, and all runs found
+are cut from the later text.
 No pair of two later places is ever made, so a passage that stands in a third of all texts costs a row for each.
 
 Narrow columns only take part in the joins: line hashes, word counts and positions.  A first place that many
@@ -14,7 +14,7 @@ texts match is joined through salted copies, as many as its matches ask for.
 Defined results: a null text stays null; a run within one text is cut where it stands for the second time; a text
 may end up empty, and its row stays; rows with equal ids or none are told apart by their texts, and rows equal in
 both are one text, cut alike; null ids come first; of equally early places the lesser text digest is the first; a
-very long text travels as a hash for each line; an empty table gives an empty one; extra columns are kept, whatever
+very long text travels as a hash for each line, and one that repeats a line costs like any other of its length; an empty table gives an empty one; extra columns are kept, whatever
 their names.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import kernels, scratch
+from folio.llm import kernels, periodic_runs, scratch
 
 BLOCK = 25
 WINDOW = 25
@@ -108,21 +108,41 @@ def _index(text_col: str, block: int, window: int):
     return index
 
 
+def shared_runs(mine: np.ndarray, theirs: np.ndarray, at: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the lines of ``mine`` around its matches, as far as both texts go on equally; runs that touch are one.
+
+    How far a match goes on is a common extension of two places of both texts' lines in one sequence, so a text with
+    as many matches as lines, such as one that repeats a line, costs no more than sorting its lines.
+    """
+    n = len(mine)
+    names = np.unique(np.concatenate([mine, theirs]), return_inverse=True)[1].ravel()
+    both = np.concatenate([names[:n], [-2], names[n:]])
+    at, there = at.astype(np.int64), there.astype(np.int64)
+    after = periodic_runs.Extensions(both).of(at, n + 1 + there)
+    before = np.zeros(len(at), np.int64)
+    inner = np.flatnonzero((at > 0) & (there > 0))
+    last = len(both)
+    before[inner] = periodic_runs.Extensions(both[::-1]).of(last - (n + 1 + there[inner]), last - at[inner])
+    start, end = at - before, at + after
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > end[:-1]
+    first = np.flatnonzero(new)
+    return start[first], end[np.append(first[1:], len(start)) - 1]
+
+
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of lines around the matches of each diagonal, as far as both texts go on equally."""
     for batch in batches:
-        keys, a, b, diagonals, ats = (batch.column(i) for i in range(5))
-        out_key, start, end = [], [], []
-        for key, mine, theirs, d, at in zip(keys.to_pylist(), a, b, diagonals.to_pylist(), ats, strict=True):
-            x, y, at = (v.values.to_numpy(zero_copy_only=False) for v in (mine, theirs, at))
-            first, last = max(d, 0), min(len(x), len(y) + d)
-            differ = np.flatnonzero(x[first:last] != y[first - d : last - d]) + first
-            edges = np.concatenate([[first - 1], differ, [last]])
-            ends = np.unique(np.searchsorted(edges, at))  # the matches of one run go on to the same edge
-            out_key.extend([key] * len(ends))
-            start.append(edges[ends - 1] + 1)
-            end.append(edges[ends])
-        start, end = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (start, end))
+        out_key, start, end = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys, offsets = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+        for key, mine, theirs, offset, ats in zip(keys, batch.column(1), batch.column(2), offsets, batch.column(4), strict=True):
+            x, y, ats = (v.values.to_numpy(zero_copy_only=False) for v in (mine, theirs, ats))
+            a, b = shared_runs(x, y, ats >> 32, (ats & 0xFFFFFFFF) - offset)
+            out_key.extend([key] * len(a))
+            start.append(a)
+            end.append(b)
+        start, end = np.concatenate(start), np.concatenate(end)
         yield pa.RecordBatch.from_pydict({"key": pa.array(out_key, pa.binary()), "start": pa.array(start.astype(np.int32)), "end": pa.array(end.astype(np.int32))})
 
 
@@ -132,17 +152,22 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     index = scratch.stored(rows.mapInArrow(_index("text", block, window), f"id long, key binary, lines array<long>, prints {PRINTS}"), "line-index")
     places = index.select("id", "key", F.explode("prints").alias("x")).select("id", "key", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
     firsts = places.groupBy("h").agg(F.min(F.struct("id", "key", "at")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", F.col("f.id").alias("f_id"), F.col("f.key").alias("f_key"), F.col("f.at").alias("f_at"))
-    later = places.join(firsts, "h").filter(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")) & (F.col("at") == F.col("f_at"))))
-    # one row for each diagonal of two texts, with the places of all its matches: runs may be parted by lines that differ
-    later = later.groupBy("key", "f_key", (F.col("at") - F.col("f_at")).alias("diagonal")).agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    # read again, the firsts are dealt out for the join alone, where the places of a very common block can be split
+    later = places.join(scratch.stored(firsts, "line-firsts"), "h").filter(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")) & (F.col("at") == F.col("f_at"))))
+    # one row for two texts, with the places of all their matches: both texts' lines travel once, however they repeat
+    match = F.shiftleft(F.col("at").cast("long"), 32) + F.col("f_at")
+    later = later.groupBy("key", "f_key").agg(F.collect_list(match).alias("ats"), F.min(F.col("f_at") - F.col("at")).alias("low"), F.max(F.col("f_at") - F.col("at")).alias("high"))
     later = scratch.stored(later, "line-matches")
     salts = later.groupBy("f_key").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     lines = index.groupBy("key").agg(F.first("lines").alias("lines"))
-    mine = later.join(lines, "key").join(salts, "f_key").withColumn("salt", F.pmod(F.xxhash64("key", "diagonal"), F.col("salts")).cast("int"))
+    mine = later.join(lines, "key").join(salts, "f_key").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
     theirs = salts.join(lines.withColumnRenamed("key", "f_key"), "f_key").select("f_key", F.col("lines").alias("f_lines"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pairs = mine.join(theirs, ["f_key", "salt"]).select("key", "lines", "f_lines", "diagonal", "ats")
+    # of the first text only the lines that this one's can meet
+    offset = F.greatest(F.col("low"), F.lit(0))
+    window = F.slice("f_lines", offset + 1, F.col("high") + F.size("lines") - offset)
+    pairs = mine.join(theirs, ["f_key", "salt"]).select("key", "lines", window.alias("f_lines"), offset.alias("offset"), "ats")
     runs = pairs.mapInArrow(_extended, "key binary, start int, end int")
-    return runs.distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    return runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
 def _cut(out_schema: pa.Schema, text_col: str, runs_col: str, made_cols: tuple[str, str]):
@@ -159,9 +184,10 @@ def _cut(out_schema: pa.Schema, text_col: str, runs_col: str, made_cols: tuple[s
                     drop = np.zeros(b - a, bool)
                     for r in runs[i].as_py():
                         drop[r["start"] : r["end"]] = True
-                    keep = np.ones(int(offsets[i + 1] - offsets[i]), bool)
-                    for k in np.flatnonzero(drop):
-                        keep[start[a + k] - offsets[i] : end[a + k] - offsets[i]] = False
+                    edges = np.zeros(int(offsets[i + 1] - offsets[i]) + 1, np.int64)
+                    edges[start[a:b][drop] - offsets[i]] += 1
+                    edges -= np.bincount(end[a:b][drop] - offsets[i], minlength=len(edges))
+                    keep = np.cumsum(edges[:-1]) == 0
                     left = raw[offsets[i] : offsets[i + 1]][keep].tobytes().decode()
                     texts[i] = left[:-1] if left.endswith("\n") and not texts[i].endswith("\n") else left
                     lines_cut[i], words_cut[i] = int(drop.sum()), int(words[a:b][drop].sum())

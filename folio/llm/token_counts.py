@@ -2,9 +2,11 @@
 
 The cache is a Parquet table (content digest, tokenizer version, tokens).  The content digest is SHA-256 of the
 text without leading and trailing blanks, which the tokenizer drops; the version is the SHA-256 of the vocabulary
-file with the settings used.  One call joins the texts' digests with the cache, takes one text of each digest
-that is missing, chosen by the digest itself and never by an id, encodes those, appends their counts and joins
-the counts back by digest.  A task that is run again only repeats its own encoding, and the table is appended by
+file with the settings used.  One call joins the texts' digests with the cache and makes a bitmap of the hashes of
+those that are missing.  The second scan of the texts lets through only rows whose hash is in the bitmap, before
+anything is shuffled: one text of each digest is taken from them, chosen by the digest itself and never by an id, those
+of missing digests are encoded, their counts are appended, and the counts are joined back by digest.  If nothing is
+missing there is no second scan.  A task that is run again only repeats its own encoding, and the table is appended by
 Spark's committer; counts that two writers store for one digest are equal, and readers take any one of them.
 
 Inside a task a text is cut at blanks and newlines, where this tokenizer always cuts too, and each distinct piece
@@ -12,7 +14,8 @@ is encoded once by the library, as long as it is in the bounded table of known p
 tokenizers that drop white space; another vocabulary needs its own counter.
 
 Defined results: a null text counts as empty with 0 tokens; special strings inside a text are handled as the
-library's default, which matches their letter case too; rows with the same id or none are counted one by one;
+library's default, which matches their letter case too; rows with the same id or none are counted one by one; a very
+long text is encoded whole, its distinct pieces once; an empty table gives an empty one and adds nothing to the cache;
 extra columns are ignored.
 """
 
@@ -34,6 +37,8 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Pieces that a task remembers at most; beyond that it forgets them all and goes on.
 KNOWN_PIECES = 600_000
+#: Bits of the bitmap of missing digests, which is broadcast: 16 MB at most, whatever the number of digests.
+BITS = 1 << 27
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
 
 
@@ -135,23 +140,46 @@ def cached(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return stored.filter(F.col("version") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
 
 
+def _bit(digest: str):
+    return F.pmod(F.xxhash64(digest), F.lit(BITS))
+
+
+def only_missing(texts: DataFrame, missing: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose digest may be in ``missing``: all that are, and few others, by a broadcast bitmap."""
+    bit = missing.select(_bit("digest").alias("bit"))
+    bitmap = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    position = F.bitmap_bit_position(_bit("digest"))
+    byte = F.conv(F.hex(F.substring("bits", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    let = texts.withColumn("bucket", F.bitmap_bucket_number(_bit("digest"))).join(F.broadcast(bitmap), "bucket")
+    return let.filter(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (position % 8).cast("int"))) != 0).select(*texts.columns)
+
+
 def count_tokens(docs: DataFrame, cache: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, digest, n_bytes, n_tokens) for each row; appends the counts of new texts to ``cache``.
 
-    Only digests and counts meet in the joins of rows.  A text is chosen for each digest by grouping on the digest
-    alone, and each task combines its own copies before they are dealt out, so a group of copies, however large,
-    sends narrow rows and one text for each task at most.
+    Only digests and counts meet in the joins of rows, and only texts of missing digests are dealt out.  A text is
+    chosen for each digest by grouping on the digest alone, and each task combines its own copies before they are dealt
+    out, so a group of copies, however large, sends narrow rows and one text for each task at most.  Counts are read
+    again before they meet the rows, so that the rows of a very common text can be split.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path()
     version = tokenizer_version(vocabulary)
     digest = content_digest(F.col(text_col))
     narrow = scratch.stored(docs.select(F.col(id_col), digest.alias("digest"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")), "token-digests")
-    missing = narrow.select("digest").distinct().join(cached(spark, cache, version), "digest", "left_anti").select("digest")
-    texts = docs.select(digest.alias("digest"), F.col(text_col).alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
-    misses = texts.join(missing.hint("shuffle_hash"), "digest").select("digest", "text")
-    misses.mapInArrow(_encode(vocabulary, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
-    return narrow.join(cached(spark, cache, version), "digest").select(id_col, "digest", "n_bytes", "n_tokens")
+    told = scratch.stored(narrow.select("digest").distinct().join(cached(spark, cache, version), "digest", "left"), "token-told")
+    missing = told.filter("n_tokens is null").select("digest")
+    known = told.filter("n_tokens is not null")
+    if not missing.isEmpty():
+        texts = docs.select(digest.alias("digest"), F.col(text_col).alias("text"))
+        if not known.isEmpty():
+            texts = only_missing(texts, missing)
+        texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
+        misses = texts.join(missing.hint("shuffle_hash"), "digest").select("digest", "text")
+        misses.mapInArrow(_encode(vocabulary, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
+        found = cached(spark, cache, version).join(missing, "digest", "left_semi")
+        known = known.unionByName(scratch.stored(found, "token-found"))
+    return narrow.join(known, "digest").select(id_col, "digest", "n_bytes", "n_tokens")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

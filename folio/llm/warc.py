@@ -3,7 +3,8 @@
 Writing: a page becomes an HTTP response with chunked transfer framing.  A message over ``SEGMENT`` bytes is cut
 into a first record and continuation records, which carry the first one's id, their number, and, on the last, the
 total length.  Of pages with equal payloads of some size only the first is written whole; the others are revisit
-records that name it.  Records are rows of Spark's text sink, whose line separator is the blank lines that end a
+records that name it.  Each row is a record of its own: of rows with equal ids and payloads one has the plain record
+id, and the others add the number of their row to it.  Records are rows of Spark's text sink, whose line separator is the blank lines that end a
 record, so files reach any store that Spark writes to, compressed, and a lost task is written again.
 
 Reading: files are cut at the version line that begins each record, so a task holds one record at a time.  Our
@@ -11,9 +12,11 @@ own writer parts a chunk inside every such line of a payload; a record of anothe
 have its declared length, and reading fails with its id.  Whole records are decoded where they are read;
 segments are grouped by their origin's id, put in order of their numbers and checked for gaps and total length.
 
-Defined results: a null page is an empty payload; a page written twice with equal id and payload is one record;
-a null id is written as an empty number and read as null; a revisit of nothing that was read fails; extra columns
-are ignored.
+Defined results: a null page is an empty payload; a page that stands in several rows with equal id and payload is as
+many records and as many rows when read, each a response if the first of its payload is among them; a null id is
+written as an empty number, never revisits nor is revisited, and is read as null; a revisit of nothing that was read
+fails; a very long page is one row, cut into as many segments as it takes; an empty table gives archives without
+records and an empty one when read; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,9 +76,9 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + block
 
 
-def records(page_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, refers_digest: str | None, segment: int = SEGMENT) -> list[bytes]:
-    """The records of one page, without the blank lines that end each."""
-    own = f"<urn:page:{page_id}:{digest}"
+def records(page_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, refers_digest: str | None, segment: int = SEGMENT, copy: int | None = None) -> list[bytes]:
+    """The records of one page, without the blank lines that end each; ``copy`` parts rows with equal ids and payloads."""
+    own = f"<urn:page:{page_id}:{digest}" + ("" if copy is None else f":copy-{copy}")
     common = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank").replace(VERSION, "WARC%2F1.1"))]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers_to is not None:
@@ -100,9 +103,9 @@ def _write(segment: int):
         for batch in batches:
             out, size = [], 0
             for r in zip(*(batch.column(i) for i in range(batch.num_columns)), strict=True):
-                page, url, payload, digest, refers = (x.as_py() for x in r)
+                page, url, payload, digest, refers, copy = (x.as_py() for x in r)
                 payload = payload.encode() if isinstance(payload, str) else payload
-                own = records("" if page is None else str(page), url, payload, digest, None if refers is None else str(refers), digest, segment)
+                own = records("" if page is None else str(page), url, payload, digest, None if refers is None else str(refers), digest, segment, copy)
                 out += own
                 size += sum(map(len, own))
                 if size > 4 << 20:
@@ -115,14 +118,24 @@ def _write(segment: int):
 
 
 def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment: int = SEGMENT, compression: str = "gzip") -> None:
-    """Writes a record for each row (more, if it is cut into segments)."""
+    """Writes a record for each row (more, if it is cut into segments).
+
+    Rows are numbered once in a stored copy, as the number is part of a repeated row's record id.
+    """
     payload = F.coalesce(F.col(payload_col), F.lit("").cast(pages.schema[payload_col].dataType))
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"))
-    narrow = scratch.stored(rows.select("page", "digest", F.octet_length("payload").alias("n")), "warc-digests")
-    firsts = narrow.filter(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1 and first is not null").drop("rows")
-    again = scratch.stored(narrow.join(firsts, "digest").filter(~F.col("page").eqNullSafe(F.col("first"))).select(F.col("page").alias("p"), F.col("digest").alias("d"), "first").distinct(), "warc-revisits")
-    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again.hint("shuffle_hash")
-    typed = rows.join(again, F.col("page").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page", "url", "payload", "digest", "first")
+    rows = scratch.stored(rows.withColumn("row", F.monotonically_increasing_id()), "warc-rows")
+    narrow = rows.select("page", "digest", F.octet_length("payload").alias("n"), "row")
+    pages_of = narrow.groupBy("digest", "page").agg(F.max("n").alias("n"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
+    pages_of = scratch.stored(pages_of, "warc-pages")
+    firsts = pages_of.groupBy("digest").agg(F.min("page").alias("first"), F.sum("copies").alias("rows"), F.max("n").alias("size")).filter(f"rows > 1 and first is not null and size >= {REVISIT_BYTES}").select("digest", "first")
+    told = pages_of.join(scratch.stored(firsts, "warc-firsts"), "digest", "left")
+    refers = F.when(F.col("page") != F.col("first"), F.col("first"))
+    told = told.select(F.col("page").alias("p"), F.col("digest").alias("d"), refers.alias("first"), F.when(F.col("copies") > 1, F.col("row")).alias("plain")).filter("first is not null or plain is not null")
+    told = scratch.stored(told, "warc-told")
+    told = F.broadcast(told) if told.count() <= BROADCAST_ROWS else told.hint("shuffle_hash")
+    copy = F.when(F.col("row") != F.col("plain"), F.col("row"))
+    typed = rows.join(told, F.col("page").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page", "url", "payload", "digest", "first", copy.alias("copy"))
     text = typed.mapInArrow(_write(segment), "value binary").select(F.col("value").cast("string").alias("value"))
     text.write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
@@ -186,11 +199,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each page written by ``write_warc``."""
     found = read_records(spark, path)
     decoded = responses(found).select("record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), F.col("digest").alias("declared"))
-    decoded = scratch.stored(decoded, "warc-responses").distinct()
+    decoded = scratch.stored(decoded, "warc-responses")
     wrong = F.raise_error(F.concat(F.lit("payload digest differs in "), F.col("record_id")))
     decoded = decoded.withColumn("payload_digest", F.when(F.col("declared") == F.col("payload_digest"), F.col("payload_digest")).otherwise(wrong)).drop("declared")
     first = decoded.select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    revisits = found.filter("record_type = 'revisit'").select(F.col("record_id").alias("own"), "refers_to", "digest").distinct()
+    revisits = found.filter("record_type = 'revisit'").select(F.col("record_id").alias("own"), "refers_to", "digest")
     missing = F.raise_error(F.concat(F.lit("a revisit of a record that is not there: "), F.col("own")))
     later = revisits.join(decoded, F.col("refers_to") == F.col("record_id"), "left").select(
         page_of(F.col("own")).alias("page_id"), F.when(F.col("record_id").isNotNull(), F.col("payload_bytes")).otherwise(missing).alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), page_of(F.col("refers_to")).alias("refers_to"),

@@ -1,4 +1,4 @@
-"""Fuzzy string scores as Arrow functions, with a bound on shared bigrams that spares hopeless pairs.
+"""Fuzzy string scores as Arrow functions, with bounds on shared runs of symbols that spare hopeless pairs.
 
 A ratio is 200 * LCS / (len a + len b).  The partial ratio is the best ratio of the shorter string with any window
 of its length in the longer one, or with a shorter window at either end.  The LCS of all windows is computed at
@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def _lcs(a: str, b: str) -> int:
@@ -63,15 +63,51 @@ def _windows_lcs(short: str, long: str) -> np.ndarray:
     return m - np.bitwise_count(rows).sum(axis=0).astype(np.int64)
 
 
-def _hopeless(short: str, long: str, threshold: float) -> bool:
-    """Whether no window of ``long`` holds enough of the bigrams of ``short`` to reach a threshold (never in error)."""
-    t, m = threshold / 200.0, len(short)
-    need = (3 * t - 1) * (m + m * t / (1 - t)) - 1
-    if need <= 0 or m < 2 or len(long) < 2:
+class Grams:
+    """The runs of 2, 3 and 4 symbols of one text, for asking many shorter strings whether any window can be like them."""
+
+    SIZES = (2, 3, 4)
+
+    def __init__(self, text: str):
+        codes = _codes(text)
+        self.known = []
+        for q in self.SIZES:
+            own = self._keys(codes, q)
+            self.known.append(np.unique(own, return_inverse=True) if len(own) else (own, own))
+
+    @staticmethod
+    def _keys(codes: np.ndarray, q: int) -> np.ndarray:
+        """A number for each run; equal runs share it (runs of four and characters far apart may, too)."""
+        n = max(len(codes) - q + 1, 0)
+        key = np.zeros(n, np.int64)
+        for k in range(q):
+            key = (key << 16 | key >> 47) ^ codes[k : k + n]
+        return key
+
+    def hopeless(self, short: str, threshold: float) -> bool:
+        """Whether no window holds enough of the runs of ``short`` to reach a threshold (never in error).
+
+        With an LCS of L in a window of w symbols, the m + w - 2L symbols left out on both sides part the common ones
+        into one more stretch than that at most, so L - (q - 1)(m + w - 2L + 1) runs of q symbols are common.
+        """
+        t, m = threshold / 200.0, len(short)
+        codes = None
+        for q, (known, at) in zip(self.SIZES, self.known, strict=True):
+            share = t - (q - 1) * (1 - 2 * t)
+            need = share * (m + m * t / (1 - t)) - (q - 1)
+            if share <= 0 or need <= 0 or m < q:
+                continue
+            codes = _codes(short) if codes is None else codes
+            if not len(known):
+                return True
+            own = np.unique(self._keys(codes, q))
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            held = np.zeros(len(known), bool)
+            held[place[known[place] == own]] = True
+            hits = np.concatenate([[0], np.cumsum(held[at])])
+            if float((hits[np.minimum(np.arange(len(hits)) + m - q + 1, len(hits) - 1)] - hits).max()) < need - 1e-9:
+                return True
         return False
-    a, b = _codes(short), _codes(long)
-    hits = np.concatenate([[0], np.cumsum(np.isin(b[:-1] << 21 | b[1:], a[:-1] << 21 | a[1:]))])
-    return float((hits[np.minimum(np.arange(len(hits)) + m - 1, len(hits) - 1)] - hits).max()) < need - 1e-9
 
 
 def best_window(short: str, long: str) -> float:
@@ -97,20 +133,30 @@ def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else partial(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def partial_ratio_from(threshold: float):
-    """An Arrow function for ``partial_ratio`` that answers 0 for pairs that surely stay below a threshold."""
+def partial_ratios_from(threshold: float):
+    """An Arrow function of (array of strings, text): the partial ratio of each string, 0 for those that surely stay below a threshold.
 
-    @F.pandas_udf(DoubleType())
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str | None, y: str | None) -> float | None:
-            if x is None or y is None:
-                return None
-            short, long = (x, y) if len(x) <= len(y) else (y, x)
-            return 0.0 if len(x) != len(y) and _hopeless(short, long, threshold) else partial(x, y)
-
-        return pd.Series(list(map(one, a, b)), dtype="float64")
+    A text comes once for all strings that it is compared with, and its runs are looked up once.
+    """
 
-    return score
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def scores(shorts: pd.Series, texts: pd.Series) -> pd.Series:
+        def of(own: list[str] | None, text: str | None) -> list[float] | None:
+            if own is None or text is None:
+                return None
+            grams, out = Grams(text), []
+            for x in own:
+                if x in text:
+                    out.append(100.0)
+                elif len(x) < len(text):
+                    out.append(0.0 if grams.hopeless(x, threshold) else partial(x, text))
+                else:
+                    out.append(0.0 if len(x) > len(text) and Grams(x).hopeless(text, threshold) else partial(x, text))
+            return out
+
+        return pd.Series(list(map(of, shorts, texts)), dtype="object")
+
+    return scores
 
 
 @F.pandas_udf(DoubleType())

@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 
+#: The forms of a contents line, a strict roman numeral and a number alone on its line; a TOC_LINE's
+#: classes count characters of any script.
 TOC_LINE = r"(?U)^(.{3,120}?)[.\s]{1,}(\d{1,4}|[ivxlcdm]{1,6}|[IVXLCDM]{1,6})\s*$"
-STRICT_ROMAN = r"^(?=[ivxlcdm])m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
+STRICT_ROMAN = r"^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
 ROMAN_MOST = 50
 RATIO_MOST = 2.0
-TOKEN = r"(?i)^(?:[0-9]{1,4}|[ivxlcdm]{1,7})$"
+TOKEN = r"(?i)^[0-9]{1,4}$|^[ivxlcdm]{1,7}$"
+#: A number that ends or begins a line, among blanks or just apart from letters.
+TRAILING = r"(?i)(?:^|\s)(\d{1,4}|[ivxlcdm]{1,7})\s*$"
+LEADING = r"(?i)^(\d{1,4}|[ivxlcdm]{1,7})(?:\s|$)"
+LOOSE_TRAILING = r"(?i)(?<![A-Za-z])(\d{1,4}|[ivxlcdm]{1,7})\s*$"
+LOOSE_LEADING = r"(?i)^(\d{1,4}|[ivxlcdm]{1,7})(?![A-Za-z])"
 
 
 def parse_toc_line(line: Column) -> Column:
@@ -31,7 +38,7 @@ def roman_value(numeral: Column) -> Column:
 def page_value(page: Column) -> Column:
     """Integer value of a page field; null for letters that are no numeral, and for roman values over 50."""
     low = F.lower(page)
-    roman = F.when(low.rlike(STRICT_ROMAN), roman_value(low))
+    roman = F.when((low != "") & low.rlike(STRICT_ROMAN), roman_value(low))
     return F.when(page.rlike(r"^[0-9]+$"), page.try_cast("int")).when(roman <= ROMAN_MOST, roman)
 
 
@@ -104,8 +111,8 @@ def printed_page_number(text: Column) -> Column:
     alone = F.filter(F.concat(F.slice(full, 1, 2), tail), lambda x: x.rlike(TOKEN))
     first = F.get(F.filter(full, lambda x: ~T.is_url_line(x)), F.lit(0))
     short = F.when(F.length(first) < 120, first)
-    ending = F.regexp_extract(short, r"(?i)(?:^|\s)(\d{1,4}|[ivxlcdm]{1,7})\s*$", 1)
-    leading = F.regexp_extract(short, r"(?i)^(\d{1,4}|[ivxlcdm]{1,7})(?:\s|$)", 1)
+    ending = F.regexp_extract(short, TRAILING, 1)
+    leading = F.regexp_extract(short, LEADING, 1)
     return F.when(F.size(full) > 0, F.coalesce(F.get(alone, F.lit(0)), F.when(ending != "", ending), F.when(leading != "", leading)))
 
 
@@ -120,6 +127,6 @@ def printed_number_loose(text: Column) -> Column:
     tail = F.slice(full, F.greatest(F.size(full) - 1, F.lit(1)), 2)
     alone = F.filter(F.concat(tail, F.slice(full, 1, 2)), lambda x: x.rlike(TOKEN))
     short = F.when(F.length(F.get(full, F.lit(0))) < 120, F.get(full, F.lit(0)))
-    ending = F.regexp_extract(short, r"(?i)(?:^|[^A-Za-z])(\d{1,4}|[ivxlcdm]{1,7})\s*$", 1)
-    leading = F.regexp_extract(short, r"(?i)^(\d{1,4}|[ivxlcdm]{1,7})(?:[^A-Za-z]|$)", 1)
+    ending = F.regexp_extract(short, LOOSE_TRAILING, 1)
+    leading = F.regexp_extract(short, LOOSE_LEADING, 1)
     return F.when(F.size(full) > 0, F.coalesce(F.get(alone, F.lit(0)), F.when(ending != "", ending), F.when(leading != "", leading)))

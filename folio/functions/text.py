@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 BLANKS = r"(?U)^\s+|\s+$"
 
@@ -35,8 +31,9 @@ PRODUCTION = (
     "liste des illustrations", "liste des tableaux", "liste des cartes",
     "table des illustrations",
 )
+#: The forms of a part divider and of an imprint line.
 PART_DIVIDER = r"(?i)^(?:teil|part|partie|section|abschnitt)\b[\s.:]*(?:[0-9]+|[ivxlcdm]+)?\b"
-IMPRINT = r"(?i)^\s*(?:[©@]\s*\d{4}\b|isbn\b|gedruckt\b|printed in\b)"
+IMPRINT = r"(?i)^\s*[©@]\s*\d{4}\b|^\s*isbn\b|^\s*gedruckt\b|^\s*printed in\b"
 
 
 def strip(text: Column) -> Column:
@@ -63,21 +60,8 @@ def is_imprint_line(line: Column) -> Column:
     return line.rlike(IMPRINT)
 
 
-@F.pandas_udf(StringType())
-def normalized_title(titles: pd.Series) -> pd.Series:
-    """Lower case without accents and punctuation, single blanks between words."""
-
-    def one(title: str | None) -> str | None:
-        if title is None:
-            return None
-        plain = "".join(c for c in unicodedata.normalize("NFKD", title.lower()) if not unicodedata.combining(c))
-        return " ".join("".join(c for c in plain if c.isalnum() or c == "_" or c.isspace()).split())
-
-    return titles.map(one, na_action="ignore")
-
-
 def plain_title(title: Column) -> Column:
-    """``normalized_title`` for titles whose accents Latin letters only carry, without Python.
+    """Lower case without accents and punctuation, single blanks between words.
 
     Letters of the Latin-1 and Latin Extended-A blocks lose their accents; other scripts stay as they are.
     """
@@ -126,19 +110,20 @@ def normalize_isbn(raw: Column) -> Column:
     return F.coalesce(F.get(long, F.lit(0)), F.get(short, F.lit(0)))
 
 
-#: A number of one to four digits, or a strict roman numeral below a thousand.
-NUMERAL = r"(?:[0-9]{1,4}|(?=[ivxlcd])(?:cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
+#: A number of one to four digits or a strict roman numeral below five hundred, and a heading's keyword.
+NUMERAL = r"(?i)^[0-9]{1,4}$|^(?=.)(cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
+HEADING = r"(?i)^(?:chapter|kapitel|chapitre|part|teil|partie|§)\.?(?:\s+(\S+))?$"
 
 
 def is_heading_line(text: Column) -> Column:
     """A heading keyword alone or with a number, or a number alone; closing dots and colons don't count."""
     bare = strip(F.regexp_replace(strip(text), "[.:]+$", ""))
-    keyword = rf"(?:chapter|kapitel|chapitre|part|teil|partie|§)\.?(?:\s+{NUMERAL})?"
-    return bare.rlike(rf"(?i)^(?:{NUMERAL}|{keyword})$")
+    number = F.regexp_extract(bare, HEADING, 1)
+    return bare.rlike(NUMERAL) | (bare.rlike(HEADING) & ((number == "") | number.rlike(NUMERAL)))
 
 
 def ends_in_number(text: Column) -> Column:
-    return F.element_at(F.split(strip(text), r"(?U)\s+"), -1).rlike(rf"(?i)^{NUMERAL}$")
+    return F.element_at(F.split(strip(text), r"(?U)\s+"), -1).rlike(NUMERAL)
 
 
 #: Installed recognition packs by language, and what is used for all others.

@@ -12,7 +12,8 @@ from folio.operators.toc import page_counts
 
 BLANK_CHARS = 150
 INFER_GAP = 10
-ROMAN_PREFIX = r"^[IVXLC]+\.\s"
+#: Fixed value: a roman numeral that numbers a title.
+ROMAN_PREFIX = r"^[IVXLCDM]+\.\s"
 
 
 def match_confidence(score, margin):

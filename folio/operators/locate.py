@@ -60,17 +60,16 @@ def author_confirmed(authors, head):
 def score_title_pages(titles: DataFrame, heads: DataFrame, threshold: float = SCORE) -> DataFrame:
     """(book_id, page_index, reading, score) of pages whose head resembles a reading; only pages of the same book meet.
 
-    A reading that stands in the head as it is scores 100 without Python; the scorer sees the others and turns
-    most of them down by their shared bigrams.
+    A page is one row with all readings of its book, so its text goes to the scorer once; a reading that stands in the
+    head as it is scores 100.
     """
-    t = titles.select("book_id", F.lower("reading").alias("reading")).distinct()
+    t = titles.select("book_id", F.lower("reading").alias("reading")).groupBy("book_id").agg(F.array_sort(F.collect_set("reading")).alias("readings"))
     h = heads.filter(F.length(T.strip(F.col("head"))) >= MIN_HEAD).select("book_id", "page_index", F.lower("head").alias("head"))
     # a stated number of partitions: the tables are small beside the scorer's work, and adaptive plans would join them in few tasks
-    h = h.repartition(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "book_id")
-    pairs = t.join(h, "book_id").withColumn("inside", (F.length("reading") <= F.length("head")) & F.contains("head", F.col("reading")))
-    exact = pairs.filter("inside").withColumn("score", F.lit(100.0))
-    near = pairs.filter("not inside").withColumn("score", fuzzy.partial_ratio_from(threshold)("reading", "head"))
-    return exact.unionByName(near).filter(F.col("score") >= threshold).select("book_id", "page_index", "reading", "score")
+    h = h.repartition(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "book_id", "page_index")
+    scored = h.join(t, "book_id").withColumn("scores", fuzzy.partial_ratios_from(threshold)("readings", "head"))
+    pairs = scored.select("book_id", "page_index", F.explode(F.arrays_zip("readings", "scores")).alias("p"))
+    return pairs.select("book_id", "page_index", F.col("p.readings").alias("reading"), F.col("p.scores").alias("score")).filter(F.col("score") >= threshold)
 
 
 def secondary_listings(entries: DataFrame, bodies: DataFrame) -> DataFrame:

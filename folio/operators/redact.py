@@ -1,12 +1,10 @@
-"""Deterministic redaction: words replaced by pool words of their length, so that layout and structure stay."""
+"""What redaction rests on: pools of words, the deterministic choice among them, and where two versions differ."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BODY = 2000
-
 
 def word_pool(documents: DataFrame) -> DataFrame:
     """(lang, length, words): distinct lower-case words of each language by length, sorted."""
@@ -14,46 +12,12 @@ def word_pool(documents: DataFrame) -> DataFrame:
     return words.groupBy("lang", F.length("word").alias("length")).agg(F.array_sort(F.collect_list("word")).alias("words"))
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """(book_id, page_index, start, token): runs of word characters and runs of others, with their offsets."""
-    parts = F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), 1)
-    rows = pages.select("book_id", "page_index", F.posexplode(parts).alias("token_no", "token"))
-    before = Window.partitionBy("book_id", "page_index").orderBy("token_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)).cast("int")
-    return rows.select("book_id", "page_index", "token_no", start.alias("start"), "token")
-
-
 def pick(salt, page, start, word, size):
-    """Place in a pool of ``size``: the first eight bytes of a hash of salt, page, offset and word."""
+    """Fixed recipe: place in a pool of ``size``: the first eight bytes of a hash of salt, page, offset and word."""
     digest = F.sha2(F.concat_ws(":", salt.cast("string"), page.cast("string"), start.cast("string"), F.lower(word)), 256)
     return (F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % size.cast("decimal(20,0)")).cast("int")
 
 
-def match_case(word, original):
-    first = F.substring(original, 1, 1)
-    whole = (F.upper(original) == original) & (F.length(original) > 1)
-    return F.when(whole, F.upper(word)).when(F.upper(first) == first, F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 10_000))).otherwise(word)
-
-
-def redact_tokens(token_rows: DataFrame, pool: DataFrame, lang: DataFrame) -> DataFrame:
-    """Adds ``replacement``: digits, roman numerals and what is no word stay; the far body becomes q's."""
-    rows = token_rows.join(lang, "book_id").withColumn("length", F.length("token"))
-    rows = rows.join(F.broadcast(pool), ["lang", "length"], "left")
-    stays = ~F.col("token").rlike("^[A-Za-z]+$") | F.lower("token").rlike(r"^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$")
-    far = F.col("start") >= BODY
-    chosen = F.get("words", pick(F.col("book_id"), F.col("page_index"), F.col("start"), F.col("token"), F.size("words")))
-    filler = F.repeat(F.lit("q"), F.col("length"))
-    replaced = F.when(far, filler).otherwise(F.coalesce(match_case(chosen, F.col("token")), filler))
-    return rows.select("book_id", "page_index", "token_no", "start", "token", F.when(stays, F.col("token")).otherwise(replaced).alias("replacement"))
-
-
-def redact(pages: DataFrame, pool: DataFrame, lang: DataFrame) -> DataFrame:
-    """(book_id, page_index, text) of equal lengths with every open word replaced."""
-    done = redact_tokens(tokens(pages), pool, lang)
-    ordered = F.array_sort(F.collect_list(F.struct("token_no", "replacement")))
-    return done.groupBy("book_id", "page_index").agg(F.array_join(F.transform(ordered, lambda x: x["replacement"]), "").alias("text"))
-
-
 def boundary_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """(side, book_id, start, end): page ranges that only one of two versions has."""
     ranges = lambda df: df.select("book_id", F.col("pdf_start_index").alias("start"), F.col("pdf_end_index").alias("end")).distinct()

@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a narrow result below ``spark.checkpoint.dir`` and returns a reader of it.
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path below ``spark.checkpoint.dir`` that nothing has used before.
 
     Only a local master may leave that setting out; a temporary folder is used then.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
-    path = f"{base.rstrip('/') if base else 'file://' + tempfile.mkdtemp(prefix='folio-')}/step-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/') if base else 'file://' + tempfile.mkdtemp(prefix='folio-')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes a narrow result below the shared folder and returns a reader of it."""
+    spark = df.sparkSession
+    path = new_path(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -27,6 +27,12 @@ def explode_lines(pages: DataFrame) -> DataFrame:
     return pages.select("book_id", "page_index", F.posexplode(F.transform(T.lines(F.col("text")), T.strip)).alias("line_no", "line"))
 
 
+def top_lines(pages: DataFrame, most: int) -> DataFrame:
+    """(book_id, page_index, line_no, line): stripped lines at the top of all pages; the rest of a page is never cut up."""
+    first = F.slice(F.split("text", r"\R", most + 1), 1, most)
+    return pages.filter("text <> ''").select("book_id", "page_index", F.posexplode(F.transform(first, T.strip)).alias("line_no", "line"))
+
+
 def in_scan_range(front: float = 0.15, back: float = 0.05):
     """Whether a page stands in the front or back share of its book's ``n_pages``; at least one page each."""
     first = F.greatest(F.lit(1), F.floor(F.col("n_pages") * front))
@@ -44,16 +50,23 @@ def _ends_title(line):
     return line.isNull() | (line == "") | line.rlike(N.TOC_LINE) | T.is_url_line(line) | T.is_imprint_line(line) | (F.length(line) > LONGEST_LINE)
 
 
+def _may_end_in_number(line):
+    """Whether the last characters of a line may be a page number after a blank or a dot; true of all contents lines."""
+    end = F.regexp_replace(F.substring(line, -40, 40), r"(?U)\s+$", "")
+    return F.substring(end, -7, 7).rlike(r"(?U)(?:^|[.\s])(?:\d{1,4}|[ivxlcdm]{1,6}|[IVXLCDM]{1,6})$") | (end == "")
+
+
 def toc_lines(pages: DataFrame, n_pages: DataFrame | None = None) -> DataFrame:
     """(book_id, page_index, line_no, title, printed, value, is_roman, title_variants) of all valid contents lines.
 
-    One pattern runs over all lines, inside the row of their page; only lines that match it leave the row, with
-    the four lines before them, and everything else is worked out on those few.
+    The end of each line is looked at inside the row of its page; only lines that may end in a page number leave the
+    row, with the four lines before them, and everything else is worked out on those few.
     """
-    rows = pages.select("book_id", "page_index", F.transform(T.lines(F.col("text")), T.strip).alias("lines"))
-    rows = rows.select("book_id", "page_index", F.explode(F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(N.TOC_LINE), F.struct(
+    rows = pages.select("book_id", "page_index", T.lines(F.col("text")).alias("lines"))
+    rows = rows.select("book_id", "page_index", F.explode(F.filter(F.transform("lines", lambda x, i: F.when(_may_end_in_number(x), F.struct(
         i.alias("line_no"), x.alias("own"), *(F.when(i >= k, F.get("lines", i - k)).alias(f"b{k}") for k in range(1, 5))
     ))), lambda r: r.isNotNull())).alias("r")).select("book_id", "page_index", "r.*")
+    rows = rows.withColumns({c: T.strip(F.col(c)) for c in ("own", "b1", "b2", "b3", "b4")}).filter(F.col("own").rlike(N.TOC_LINE))
     rows = rows.filter(~T.is_url_line(F.col("own")) & ~T.is_imprint_line(F.col("own")))
     rows = rows.withColumn("read", T.strip_title(F.regexp_extract("own", N.TOC_LINE, 1))).withColumn("printed", F.regexp_extract("own", N.TOC_LINE, 2))
     rows = rows.withColumn("value", N.page_value(F.col("printed"))).filter("value is not null")

@@ -70,7 +70,7 @@ select f.book_id, header_form from f join n_pages using (book_id) where length(h
 def running_headers(spark, sf_dir):
     """Lines that head many pages of a book."""
     p = pages(spark, sf_dir)
-    return locate.running_headers(toc.explode_lines(p), toc.page_counts(p))
+    return locate.running_headers(toc.top_lines(p, locate.HEADER_LINES), toc.page_counts(p))
 
 
 @query(f"""with {PAGES}, f as (select book_id, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 500 as f, length(text) - length(replace(text, chr(10), '')) < 3 as flat from pages_book)
@@ -388,24 +388,6 @@ def word_pool(spark, sf_dir):
     return redact.word_pool(table(spark, sf_dir, "documents")).select("lang", "length", F.size("words").cast("long").alias("n"), F.get("words", F.lit(0)).alias("first"))
 
 
-ROMAN_WORD = r"^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
-
-
-@query(f"""with {PAGES}, w as (select distinct lang, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as word from documents), pool as (select lang, length(word) as len, list(word order by word) as words from w where word <> '' group by all),
-langs as (select doc_id // 25 as book_id, lang from documents where doc_id % 25 = 2),
-parts as (select book_id, page_index, regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+') as l from pages_book), tok as (select *, coalesce(sum(length(token)) over (partition by book_id, page_index order by i rows between unbounded preceding and 1 preceding), 0) as start from (select book_id, page_index, i, l[i] as token from parts, unnest(range(1, len(l) + 1)) as u(i))),
-drawn as (select t.*, words[cast(cast('0x' || substr(sha256(concat(t.book_id, ':', page_index, ':', start, ':', lower(token))), 1, 16) as ubigint) % len(words) as integer) + 1] as word from tok t join langs using (book_id) left join pool on pool.lang = langs.lang and pool.len = length(token)),
-done as (select *, case when not regexp_matches(token, '^[A-Za-z]+$') or regexp_matches(lower(token), '{ROMAN_WORD}') then token when start >= {redact.BODY} or word is null then repeat('q', length(token))
-  when upper(token) = token and length(token) > 1 then upper(word) when upper(token[1]) = token[1] then upper(word[1]) || word[2:] else word end as replacement from drawn)
-select book_id, page_index, length(string_agg(replacement, '' order by i)) as n, md5(string_agg(replacement, '' order by i)) as digest from done group by all""")
-def redacted_pages(spark, sf_dir):
-    """Lengths, which are those of the originals, and digests of redacted pages."""
-    docs = table(spark, sf_dir, "documents")
-    lang = docs.filter("doc_id % 25 = 2").select(F.expr("doc_id div 25").alias("book_id"), "lang")
-    done = redact.redact(pages(spark, sf_dir), redact.word_pool(docs), lang)
-    return done.select("book_id", "page_index", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
-
-
 @query()
 def segment_corpus(spark, sf_dir):
     """Chapters of every derived book from its contents, on uncut texts."""

@@ -1,3 +1,4 @@
+import collections
 import random
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from folio.functions import fuzzy
 from folio.functions import pagenum as N
 from folio.functions import text as T
+from folio.operators import toc
 
 
 def values(spark, items, column):
@@ -59,5 +61,36 @@ def test_partial_ratio_is_the_best_window(seed):
         a, b = ("".join(rng.choice("abcd ") for _ in range(rng.randint(1, n))) for n in (90, 140))
         assert fuzzy.partial(a, b) == pytest.approx(slow_partial(a, b))
         short, long = (a, b) if len(a) <= len(b) else (b, a)
-        if len(a) != len(b) and fuzzy._hopeless(short, long, 80.0):
-            assert fuzzy.partial(a, b) < 80
+        for threshold in (70.0, 80.0, 90.0, 95.0):
+            if len(a) != len(b) and fuzzy.Grams(long).hopeless(short, threshold):
+                assert fuzzy.partial(a, b) < threshold
+
+
+def test_hopeless_windows_are_told_without_error():
+    """Strings with edited copies of the shorter one inside, over small and large alphabets."""
+    rng = random.Random(12)
+    told = collections.Counter()
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz "])
+        short = [rng.choice(letters) for _ in range(rng.randint(2, 50))]
+        copy = [c for c in short if rng.random() > 0.08]
+        for k in range(rng.randrange(4)):
+            copy.insert(rng.randrange(len(copy) + 1), rng.choice(letters))
+        around = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in "ab"]
+        short, long = "".join(short), around[0] + "".join(copy) + around[1]
+        if len(short) < len(long):
+            score = fuzzy.partial(short, long)
+            for threshold in (80.0, 90.0):
+                hopeless = fuzzy.Grams(long).hopeless(short, threshold)
+                assert not (hopeless and score >= threshold)
+                told[hopeless, score >= threshold] += 1
+    assert told[True, False] > 300 and told[False, True] > 300
+
+
+def test_contents_lines_end_as_they_may(spark):
+    """The quick look at a line's end never turns down a contents line."""
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abcxiv .\u00a0\t9X") for _ in range(rng.randint(1, 60))) + " " * rng.choice([0, 0, 3, 37, 39, 41, 60]) for _ in range(4000)]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert rows.filter(T.strip(F.col("line")).rlike(N.TOC_LINE) & ~toc._may_end_in_number(F.col("line"))).count() == 0
+    assert rows.filter(T.strip(F.col("line")).rlike(N.TOC_LINE)).count() > 100

@@ -98,9 +98,9 @@ def segment_evidence(spark, sf_dir):
     return evidence.segment_evidence(fixture.book_pages(spark, sf_dir), *all_evidence(spark, sf_dir))
 
 
-def book_layout(spark, sf_dir) -> DataFrame:
+def book_layout(spark, sf_dir, ascii_only: bool = False) -> DataFrame:
     """Layout lines of the derived corpus: widths follow the text, and most chapters open with a larger line."""
-    lines = toc.explode_lines(fixture.book_pages(spark, sf_dir).filter(F.col("book_id") < fixture.ANNEX))
+    lines = toc.explode_lines(fixture.book_pages(spark, sf_dir, ascii_only).filter(F.col("book_id") < fixture.ANNEX))
     large = F.expr("line_no = 0 and page_index >= 2 and page_index % 3 = 2 and (book_id * 7 + page_index) % 5 <> 0 or (book_id + page_index * 3 + line_no) % 97 = 0")
     return lines.select(
         "book_id", "page_index", "line_no", F.col("line").alias("content"), (50 + (7 * F.col("line_no")) % 30).cast("double").alias("hpos"), (40 + 14 * F.col("line_no")).cast("double").alias("vpos"),

@@ -5,12 +5,17 @@ license templates.  A hit at text word p and template word q votes for the diago
 template and diagonal are summed.  Diagonals at most ``JOIN`` words apart merge (a word put in or left out shifts
 what follows) into bands of at most ``WIDTH`` diagonals, which are laid out twice, half a width apart, so that a
 drift of half a width always stands in one band.  Bands with enough different k-grams are then verified word by word
-in the texts that have them: a template word counts if the text has it on one of the band's diagonals.
+in the texts that have them: a template word counts if the text has it on one of the band's diagonals.  A span needs
+``LEAST_WORDS`` verified words, or all of a shorter template, and the words that tell its license from others.
+
+Templates compete for a place: of spans with different labels that share half of the shorter one, the one with more
+verified words stays, then the one with the greater share, so a notice that adds a condition is not taken for the one
+without.  Spans are held against each other only where they stand in the same piece of a text.
 
 The base phrases are found apart from that, at every place where their words stand one after another.
 
 Defined results: a null text is empty; a text without hits has null first and last words, empty labels and score
-0; the score is the best verified share of a template's words, and 1 where a base phrase stands; templates of fewer
+0; the score is the best verified share of a template's words among spans that stay, and 1 where a base phrase stands; templates of fewer
 than k words are never found; rows that repeat an id or have none get a row each; a text's words stay in its row, so
 a very long text costs memory by its words; an empty table gives an empty one; extra columns are ignored.
 """
@@ -21,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm import scratch
+from folio.llm.license_texts import KEYS, TEMPLATES
 
 K = 4
 #: Diagonals at most so many words apart belong to one span.
@@ -29,38 +35,14 @@ JOIN = 4
 WIDTH = 16
 #: Share of a template's k-grams, and then of its words, that a span must hold.
 COVER = 0.5
+#: Words that a span of a longer template must hold at least; a shorter one must stand as a whole.
+LEAST_WORDS = 12
+#: Words of a piece of a text in which spans are held against each other.
+PIECE = 256
 
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: License notices whose wording is looked for, by label.
-TEMPLATES = {
-    "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    ],
-    "mit": [
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-        "Released under the MIT License.",
-    ],
-    "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    ],
-    "gpl": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    ],
-    "cc-by": [
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution license",
-    ],
-    "reserved": ["No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher"],
-}
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -70,11 +52,19 @@ def word_array(text: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates: dict[str, list[str]] | DataFrame = TEMPLATES) -> DataFrame:
-    """(label, template, said): the words of each template, from label to texts or from a table (label, template, text)."""
+    """(label, template, said, keys): the words of each template, and those of them that its spans must hold.
+
+    Templates come by label, with the keys of ``KEYS``, or as a table (label, template, text), where a column ``keys``
+    may name such words.
+    """
     if isinstance(templates, dict):
-        rows = [(label, n, text) for label, texts in templates.items() for n, text in enumerate(texts)]
-        return F.broadcast(spark.createDataFrame(rows, "label string, template int, text string").select("label", "template", word_array(F.col("text")).alias("said")))
-    return scratch.limited(scratch.stored(templates.select("label", "template", word_array(F.col("text")).alias("said")), "license-templates"))
+        rows = [(label, n, text, list(KEYS.get(label, ()))) for label, texts in templates.items() for n, text in enumerate(texts)]
+        table = spark.createDataFrame(rows, "label string, template int, text string, keys array<string>")
+    else:
+        table = templates if "keys" in templates.columns else templates.withColumn("keys", F.array().cast("array<string>"))
+    said = table.select("label", "template", word_array(F.col("text")).alias("said"), F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
+    said = said.withColumn("keys", F.array_intersect("keys", "said"))
+    return F.broadcast(said) if isinstance(templates, dict) else scratch.limited(scratch.stored(said, "license-templates"))
 
 
 def k_grams(words: Column, k: int) -> Column:
@@ -102,9 +92,27 @@ def spans(rows: DataFrame, *, k: int = K, join: int = JOIN, width: int = WIDTH,
     likely = scratch.stored(bands.filter(F.col("votes") >= cover * F.col("grams")).select("row", "label", "template", "low", "high"), "license-bands")
     # the words of texts with a likely band, and of these only, are compared with the template's
     texts = rows.join(scratch.limited(scratch.stored(likely.select("row").distinct(), "license-rows")), "row").select("row", word_array(F.col("text")).alias("words"))
-    found = likely.join(texts, "row").join(said, ["label", "template"])
-    matched = F.filter(F.sequence(F.lit(0), F.size("said") - 1), lambda q: F.exists(F.sequence("low", "high"), lambda d: F.get("words", q + d).eqNullSafe(F.get("said", q))))
-    return found.select("row", "label", (F.size(matched) / F.size("said")).alias("score")).filter(F.col("score") >= cover)
+    # of a text only the words that a band can meet go on with it, so that many notices in one text cost its words once
+    begin = F.greatest("low", F.lit(0))
+    found = likely.join(said, ["label", "template"]).join(texts, "row").select("row", "label", "low", "high", "keys", "said", begin.alias("begin"), F.slice("words", begin + 1, F.greatest(F.col("high") + F.size("said") - begin, F.lit(0))).alias("near"))
+    matched = F.filter(F.sequence(F.lit(0), F.size("said") - 1), lambda q: F.exists(F.sequence("low", "high"), lambda d: (q + d >= F.col("begin")) & F.get("near", q + d - F.col("begin")).eqNullSafe(F.get("said", q))))
+    verified = found.select("row", "label", "low", "high", "keys", "said", matched.alias("at")).filter(F.size("at") > 0)
+    told = F.forall("keys", lambda w: F.exists("at", lambda q: F.get("said", q) == w))
+    enough = (F.col("score") >= cover) & (F.col("matched") >= F.least(F.lit(LEAST_WORDS), F.col("size"))) & F.col("told")
+    verified = verified.select("row", "label", F.size("at").alias("matched"), (F.size("at") / F.size("said")).alias("score"), F.size("said").alias("size"), (F.col("low") + F.array_min("at")).alias("start"), (F.col("high") + F.array_max("at") + 1).alias("end"), told.alias("told"))
+    verified = scratch.stored(verified.filter(enough).select("row", "label", "start", "end", "matched", "score").distinct(), "license-spans")
+    return verified.join(_beaten(verified), ["row", "label", "start", "end", "matched", "score"], "left_anti").select("row", "label", "score")
+
+
+def _beaten(found: DataFrame) -> DataFrame:
+    """The spans that a better one of another label stands over.  Spans meet in the pieces of a text that they touch."""
+    pieces = F.explode(F.sequence(F.floor(F.col("start") / PIECE), F.floor((F.col("end") - 1) / PIECE)))
+    mine = found.withColumn("piece", pieces)
+    theirs = mine.select("row", "piece", F.col("label").alias("b_label"), F.struct("matched", "score", "label").alias("b_rank"), F.col("start").alias("b_start"), F.col("end").alias("b_end")).distinct()
+    met = mine.join(theirs, ["row", "piece"]).filter((F.col("label") != F.col("b_label")) & (F.col("b_rank") > F.struct("matched", "score", "label")))
+    shared = F.least("end", "b_end") - F.greatest("start", "b_start")
+    over = 2 * shared >= F.least(F.col("end") - F.col("start"), F.col("b_end") - F.col("b_start"))
+    return met.filter(over).select("row", "label", "start", "end", "matched", "score").distinct()
 
 
 def phrase_starts(words: Column, phrase: str) -> Column:

@@ -148,7 +148,9 @@ def balls(coded: DataFrame, least: float = LEAST) -> DataFrame:
         member = ball.join(size, "ball").join(coded.select("vec", "dim", F.col("ball_bands")[k].alias("key")), "vec")
         # the most popular ball of a bucket, the least number on ties; alone in a bucket, a vector has no one to turn to
         popular = member.groupBy("dim", "key").agg(F.max(F.struct("size", (-F.col("ball")).alias("less"))).alias("best"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-        turn = member.join(popular.select("dim", "key", F.col("best.size").alias("best_size"), (-F.col("best.less")).alias("leader")), ["dim", "key"])
+        # read again, so that the rows of a hot bucket can be split in this join
+        popular = scratch.stored(popular.select("dim", "key", F.col("best.size").alias("best_size"), (-F.col("best.less")).alias("leader")), "embedding-popular")
+        turn = member.join(popular, ["dim", "key"])
         turn = turn.filter((F.col("leader") != F.col("ball")) & ((F.col("best_size") > F.col("size")) | (F.col("leader") < F.col("ball"))))
         near = turn.select("vec", "leader").join(units_of, "vec").join(units_of.select(F.col("vec").alias("leader"), F.col("unit").alias("other")), "leader").filter(_cosine("unit", "other") >= reach)
         moved = scratch.stored(near.select("vec", "leader"), "embedding-turns")

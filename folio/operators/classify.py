@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators import layout
+from folio.operators import layout, ranks
 
 LABELS = ("toc", "chapter_first")
 FEATURES = (
@@ -30,8 +30,6 @@ MOST_FOLDS = 1024
 PENALTY = 1.0
 PASSES = 60
 CLOSE = 1e-10
-#: Bins of probabilities in which a k-th value is looked for first.
-BINS = 1 << 16
 RECALL_TOLERANCE = 0.9
 
 
@@ -213,31 +211,14 @@ def scored(rows: DataFrame, models: Models) -> DataFrame:
     return out
 
 
-def kth_greatest(values: DataFrame, ranks: DataFrame, *keys: str, bins: int = BINS) -> DataFrame:
-    """(keys, value): for each group of ``values`` (keys, p in 0 to 1) the one of rank k, the greatest being 1, from ``ranks`` (keys, k).
-
-    Values are counted in bins, a row for each key, bin and task, and only those of the bin that holds the k-th are put in order.
-    """
-    binned = values.withColumn("bin", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)))
-    counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
-    above = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    held = counts.withColumn("above", above).join(ranks, list(keys)).filter((F.col("above") < F.col("k")) & (F.col("above") + F.col("n") >= F.col("k")))
-    inside = binned.join(held.select(*keys, "bin", (F.col("k") - F.col("above")).alias("place")), [*keys, "bin"])
-    # equal values are one row with a count, so that a bin of ties stays small
-    inside = inside.groupBy(*keys, "place", "p").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc("p")))
-    inside = inside.withColumn("upto", upto).filter((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place")))
-    return inside.select(*keys, F.col("p").alias("value"))
-
-
 def thresholds(rows: DataFrame, models: Models, recall: float) -> DataFrame:
     """(fold, label, threshold): the greatest probability that reaches a recall among the positives a model was fitted on; 1 without any."""
     table = models.table(rows.sparkSession).filter("fitted").withColumnRenamed("fold", "model")
     logit = F.aggregate(F.zip_with("features", "weights", lambda a, b: a * b), F.col("intercept"), lambda s, x: s + x)
     met = rows.select("fold", "label", "features").join(F.broadcast(table), "label").filter(F.col("fold") != F.col("model"))
     values = met.select(F.col("model").alias("fold"), "label", (F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).alias("p"))
-    ranks = values.groupBy("fold", "label").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * F.lit(recall))).cast("long").alias("k"))
-    found = kth_greatest(values, ranks, "fold", "label").withColumnRenamed("value", "threshold")
+    wanted = values.groupBy("fold", "label").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * F.lit(recall))).cast("long").alias("k"))
+    found = ranks.kth_greatest(values, wanted, "fold", "label").select("fold", "label", F.col("value").alias("threshold"))
     every = models.table(rows.sparkSession).select("fold", "label")
     return every.join(found, ["fold", "label"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(1.0)))
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators import ranks
+
+#: Vectors that a block of either side holds, about.
+NEAR_BLOCK = 2048
+
 
 def offset_consensus(numbers: DataFrame, min_votes: int = 5) -> DataFrame:
     """(book_id, is_roman, offset, votes): the commonest distance of page index and printed value; the first on ties."""
@@ -35,24 +42,48 @@ def confirmed_gate(chapters: DataFrame, least: int = 3, share: float = 0.8) -> D
     return rows.select("book_id", "n", (F.col("n") / F.col("all")).alias("share"), ((F.col("n") >= least) & (F.col("n") >= share * F.col("all"))).alias("ok"))
 
 
-def nn_distance(vectors: DataFrame, reference: DataFrame, blocks: int = 16) -> DataFrame:
-    """(id, distance): Euclidean distance to the nearest other reference vector.
-
-    ``reference`` are the bounded set of accepted books' pages; it is cut into blocks that every vector meets one
-    row at a time, so partial minima are all that is shuffled.
+def _nearest(batch: pa.Table) -> pa.Table:
+    """Least squared distances from the vectors of a pair of blocks to its reference rows, an exact sum for each near one."""
+    is_ref = np.array(batch["is_ref"].to_pylist(), bool)
+    ids = np.array(batch["id"].to_pylist(), dtype=object)
+    v = np.array(batch["v"].to_pylist(), np.float64)
+    own, refs = np.flatnonzero(~is_ref), np.flatnonzero(is_ref)
+    least = np.full(len(own), np.nan)
+    if len(own) and len(refs):
+        x, y = v[own], v[refs]
+        rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
+        rough[ids[own][:, None] == ids[refs][None, :]] = np.inf
+        # products lose digits where vectors are close: all that may be the nearest are summed up again
+        slack = 1e-12 * ((x * x).sum(1) + (y * y).sum(1).max())
+        near = rough <= (np.where(np.isfinite(rough), rough, np.inf).min(1) + slack)[:, None]
+        near &= np.isfinite(rough)
+        a, b = np.nonzero(near)
+        exact = ((x[a] - y[b]) ** 2).sum(1)
+        least = np.full(len(own), np.inf)
+        np.minimum.at(least, a, exact)
+        least[np.isinf(least)] = np.nan
+    return pa.table({"id": pa.array([str(i) for i in ids[own]], pa.string()), "d2": pa.array(least, pa.float64(), from_pandas=True)})
+
+
+def nn_distance(vectors: DataFrame, reference: DataFrame, block: int = NEAR_BLOCK) -> DataFrame:
+    """(id, distance): Euclidean distance to the nearest reference vector of another id; null without any.
+
+    Both sides are dealt into blocks by a hash, as many as their rows ask for, and each pair of blocks is a group of
+    bounded size; partial minima are all that leaves it.  Every vector is held against every reference vector, as in
+    many dimensions no bound by the distance to a third point rules pairs out.
     """
-    ref = reference.select(F.col("id").alias("ref_id"), F.col("v").alias("ref_v"))
-    ref = ref.groupBy(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("ref_id", "ref_v")).alias("refs"))
-    spread = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    others = F.filter("refs", lambda r: r["ref_id"] != F.col("id"))
-    square = lambda r: F.aggregate(F.zip_with("v", r["ref_v"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    near = spread.join(ref, "block").select("id", F.array_min(F.transform(others, square)).alias("d2"))
-    return near.groupBy("id").agg(F.sqrt(F.min("d2")).alias("distance"))
+    n_own, n_ref = (max(1, -(-df.count() // block)) for df in (vectors, reference))
+    dealt = lambda df, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    kind = vectors.schema["id"].dataType.simpleString()
+    sides = lambda df, n, other, is_ref: df.select(F.col("id").cast("string").alias("id"), "v", F.lit(is_ref).alias("is_ref"), dealt(df, n).alias("ref_block" if is_ref else "block"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("block" if is_ref else "ref_block"))
+    both = sides(vectors.filter("v is not null"), n_own, n_ref, False).unionByName(sides(reference.filter("v is not null"), n_ref, n_own, True))
+    near = both.groupBy("block", "ref_block").applyInArrow(_nearest, "id string, d2 double")
+    return near.groupBy("id").agg(F.sqrt(F.min("d2")).alias("distance")).withColumn("id", F.col("id").cast(kind))
 
 
 def novelty_threshold(vectors: DataFrame, percentile: float = 90.0) -> DataFrame:
     """One row: the percentile of each vector's distance to the nearest other."""
-    return nn_distance(vectors, vectors).agg(F.percentile("distance", percentile / 100).alias("threshold"))
+    return ranks.percentile(nn_distance(vectors, vectors).select(F.col("distance").alias("p")), percentile / 100).select(F.col("value").alias("threshold"))
 
 
 def is_novel(candidates: DataFrame, reference: DataFrame, threshold: DataFrame) -> DataFrame:
@@ -93,12 +124,23 @@ def toc_range(listings: DataFrame) -> DataFrame:
 
 
 def stratified_split(books: DataFrame, eval_counts: dict[str, int], seed: int = 42) -> DataFrame:
-    """(corpus, book_id, split): an exact number of evaluation books of each corpus, by a hash of seed and id."""
-    w = Window.partitionBy("corpus").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("book_id").cast("string")), 256), "book_id")
-    quota = F.lit(0)
-    for corpus, n in eval_counts.items():
-        quota = F.when(F.col("corpus") == corpus, n).otherwise(quota)
-    return books.select("corpus", "book_id", F.when(F.row_number().over(w) <= quota, "eval").otherwise("train").alias("split"))
+    """(corpus, book_id, split): an exact number of evaluation books of each corpus, by a hash of seed and id.
+
+    The hash that parts them is found by counting ranges of its first digits, and only books that share these digits
+    are put in order.
+    """
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("book_id").cast("string")), 256)
+    rows = books.select("corpus", "book_id", digest.alias("digest")).withColumn("p", -F.conv(F.substring("digest", 1, 13), 16, 10).cast("double"))
+    quota = books.sparkSession.createDataFrame([(c, n) for c, n in eval_counts.items() if n > 0], "corpus string, k long")
+    bars = ranks.kth_greatest(rows.select("corpus", "p"), quota, "corpus").select("corpus", F.col("value").alias("bar"))
+    rows = rows.join(F.broadcast(quota), "corpus", "left").join(F.broadcast(bars), "corpus", "left")
+    ties = rows.filter("p = bar")
+    before = rows.filter("p > bar").groupBy("corpus").agg(F.count(F.lit(1)).alias("before"))
+    w = Window.partitionBy("corpus").orderBy("digest", "book_id")
+    chosen = ties.withColumn("rank", F.row_number().over(w)).join(before, "corpus", "left").filter(F.col("rank") + F.coalesce("before", F.lit(0)) <= F.col("k")).select("corpus", "book_id", F.lit(True).alias("last"))
+    rows = rows.join(chosen.distinct(), ["corpus", "book_id"], "left")
+    is_eval = F.col("k").isNotNull() & (F.col("bar").isNull() | (F.col("p") > F.col("bar")) | F.col("last"))
+    return rows.select("corpus", "book_id", F.when(F.coalesce(is_eval, F.lit(False)), "eval").otherwise("train").alias("split"))
 
 
 def candidate_budget(scores: DataFrame, cap: float = 0.15) -> DataFrame:
@@ -111,7 +153,7 @@ def candidate_budget(scores: DataFrame, cap: float = 0.15) -> DataFrame:
 
 def recall_threshold(scores: DataFrame, recall: float) -> DataFrame:
     """(label, threshold): the greatest probability that still reaches a recall among positives; 1 without any."""
-    positive = scores.filter("is_positive").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("label")))
-    w = Window.partitionBy("label").orderBy(F.desc("p"), "page_index")
-    at = positive.withColumn("k", F.row_number().over(w)).filter(F.col("k") == F.ceil(F.col("n") * recall)).select("label", F.col("p").alias("threshold"))
+    positive = scores.filter("is_positive and p is not null").select("label", "p")
+    wanted = positive.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * recall)).cast("long").alias("k"))
+    at = ranks.kth_greatest(positive, wanted, "label").select("label", F.col("value").alias("threshold"))
     return scores.select("label").distinct().join(at, "label", "left").withColumn("threshold", F.coalesce("threshold", F.lit(1.0)))

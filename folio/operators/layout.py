@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.operators import ranks
 
 
 def page_features(lines: DataFrame) -> DataFrame:
@@ -50,8 +51,10 @@ def lost_pages(labels: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def noise_summary(values: DataFrame) -> DataFrame:
-    """count, min, max, mean, median and sample deviation of the column ``value``."""
-    return values.agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("stdev"))
+    """count, min, max, mean, median and sample deviation of the column ``value``; the median by counted ranges."""
+    told = values.agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("stdev"))
+    middle = ranks.percentile(values.select(F.col("value").cast("double").alias("p")), 0.5).select(F.col("value").alias("median"), F.lit(1).alias("one"))
+    return told.withColumn("one", F.lit(1)).join(middle, "one", "left").select("n", "min", "max", "mean", "median", "stdev")
 
 
 def contrast_ratios(lines: DataFrame) -> DataFrame:

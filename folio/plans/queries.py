@@ -321,7 +321,7 @@ def recall_threshold(spark, sf_dir):
     return curate.recall_threshold(scores(spark, sf_dir).drop("page_index").withColumnRenamed("doc_id", "page_index"), 0.95)
 
 
-LAYOUT = """layout as (select l_orderkey % 50 as book_id, l_orderkey // 50 as page_index, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 as line_no, cast(50 + (7 * l_linenumber) % 30 as double) as hpos, cast(40 + 14 * l_linenumber as double) as vpos,
+LAYOUT = """layout as (select l_orderkey // 200 as book_id, l_orderkey % 200 as page_index, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 as line_no, cast(50 + (7 * l_linenumber) % 30 as double) as hpos, cast(40 + 14 * l_linenumber as double) as vpos,
   cast(l_quantity * 5 as double) as width, cast(case when l_linenumber = 1 and l_partkey % 3 = 0 then 18 else 10 end as double) as font, concat('line ', cast(l_suppkey as varchar)) as content from lineitem)"""
 
 
@@ -329,7 +329,7 @@ def layout_lines(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     number = F.expr("row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1")
     return rows.select(
-        (F.col("l_orderkey") % 50).alias("book_id"), F.expr("l_orderkey div 50").alias("page_index"), number.alias("line_no"), (50 + (7 * F.col("l_linenumber")) % 30).cast("double").alias("hpos"), (40 + 14 * F.col("l_linenumber")).cast("double").alias("vpos"),
+        F.expr("l_orderkey div 200").alias("book_id"), (F.col("l_orderkey") % 200).alias("page_index"), number.alias("line_no"), (50 + (7 * F.col("l_linenumber")) % 30).cast("double").alias("hpos"), (40 + 14 * F.col("l_linenumber")).cast("double").alias("vpos"),
         (F.col("l_quantity") * 5).cast("double").alias("width"), F.expr("cast(case when l_linenumber = 1 and l_partkey % 3 = 0 then 18 else 10 end as double)").alias("font"), F.concat(F.lit("line "), F.col("l_suppkey").cast("string")).alias("content"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"),
     )
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import answers, classify, redact, regions, segment
+from folio.operators import answers, classify, curate, ranks, redact, regions, segment
 from folio.plans import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -195,12 +195,45 @@ def test_labels_that_no_other_book_has(spark):
 
 def test_kth_greatest_with_ties(spark):
     rng = random.Random(2)
-    values = [("a", rng.random()) for _ in range(500)] + [("a", 0.5)] * 200 + [("b", 1.0)] * 3 + [("b", 0.0)]
+    values = [("a", rng.gauss(0, 5)) for _ in range(500)] + [("a", 0.5)] * 200 + [("b", 1.0)] * 3 + [("b", -7.0), ("c", 4.0)]
     df = spark.createDataFrame(values, "g string, p double")
     for k in (1, 2, 4, 300, 700):
-        ranks = spark.createDataFrame([("a", k), ("b", min(k, 4))], "g string, k long")
-        want = {g: sorted((p for h, p in values if h == g), reverse=True)[(k if g == "a" else min(k, 4)) - 1] for g in "ab"}
-        assert dict(classify.kth_greatest(df, ranks, "g", bins=16).collect()) == want
+        wanted = spark.createDataFrame([("a", k), ("b", min(k, 4)), ("c", 1)], "g string, k long")
+        want = {g: sorted((p for h, p in values if h == g), reverse=True)[n - 1] for g, n in (("a", k), ("b", min(k, 4)), ("c", 1))}
+        assert {r.g: r.value for r in ranks.kth_greatest(df, wanted, "g", bins=16).collect()} == want
+
+
+@pytest.mark.parametrize("fraction", [0.0, 0.3, 0.5, 0.9, 1.0])
+def test_percentiles_equal_the_built_in_ones(spark, fraction):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(k % 3, rng.gauss(0, 5)) for k in range(400)] + [(7, 2.0), (8, None)], "g int, p double")
+    want = {r.g: r.v for r in df.groupBy("g").agg(F.percentile("p", fraction).alias("v")).collect() if r.v is not None}
+    assert {r.g: r.value for r in ranks.percentile(df, fraction, "g").collect()} == pytest.approx(want)
+    assert ranks.percentile(df, fraction).first().value == pytest.approx(df.agg(F.percentile("p", fraction)).first()[0])
+
+
+def test_nearest_distances_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    refs, own = rng.normal(size=(300, 8)), rng.normal(size=(120, 8))
+    own[:5] = refs[:5] + 1e-7
+    rows = lambda name, x: spark.createDataFrame([(f"{name}{k}", list(map(float, v))) for k, v in enumerate(x)], "id string, v array<double>")
+    want = {f"q{k}": float(np.sqrt(((refs - v) ** 2).sum(1)).min()) for k, v in enumerate(own)}
+    got = {r.id: r.distance for r in curate.nn_distance(rows("q", own), rows("r", refs), block=64).collect()}
+    assert got == pytest.approx(want, rel=1e-12)
+    apart = {f"r{k}": float(np.sort(np.sqrt(((refs - v) ** 2).sum(1)))[1]) for k, v in enumerate(refs)}
+    assert {r.id: r.distance for r in curate.nn_distance(rows("r", refs), rows("r", refs), block=50).collect()} == pytest.approx(apart, rel=1e-12)
+    assert curate.nn_distance(rows("q", own), rows("r", refs).filter("false")).filter("distance is not null").isEmpty()
+
+
+def test_splits_of_a_large_corpus(spark):
+    """Exact counts, the least hashes of each corpus, and all books where a corpus has too few."""
+    import hashlib
+
+    books = [("a", k) for k in range(500)] + [("b", k) for k in range(3)] + [("c", k) for k in range(40)]
+    got = {(r.corpus, r.book_id): r.split for r in curate.stratified_split(spark.createDataFrame(books, "corpus string, book_id long"), {"a": 17, "b": 5}).collect()}
+    for corpus, n in (("a", 17), ("b", 3), ("c", 0)):
+        own = sorted((hashlib.sha256(f"42:{k}".encode()).hexdigest(), k) for c, k in books if c == corpus)
+        assert {k for (c, k), s in got.items() if c == corpus and s == "eval"} == {k for _, k in own[:n]}
 
 
 # redaction

@@ -103,6 +103,24 @@ def report_tables(metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
     return per_document, rank_strategies(micro_metrics(metrics, "strategy"))
 
 
+def strategy_report(expected: DataFrame, found: DataFrame, timed: DataFrame, applicable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row for each book and strategy that applies to it, a ranked row for each strategy).
+
+    ``applicable`` are the (strategy, book_id) pairs that were tried: a strategy that had nothing to go by, such as an
+    empty outline, is no pair and counts nowhere, while one that found nothing counts with zeros.  ``timed`` are runs
+    (strategy, book_id, elapsed_seconds, date); times add up and the last date stands for a strategy.  Pooled counts
+    make the rates, of boundaries and of printed ranges.
+    """
+    hits = range_matches(expected, found).groupBy("strategy", "book_id").agg(F.count_if("is_tp").alias("tp"), F.count(F.lit(1)).alias("found"))
+    want = expected.select("book_id", "pdf_start_index", "pdf_end_index").distinct().groupBy("book_id").agg(F.count(F.lit(1)).alias("expected"))
+    times = timed.groupBy("strategy", "book_id").agg(F.sum("elapsed_seconds").alias("elapsed_seconds"), F.max("date").alias("date"))
+    rows = applicable.select("strategy", "book_id").distinct().join(want, "book_id", "left").join(hits, ["strategy", "book_id"], "left").join(times, ["strategy", "book_id"], "left")
+    per_document = _rates(rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("tp", "found", "expected")}))
+    cited = citation_micro(citation_metrics(citation_pairs(expected, found.join(applicable, ["strategy", "book_id"], "left_semi"))), "strategy")
+    pooled = per_document.groupBy("strategy").agg(F.count(F.lit(1)).alias("n_books"), *(F.sum(c).alias(c) for c in ("tp", "found", "expected", "elapsed_seconds")), F.max("date").alias("date"))
+    return per_document, rank_strategies(_rates(pooled)).join(cited, "strategy", "left")
+
+
 def match_listing(predicted: DataFrame, expected: DataFrame, threshold: float = 70.0) -> DataFrame:
     """(book_id, matched): listing entries matched in order, by equal page value and resembling titles.
 

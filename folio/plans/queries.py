@@ -159,6 +159,23 @@ def micro_rollup(spark, sf_dir):
     return evaluate.micro_rollup(rows.withColumn("corpus", F.expr("concat('corpus', book_id % 4)")))
 
 
+APPLIED = "applied as (select distinct strategy, doc_id // 25 as book_id from documents, (values ('heuristic'), ('outline'), ('llm')) as v(strategy) where strategy <> 'outline' or (doc_id // 25) % 4 = 1)"
+
+
+@query(f"""with {SCORED}, {APPLIED}, want as (select book_id, count(*) as expected from expected group by book_id), d as (select a.strategy, a.book_id, coalesce(p.tp, 0) as tp, coalesce(p.found, 0) as found, coalesce(w.expected, 0) as expected, (a.book_id * 3) % 7 + 0.5 as s, concat('2026-0', 1 + a.book_id % 9, '-01') as date
+  from applied a left join want w on w.book_id = a.book_id left join per_book p on p.strategy = a.strategy and p.book_id = a.book_id),
+p as (select strategy, count(*) as n_books, sum(tp) as tp, sum(found) as found, sum(expected) as expected, sum(s) as elapsed_seconds, max(date) as date from d group by strategy), r as (select *, {RATES} from p),
+c as (select strategy, count(*) as pairs from found join expected using (book_id, pdf_start_index, pdf_end_index) semi join applied using (strategy, book_id) group by strategy)
+select r.*, row_number() over (order by f1 desc, r.strategy) as rank, f1 = max(f1) over () and max(f1) over () > 0 as is_best, pairs from r left join c using (strategy)""")
+def strategy_report(spark, sf_dir):
+    """Pooled scores, times and dates of the strategies over the books that each could be tried on."""
+    names = F.when(F.expr("book_id % 4 = 1"), F.array(*map(F.lit, STRATEGIES))).otherwise(F.array(F.lit("heuristic"), F.lit("llm")))
+    applied = table(spark, sf_dir, "documents").select(F.expr("doc_id div 25").alias("book_id")).distinct().select(F.explode(names).alias("strategy"), "book_id")
+    timed = applied.withColumn("elapsed_seconds", F.expr("(book_id * 3) % 7 + 0.5D")).withColumn("date", F.expr("concat('2026-0', 1 + book_id % 9, '-01')"))
+    report = evaluate.strategy_report(expected(spark, sf_dir), found(spark, sf_dir), timed, applied)[1]
+    return report.drop("covered", "start_ok", "end_ok", "coverage", "start_accuracy", "end_accuracy")
+
+
 CITED = f"""{EXPECTED}, {FOUND}, c as (select strategy, book_id, (book_id + 2 * found.chapter_no) % 6 <> 0 as given, (3 * book_id + found.chapter_no) % 4 <> 1 as start_right, 2 * ((book_id + found.chapter_no) % 5) <= 3 as end_right
   from found join expected using (book_id, pdf_start_index, pdf_end_index)), p as (select strategy, book_id, count(*) as pairs, count(*) filter (where given) as covered, count(*) filter (where given and start_right) as start_ok, count(*) filter (where given and end_right) as end_ok from c group by all)"""
 

@@ -113,15 +113,24 @@ def _spans(lines: Column, size: Column, headers: Column) -> Column:
     return F.aggregate(F.slice(lines, F.lit(1), size + 1), begin, step)["spans"]
 
 
-def _placed(text: Column) -> Column:
-    """(start, token) of a short text's tokens."""
-    begin = F.struct(F.array().cast("array<struct<start:int,token:string>>").alias("tokens"), F.lit(0).alias("at"))
+#: Tokens of a block whose lengths are added up on their own.
+TOKENS = 32
 
-    def step(s: Column, token: Column) -> Column:
-        own = F.struct(s["at"].alias("start"), token.alias("token"))
-        return F.struct(F.concat(s["tokens"], F.array(own)).alias("tokens"), (s["at"] + F.length(token)).cast("int").alias("at"))
 
-    return F.aggregate(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), begin, step)["tokens"]
+def _with_places(rows: DataFrame) -> DataFrame:
+    """Adds ``tokens``, (start, token) of the column ``top``: lengths are added up in blocks, so that no token looks at all before it."""
+    rows = _worked_out(rows, raw=F.regexp_extract_all("top", F.lit(TOKEN), F.lit(0)))
+    rows = _worked_out(rows, lengths=F.transform("raw", F.length), blocks=F.when(F.size("raw") > 0, F.sequence(F.lit(0), ((F.size("raw") - 1) / TOKENS).cast("int"))).otherwise(F.array().cast("array<int>")))
+    total = lambda lengths: F.aggregate(lengths, F.lit(0), lambda s, x: s + x)
+    rows = _worked_out(rows, sums=F.transform("blocks", lambda k: total(F.slice("lengths", k * TOKENS + 1, F.lit(TOKENS)))))
+    rows = _worked_out(rows, before=F.transform("blocks", lambda k: total(F.slice("sums", F.lit(1), k))))
+
+    def placed(token: Column, i: Column) -> Column:
+        block = (i / TOKENS).cast("int")
+        inside = total(F.slice("lengths", block * TOKENS + 1, i - block * TOKENS))
+        return F.struct((F.get("before", block) + inside).alias("start"), token.alias("token"))
+
+    return _worked_out(rows, tokens=F.transform("raw", placed)).drop("raw", "lengths", "blocks", "sums", "before")
 
 
 def redact_pages(pages: DataFrame, languages: DataFrame, pools: DataFrame, full: DataFrame, headers: DataFrame, windows: DataFrame, salt: str = "book_id") -> DataFrame:
@@ -145,7 +154,7 @@ def redact_pages(pages: DataFrame, languages: DataFrame, pools: DataFrame, full:
     cutoff, text = F.col("cutoff"), F.col("text")
     over = F.when(F.substring(text, cutoff, F.lit(1)).rlike(WORD), F.regexp_extract(F.substring(text, cutoff + 1, F.length(text)), rf"^{WORD}", 0)).otherwise(F.lit(""))
     rows = _worked_out(rows, top=F.concat(F.substring(text, F.lit(1), cutoff), over))
-    rows = _worked_out(rows, size=F.length("top"), spans=_spans(F.col("lines"), F.length("top"), F.col("headers")), tokens=_placed(F.col("top")))
+    rows = _with_places(_worked_out(rows, size=F.length("top"), spans=_spans(F.col("lines"), F.length("top"), F.col("headers"))))
     last = F.element_at("spans", -1)
     rest_of_line = F.substring(text, F.col("size") + 1, last["end"] - F.col("size"))
     further = F.slice("lines", F.size("spans") + 1, F.greatest(F.size("lines") - F.size("spans"), F.lit(0)))

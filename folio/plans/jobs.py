@@ -170,14 +170,15 @@ done as (select *, case when kept or (book_id < {fixture.ANNEX} and page_index =
 @query(f"with {REDACTED} select book_id, page_index, length(string_agg(replacement, '' order by i)) as n, md5(string_agg(replacement, '' order by i)) as digest from done group by all")
 def redacted_pages(spark, sf_dir):
     """Lengths and digests of redacted pages, around contents pages, running headers and the heads of chapters."""
-    p = pages(spark, sf_dir).filter("text <> ''")
-    headers = stored(locate.running_headers(toc.top_lines(pages(spark, sf_dir), locate.HEADER_LINES), toc.page_counts(pages(spark, sf_dir))))
+    whole = stored(pages(spark, sf_dir))
+    p = whole.filter("text <> ''")
+    headers = stored(locate.running_headers(toc.top_lines(whole, locate.HEADER_LINES), toc.page_counts(whole)))
     known = headers.groupBy("book_id").agg(F.collect_set("header_form").alias("headers"))
     opening = p.filter(F.expr(f"book_id < {fixture.ANNEX} and page_index >= 2 and page_index % 3 = 2")).join(known, "book_id", "left")
     start = F.least(regions.header_offset(F.col("text"), F.coalesce("headers", F.array().cast("array<string>"))), F.length("text"))
     windows = opening.select("book_id", "page_index", start.alias("start"), F.least(start + 200, F.length("text")).alias("end"))
     contents = p.filter(f"book_id < {fixture.ANNEX} and page_index = 1").select("book_id", "page_index")
-    done = regions.redact_pages(p, languages(spark, sf_dir), regions.bounded_pool(table(spark, sf_dir, "documents")), contents, headers, windows)
+    done = regions.redact_pages(p, languages(spark, sf_dir), stored(regions.bounded_pool(table(spark, sf_dir, "documents"))), contents, headers, windows)
     return done.select("book_id", "page_index", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 

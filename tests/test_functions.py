@@ -1,6 +1,8 @@
 import collections
 import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,36 @@ def test_contents_lines_end_as_they_may(spark):
     rows = spark.createDataFrame([(x,) for x in lines], "line string")
     assert rows.filter(T.strip(F.col("line")).rlike(N.TOC_LINE) & ~toc._may_end_in_number(F.col("line"))).count() == 0
     assert rows.filter(T.strip(F.col("line")).rlike(N.TOC_LINE)).count() > 100
+
+
+def test_scores_side_by_side_are_those_of_single_pairs():
+    """Batches of pairs over all kinds of lengths, also at the edges of words of bits; none above a threshold is lost."""
+    rng = random.Random(5)
+    pairs = [("", ""), ("", "a"), ("abc", "xyz"), ("a\U0001f600b", "xa\U0001f600cb")]
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz éß"])
+        least, most = rng.choice([(1, 30), (40, 62), (63, 64), (64, 64), (100, 127), (150, 200)])
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(least, most)))
+        copy = "".join(c for c in a if rng.random() > 0.1)
+        b = "".join(rng.choice(letters) for _ in range(rng.randint(0, 150)))
+        pairs.append((a, rng.choice([b, b + copy + b, copy, (b + a + b)[: len(a)]])))
+    single = [fuzzy.partial(a, b) for a, b in pairs]
+    assert list(fuzzy.partials(pairs)) == single
+    for threshold in (70.0, 80.0, 90.0, 100.0):
+        got = fuzzy.partials(pairs, threshold)
+        assert all(g == s if s >= threshold else g in (0.0, s) for g, s in zip(got, single, strict=True))
+
+
+def test_many_pages_of_unrelated_prose_are_scored_in_seconds():
+    """Pages of one vocabulary against titles of another place: 4,800 pairs that no run of symbols parts."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeiounrstl") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pages = pd.Series([prose(60)[:250] for _ in range(600)])
+    titles = pd.Series([[prose(10)[:60] for _ in range(8)] for _ in range(600)])
+    begun = time.process_time()
+    scores = fuzzy.partial_ratios_from(80.0).func(titles, pages)
+    assert time.process_time() - begun < 3
+    for i in range(0, 600, 60):
+        for title, got in zip(titles[i], scores[i], strict=True):
+            assert got == fuzzy.partial(title, pages[i]) or got == 0.0 and fuzzy.partial(title, pages[i]) < 80.0

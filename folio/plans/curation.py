@@ -27,7 +27,7 @@ def _contents(pages: DataFrame) -> DataFrame:
 @query()
 def near_window(spark, sf_dir):
     """The page near a chapter's supposed one that is most like its title, on uncut texts."""
-    p = fixture.book_pages(spark, sf_dir)
+    p = fixture.stored_pages(spark, sf_dir)
     chapters = records(spark, sf_dir).withColumn("center", F.col("k") + F.expr("cast((book_id + k) % 5 - 2 as int)")).drop("k")
     return reconcile.confirm_near(chapters, p, _contents(p))
 
@@ -35,7 +35,7 @@ def near_window(spark, sf_dir):
 @query()
 def sequential_location(spark, sf_dir):
     """Opening pages of all chapters, each looked for after the one before, on uncut texts."""
-    p = fixture.book_pages(spark, sf_dir)
+    p = fixture.stored_pages(spark, sf_dir)
     entries = records(spark, sf_dir).withColumnRenamed("chapter_no", "entry_no").select("book_id", "entry_no", "title", "authors")
     return reconcile.locate_sequential(entries, p, _contents(p))
 
@@ -51,7 +51,7 @@ def outline_disagreement(spark, sf_dir):
 @query()
 def reconcile_funnel(spark, sf_dir):
     """The outcome of every derived book in the funnel, with what its gates saw."""
-    p = fixture.book_pages(spark, sf_dir)
+    p = fixture.stored_pages(spark, sf_dir)
     chapters = records(spark, sf_dir).drop("k")
     books = p.select("book_id").distinct()
     vectors = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 25").alias("book_id"), F.expr("cast(vec_id % 25 as int)").alias("page_index"), F.col("embedding").cast("array<double>").alias("v"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.operators.tables import stored
+
 ANNEX = 1_000_000
 _BOOKS = r"""
 with d as (select doc_id, {clean} as text, lang, {book} as book_id, cast(doc_id % 25 as int) as k from documents),
@@ -49,6 +51,12 @@ def book_pages(spark: SparkSession, sf_dir: str, ascii_only: bool = False) -> Da
     return spark.sql(_spell("spark", ascii_only).replace("from documents", "from {documents}"), documents=docs)
 
 
+def stored_pages(spark: SparkSession, sf_dir: str, ascii_only: bool = False) -> DataFrame:
+    """The corpus written once, for jobs that read it many times; pages are dealt evenly, as a table may come in one large piece."""
+    some = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return stored(book_pages(spark, sf_dir, ascii_only).repartition(some, "book_id", "page_index"))
+
+
 def book_pages_sql(ascii_only: bool = True) -> str:
     """The same corpus in DuckDB's spelling, as a subquery."""
     return f"({_spell('duckdb', ascii_only)})"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.operators import answers, classify, evidence, layout, locate, redact, regions, segment, toc
 from folio.operators.tables import stored
 from folio.plans import fixture
-from folio.plans.queries import LINES, NPAGES, PAGES, ROMANS, expected, pages, query, table
+from folio.plans.queries import LINES, NPAGES, PAGES, ROMANS, expected, query, table
 
 #: One answer's item for a chapter, in the forms that models write: the same text in both engines.
 _ITEM = """case cast((book_id * 3 + k) % 8 as int)
@@ -61,14 +61,14 @@ def choices(spark, sf_dir) -> DataFrame:
 @query()
 def segment_llm_rows(spark, sf_dir):
     """Chapters of every derived book from stored answers alone, on uncut texts."""
-    return answers.segment_answers(fixture.book_pages(spark, sf_dir), responses(spark, sf_dir), choices(spark, sf_dir))[0]
+    return answers.segment_answers(fixture.stored_pages(spark, sf_dir), responses(spark, sf_dir), choices(spark, sf_dir))[0]
 
 
 @query()
 def segment_fallback(spark, sf_dir):
     """Chapters from printed contents, and from stored answers in the fourth of all books whose contents pages have lost their numbers."""
     lost = F.regexp_replace("text", r" \.+ \d+", "")
-    p = fixture.book_pages(spark, sf_dir).withColumn("text", F.when(F.expr("book_id % 4 = 1 and page_index = 1"), lost).otherwise(F.col("text")))
+    p = fixture.stored_pages(spark, sf_dir).withColumn("text", F.when(F.expr("book_id % 4 = 1 and page_index = 1"), lost).otherwise(F.col("text")))
     return answers.segment_with_fallback(p, responses(spark, sf_dir), choices(spark, sf_dir))[0]
 
 
@@ -95,7 +95,7 @@ def all_evidence(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
 @query()
 def segment_evidence(spark, sf_dir):
     """Chapters from merged outline, record and catalog rows; books without any from their contents, on uncut texts."""
-    return evidence.segment_evidence(fixture.book_pages(spark, sf_dir), *all_evidence(spark, sf_dir))
+    return evidence.segment_evidence(fixture.stored_pages(spark, sf_dir), *all_evidence(spark, sf_dir))
 
 
 def book_layout(spark, sf_dir, ascii_only: bool = False) -> DataFrame:
@@ -170,7 +170,7 @@ done as (select *, case when kept or (book_id < {fixture.ANNEX} and page_index =
 @query(f"with {REDACTED} select book_id, page_index, length(string_agg(replacement, '' order by i)) as n, md5(string_agg(replacement, '' order by i)) as digest from done group by all")
 def redacted_pages(spark, sf_dir):
     """Lengths and digests of redacted pages, around contents pages, running headers and the heads of chapters."""
-    whole = stored(pages(spark, sf_dir))
+    whole = fixture.stored_pages(spark, sf_dir, ascii_only=True)
     p = whole.filter("text <> ''")
     headers = stored(locate.running_headers(toc.top_lines(whole, locate.HEADER_LINES), toc.page_counts(whole)))
     known = headers.groupBy("book_id").agg(F.collect_set("header_form").alias("headers"))
@@ -185,7 +185,7 @@ def redacted_pages(spark, sf_dir):
 @query()
 def region_map(spark, sf_dir):
     """Heads of pages that are like a title of their book, and pages that stay whole, on uncut texts."""
-    full, _, windows, _ = regions.region_map(fixture.book_pages(spark, sf_dir))
+    full, _, windows, _ = regions.region_map(fixture.stored_pages(spark, sf_dir))
     whole = full.select("book_id", "page_index").distinct().withColumn("kind", F.lit("whole")).withColumn("start", F.lit(None).cast("int")).withColumn("end", F.lit(None).cast("int"))
     return whole.unionByName(windows.select("book_id", "page_index", F.lit("heading").alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))
 
@@ -196,5 +196,5 @@ def redact_stable(spark, sf_dir):
     from folio.operators.tables import new_path
 
     pools = regions.bounded_pool(table(spark, sf_dir, "documents"))
-    done, _ = regions.redact_until_stable(fixture.book_pages(spark, sf_dir), languages(spark, sf_dir), stored(pools), new_path(spark, "redaction"))
+    done, _ = regions.redact_until_stable(fixture.stored_pages(spark, sf_dir), languages(spark, sf_dir), stored(pools), new_path(spark, "redaction"))
     return done.select("book_id", "page_index", "round", "stable", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))

@@ -408,7 +408,7 @@ def word_pool(spark, sf_dir):
 @query()
 def segment_corpus(spark, sf_dir):
     """Chapters of every derived book from its contents, on uncut texts."""
-    return segment.segment(fixture.book_pages(spark, sf_dir))[0]
+    return segment.segment(fixture.stored_pages(spark, sf_dir))[0]
 
 
 def _outline(spark, sf_dir) -> DataFrame:
@@ -419,7 +419,7 @@ def _outline(spark, sf_dir) -> DataFrame:
 @query()
 def outline_chapters(spark, sf_dir):
     """Chapters straight from outlines."""
-    n_pages, _, heads, numbers = segment.page_facts(pages(spark, sf_dir))
+    n_pages, _, heads, numbers = segment.page_facts(fixture.stored_pages(spark, sf_dir, ascii_only=True))
     return evidence.segment_outline(numbers, n_pages, heads, _outline(spark, sf_dir))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.operators import answers, classify, curate, ranks, redact, regions, segment
-from folio.plans import jobs
+from folio.plans import fixture, jobs
 
 SF = "/root/testdata/sf0.001"
 PAGES = "book_id long, page_index int, text string"
@@ -324,3 +324,12 @@ def test_redaction_until_stable(spark, tmp_path):
     # with one round there is no second try
     once, _ = regions.redact_until_stable(pages, languages, pools, f"file://{tmp_path}/once", rounds=1)
     assert {r.book_id: r.stable for r in once.select("book_id", "stable").distinct().collect()} == {1: False, 2: True}
+
+
+def test_stored_pages_are_the_derived_ones_dealt_evenly(spark):
+    """One piece of a table must not become one task of each later step."""
+    derived = fixture.book_pages(spark, SF)
+    kept = fixture.stored_pages(spark, SF)
+    assert kept.exceptAll(derived).isEmpty() and derived.exceptAll(kept).isEmpty()
+    sizes = [r[0] for r in kept.groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 2 * min(sizes)

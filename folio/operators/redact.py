@@ -15,7 +15,10 @@ def word_pool(documents: DataFrame) -> DataFrame:
 def pick(salt, page, start, word, size):
     """Fixed recipe: place in a pool of ``size``: the first eight bytes of a hash of salt, page, offset and word."""
     digest = F.sha2(F.concat_ws(":", salt.cast("string"), page.cast("string"), start.cast("string"), F.lower(word)), 256)
-    return (F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % size.cast("decimal(20,0)")).cast("int")
+    # the number in halves of 32 bits, as it would be a decimal in one piece
+    high, low = (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9))
+    n = size.cast("long")
+    return (((high % n) * (F.lit(1 << 32) % n) + low % n) % n).cast("int")
 
 
 def boundary_diff(a: DataFrame, b: DataFrame) -> DataFrame:

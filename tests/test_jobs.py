@@ -1,8 +1,11 @@
 """Whole jobs: stored answers, classifiers against plain fits, redaction around kept spans and until it is stable."""
 
+import hashlib
+import itertools
 import json
 import math
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -333,3 +336,26 @@ def test_stored_pages_are_the_derived_ones_dealt_evenly(spark):
     assert kept.exceptAll(derived).isEmpty() and derived.exceptAll(kept).isEmpty()
     sizes = [r[0] for r in kept.groupBy(F.input_file_name()).count().select("count").collect()]
     assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 2 * min(sizes)
+
+
+def test_filler_and_picks_are_those_of_plain_python(spark):
+    """Words at all kinds of borders against a walk over tokens, and places in a pool against whole numbers of 64 bits."""
+    rng = random.Random(21)
+    bits = ["mix", "MIX", "civilly", "ivxlcdmi", "a", "12", "12345", "٣٤", "x1", "_", "é", "été", "𝒳y", "Ⅷ", "²", " ", "\n", "-", ".", "", "i", "²5"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    word = lambda c: c == "_" or unicodedata.category(c)[0] in "LN"
+
+    def plain(text):
+        out = []
+        for is_word, run in itertools.groupby(text, word):
+            token = "".join(run)
+            shut = all(unicodedata.category(c) == "Nd" for c in token) or (len(token) <= 7 and all(c in "ivxlcdmIVXLCDM" for c in token))
+            out.append("q" * len(token) if is_word and not shut else token)
+        return "".join(out)
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r[0] for r in rows.orderBy("i").select(regions._filled(F.col("t"))).collect()] == [plain(t) for t in texts]
+    asked = [(f"b{i}", i % 30, i * 7, rng.choice(["Word", "ÉTÉ", "x"]), rng.randint(1, 300)) for i in range(300)]
+    got = spark.createDataFrame(asked, "salt string, page int, start int, word string, size int").select("*", redact.pick(*map(F.col, ("salt", "page", "start", "word", "size"))).alias("at")).collect()
+    for r in got:
+        assert r["at"] == int(hashlib.sha256(f"{r.salt}:{r.page}:{r.start}:{r.word.lower()}".encode()).hexdigest()[:16], 16) % r["size"]

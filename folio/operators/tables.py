@@ -25,3 +25,16 @@ def stored(df: DataFrame) -> DataFrame:
     path = new_path(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a narrow table that one task sorts.
+ROWS = 500_000
+
+
+def dealt(df: DataFrame, key: str, n_rows: int, rows: int = ROWS) -> DataFrame:
+    """``df`` dealt by ``key`` into as many parts as its number of rows asks for, so that no task's share grows with the table.
+
+    Windows and groups over the key and more keep this dealing; a part is a few hundred thousand rows, or one key.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-n_rows // rows)), key)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import pagenum as N
 from folio.functions import text as T
 from folio.operators import boundaries, curate, evaluate, evidence, layout, locate, redact, runs
+from folio.operators.tables import dealt
 from folio.plans.queries import CITED, EXPECTED, citation_accuracy, expected, page_labels, query, table
 
 BOOK_PAGES = "book_pages as (select doc_id, doc_id // 25 as book_id, cast(doc_id % 25 as integer) as page_index, text from documents)"
@@ -162,10 +163,12 @@ best as (select *, key - coalesce(next, 0) as margin from ranked where r = 1 and
 
 def _candidates(spark, sf_dir) -> DataFrame:
     variant = (F.col("l_suppkey") % 2).cast("int")
-    return table(spark, sf_dir, "lineitem").select(
+    items = table(spark, sf_dir, "lineitem")
+    rows = items.select(
         F.expr("l_orderkey div 8").alias("book_id"), (F.col("l_linenumber") % 2).cast("int").alias("entry_no"), variant.alias("variant_no"), F.concat(F.lit("reading "), F.repeat(F.lit("x"), variant)).alias("reading"),
         (F.col("l_partkey") % 40).cast("int").alias("page_index"), (80.0 + F.col("l_quantity").cast("int") % 19).alias("score"), (F.col("l_tax") > 0.05).alias("author_confirmed"), (F.col("l_returnflag") == "R").alias("is_roman"),
     )
+    return dealt(rows, "book_id", items.count())
 
 
 @query(f"with {CLUSTERS} select * from clusters")

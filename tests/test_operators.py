@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from folio.operators import curate, evaluate, runs, toc
+from folio.operators import curate, evaluate, locate, runs, tables, toc
 from folio.plans import fixture, registry
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +88,13 @@ def test_segmentation_of_a_small_book(spark):
         ("The Growth of Harbour Towns", 3, 7, "4-8"), ("Salt and Its Merchants", 8, 12, "9-13"), ("Roads Across the Northern Moor", 13, 19, "14-20"),
     ]
     assert summary.first().segmentation_confidence == "high"
+
+
+def test_clusters_sort_shares_of_bounded_size(spark):
+    """Parts grow in number with the rows, and the windows and groups over a reading's pages deal nothing anew."""
+    rows = spark.range(2000).selectExpr("id div 20 as book_id", "cast(id % 2 as int) as entry_no", "0 as variant_no", "'r' as reading", "cast(id % 19 as int) as page_index", "90.0D as score", "false as author_confirmed")
+    dealt = tables.dealt(rows, "book_id", 2000, rows=100)
+    best = locate.best_variant(locate.best_cluster(locate.cluster_candidates(dealt)))
+    assert dealt.rdd.getNumPartitions() == best.rdd.getNumPartitions() == 20
+    assert best.exceptAll(locate.best_variant(locate.best_cluster(locate.cluster_candidates(rows)))).isEmpty()
+    assert registry.queries()["location_clusters"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

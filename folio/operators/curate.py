@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.operators import ranks
+from folio.operators.tables import stored
 
-#: Vectors that a block of either side holds, about.
-NEAR_BLOCK = 2048
+#: Vectors that a block of either side holds at least, about, and numbers that it holds at most.
+NEAR_BLOCK, NEAR_NUMBERS = 2048, 1 << 22
+#: Pairs of blocks from which on blocks grow with the table, and parts that pairs are dealt into at most.
+NEAR_PAIRS, NEAR_PARTS = 256, 4096
+#: Vectors of either side whose products are made at once.
+NEAR_TILE = 256, 4096
 
 
 def offset_consensus(numbers: DataFrame, min_votes: int = 5) -> DataFrame:
@@ -42,48 +49,110 @@ def confirmed_gate(chapters: DataFrame, least: int = 3, share: float = 0.8) -> D
     return rows.select("book_id", "n", (F.col("n") / F.col("all")).alias("share"), ((F.col("n") >= least) & (F.col("n") >= share * F.col("all"))).alias("ok"))
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as rows of doubles; null components are not numbers."""
+    rows = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    lengths = np.unique(rows.value_lengths().to_numpy(zero_copy_only=False))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of {len(lengths)} lengths")
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(rows), int(lengths.max(initial=0)))
+
+
+def _equal_places(own: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) with own[a] = refs[b], in order of a."""
+    order = np.argsort(refs, kind="stable")
+    left, right = (np.searchsorted(refs[order], own, side) for side in ("left", "right"))
+    a = np.repeat(np.arange(len(own)), right - left)
+    within = np.arange(len(a)) - np.repeat(np.cumsum(right - left) - (right - left), right - left)
+    return a, order[left[a] + within]
+
+
+def _least_squares(x: np.ndarray, y: np.ndarray, x_ids: np.ndarray, y_ids: np.ndarray) -> np.ndarray:
+    """For each row of ``x`` the least squared distance to a row of ``y`` of another id; infinite without any.
+
+    Products in single precision say which pairs may be the nearest, within a bound of their error; only those are
+    summed up, in double precision.  Rows of ``y`` are taken by length, so that a long one widens no other's bound.
+    """
+    least = np.full(len(x), np.inf)
+    unit = max(np.abs(x).max(initial=0.0), np.abs(y).max(initial=0.0)) or 1.0
+    order = np.argsort(np.square(y / unit).sum(1), kind="stable")
+    y, y_ids = y[order], y_ids[order]
+    same_a, same_b = _equal_places(x_ids, y_ids)
+    own, refs = x / unit, y / unit
+    own2, refs2 = np.square(own).sum(1), np.square(refs).sum(1)
+    left = np.concatenate([-2 * own, np.ones((len(x), 1))], 1).astype(np.float32)
+    right = np.concatenate([refs, refs2[:, None]], 1).astype(np.float32)
+    rounding = 2 * (x.shape[1] + 8) * float(np.finfo(np.float32).eps)
+    some = max(1, NEAR_NUMBERS // max(1, x.shape[1]))
+
+    def summed(a: np.ndarray, b: np.ndarray) -> None:
+        for k in range(0, len(a), some):
+            np.minimum.at(least, a[k : k + some], np.square(x[a[k : k + some]] - y[b[k : k + some]]).sum(1))
+
+    for i in range(0, len(x), NEAR_TILE[0]):
+        j = slice(i, i + NEAR_TILE[0])
+        at = slice(*np.searchsorted(same_a, [i, i + NEAR_TILE[0]]))
+        for k in range(0, len(y), NEAR_TILE[1]):
+            rough = left[j] @ right[k : k + NEAR_TILE[1]].T
+            same = at.start + np.flatnonzero((same_b[at] >= k) & (same_b[at] < k + NEAR_TILE[1]))
+            rough[same_a[same] - i, same_b[same] - k] = np.inf
+            slack = rounding * (own2[j] + 2 * refs2[k : k + NEAR_TILE[1]].max()) + 1e-30
+            bar = lambda: (least[j] / unit / unit) * (1 + 1e-12) - own2[j] + slack  # noqa: E731, B023
+            first = rough.argmin(1)
+            smallest = rough[np.arange(len(rough)), first]
+            a = np.flatnonzero(np.isfinite(smallest) & (smallest <= bar()) & (least[j] > 0))
+            summed(a + i, first[a] + k)
+            rough[a, first[a]] = np.inf
+            a = a[least[j][a] > 0]
+            c, b = np.nonzero((rough[a] <= bar()[a, None]) & np.isfinite(rough[a]))
+            summed(a[c] + i, b + k)
+    return least
+
+
 def _nearest(batch: pa.Table) -> pa.Table:
-    """Least squared distances from the vectors of a pair of blocks to its reference rows, an exact sum for each near one."""
-    is_ref = np.array(batch["is_ref"].to_pylist(), bool)
-    ids = np.array(batch["id"].to_pylist(), dtype=object)
-    v = np.array(batch["v"].to_pylist(), np.float64)
-    own, refs = np.flatnonzero(~is_ref), np.flatnonzero(is_ref)
-    least = np.full(len(own), np.nan)
-    if len(own) and len(refs):
-        x, y = v[own], v[refs]
-        rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-        rough[ids[own][:, None] == ids[refs][None, :]] = np.inf
-        # products lose digits where vectors are close: all that may be the nearest are summed up again
-        slack = 1e-12 * ((x * x).sum(1) + (y * y).sum(1).max())
-        near = rough <= (np.where(np.isfinite(rough), rough, np.inf).min(1) + slack)[:, None]
-        near &= np.isfinite(rough)
-        a, b = np.nonzero(near)
-        exact = ((x[a] - y[b]) ** 2).sum(1)
-        least = np.full(len(own), np.inf)
-        np.minimum.at(least, a, exact)
-        least[np.isinf(least)] = np.nan
-    return pa.table({"id": pa.array([str(i) for i in ids[own]], pa.string()), "d2": pa.array(least, pa.float64(), from_pandas=True)})
+    """Least squared distances from the vectors of a pair of blocks to its reference rows; null where no pair is finite."""
+    is_ref = batch["is_ref"].to_numpy()
+    ids = pa.concat_arrays(batch["id"].chunks)
+    codes = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    v = _matrix(batch["v"])
+    finite = np.isfinite(v).all(1)
+    own, refs = np.flatnonzero(~is_ref & finite), np.flatnonzero(is_ref & finite)
+    least = np.full(len(v), np.inf)
+    least[own] = _least_squares(v[own], v[refs], codes[own], codes[refs])
+    least[np.isinf(least)] = np.nan
+    return pa.table({"id": ids.filter(pa.array(~is_ref)), "d2": pa.array(least[~is_ref], pa.float64(), from_pandas=True)})
+
+
+def _block_size(n_own: int, n_ref: int, width: int, block: int) -> int:
+    """Rows of a block: as many as make about ``NEAR_PAIRS`` pairs of blocks, between ``block`` and what a task may hold."""
+    return max(block, min(math.isqrt(n_own * n_ref // NEAR_PAIRS), NEAR_NUMBERS // max(1, width)))
 
 
 def nn_distance(vectors: DataFrame, reference: DataFrame, block: int = NEAR_BLOCK) -> DataFrame:
     """(id, distance): Euclidean distance to the nearest reference vector of another id; null without any.
 
-    Both sides are dealt into blocks by a hash, as many as their rows ask for, and each pair of blocks is a group of
-    bounded size; partial minima are all that leaves it.  Every vector is held against every reference vector, as in
-    many dimensions no bound by the distance to a third point rules pairs out.
+    Both sides are dealt into blocks by a hash, and each pair of blocks is a group of bounded size; partial minima are
+    all that leaves it.  Blocks grow with the table until a task holds as much as it may, so that a vector is copied to
+    about as many groups in a large table as in a small one.  Every vector is held against every reference vector, as
+    in many dimensions no bound by the distance to a third point rules pairs out.
     """
-    n_own, n_ref = (max(1, -(-df.count() // block)) for df in (vectors, reference))
+    (own, own_width), (ref, ref_width) = (df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first() for df in (vectors, reference))
+    size = _block_size(own, ref, max(own_width, ref_width), block)
+    n_own, n_ref = (max(1, -(-n // size)) for n in (own, ref))
     dealt = lambda df, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     kind = vectors.schema["id"].dataType.simpleString()
     sides = lambda df, n, other, is_ref: df.select(F.col("id").cast("string").alias("id"), "v", F.lit(is_ref).alias("is_ref"), dealt(df, n).alias("ref_block" if is_ref else "block"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("block" if is_ref else "ref_block"))
     both = sides(vectors.filter("v is not null"), n_own, n_ref, False).unionByName(sides(reference.filter("v is not null"), n_ref, n_own, True))
+    # as many parts as pairs: few small files of vectors would else be few tasks of much work
+    both = both.repartition(min(n_own * n_ref, NEAR_PARTS), "block", "ref_block")
     near = both.groupBy("block", "ref_block").applyInArrow(_nearest, "id string, d2 double")
     return near.groupBy("id").agg(F.sqrt(F.min("d2")).alias("distance")).withColumn("id", F.col("id").cast(kind))
 
 
 def novelty_threshold(vectors: DataFrame, percentile: float = 90.0) -> DataFrame:
-    """One row: the percentile of each vector's distance to the nearest other."""
-    return ranks.percentile(nn_distance(vectors, vectors).select(F.col("distance").alias("p")), percentile / 100).select(F.col("value").alias("threshold"))
+    """One row: the percentile of each vector's distance to the nearest other; distances are written once and read by each count."""
+    near = stored(nn_distance(vectors, vectors).select(F.col("distance").alias("p")))
+    return ranks.percentile(near, percentile / 100).select(F.col("value").alias("threshold"))
 
 
 def is_novel(candidates: DataFrame, reference: DataFrame, threshold: DataFrame) -> DataFrame:

@@ -228,6 +228,26 @@ def test_nearest_distances_against_all_pairs(spark):
     assert curate.nn_distance(rows("q", own), rows("r", refs).filter("false")).filter("distance is not null").isEmpty()
 
 
+def test_nearest_vectors_among_copies_of_mixed_lengths(spark):
+    """Copies, near copies, one long vector, one without numbers: the same sums as a plain search, bit for bit."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(300, 12)), rng.normal(size=(5000, 12))
+    y[::7], y[1::11], y[3] = x[rng.integers(0, 300, len(y[::7]))] * (1 + 1e-9), y[0], y[3] * 1e7
+    x_ids, y_ids = np.arange(300), np.arange(5000) % 400
+    for unit in (1.0, 1e25, 1e-25):
+        own, refs = x * unit, y * unit
+        want = [((v - refs) ** 2).sum(1)[y_ids != k].min() for k, v in enumerate(own)]
+        assert curate._least_squares(own, refs, x_ids, y_ids).tolist() == want
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, float("nan")]), ("c", [4.0, 6.0]), ("c", [4.0, 6.0]), ("d", [1.0, None])], "id string, v array<double>")
+    assert {r.id: r.distance for r in curate.nn_distance(rows, rows).collect()} == {"a": 5.0, "b": None, "c": 5.0, "d": None}
+
+
+def test_blocks_of_vectors_grow_with_the_table_up_to_a_bound():
+    copies = lambda n: n // curate._block_size(n, n, 64, curate.NEAR_BLOCK)
+    assert copies(60_000) == copies(600_000) == 16  # as many copies of a vector in a table of ten times the size
+    assert curate._block_size(10**9, 10**9, 64, curate.NEAR_BLOCK) * 64 == curate.NEAR_NUMBERS
+
+
 def test_splits_of_a_large_corpus(spark):
     """Exact counts, the least hashes of each corpus, and all books where a corpus has too few."""
     import hashlib

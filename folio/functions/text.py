@@ -113,17 +113,27 @@ def normalize_isbn(raw: Column) -> Column:
 #: A number of one to four digits or a strict roman numeral below five hundred, and a heading's keyword.
 NUMERAL = r"(?i)^[0-9]{1,4}$|^(?=.)(cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
 HEADING = r"(?i)^(?:chapter|kapitel|chapitre|part|teil|partie|§)\.?(?:\s+(\S+))?$"
+#: Letters of the longest number.
+NUMERAL_LENGTH = 12
+#: What every heading line looks like before anything is stripped.
+HEADING_SHAPE = r"(?iU)^\s*+(?:[0-9ivxlcd]{1,12}|(?:chapter|kapitel|chapitre|partie|part|teil|§)\.?(?:\s+[0-9ivxlcd]{1,12})?)\s*+[.:]*+\s*+$"
 
 
 def is_heading_line(text: Column) -> Column:
-    """A heading keyword alone or with a number, or a number alone; closing dots and colons don't count."""
+    """A heading keyword alone or with a number, or a number alone; closing dots and colons don't count.
+
+    Few lines begin and end as one does, and only those are stripped and taken apart.
+    """
     bare = strip(F.regexp_replace(strip(text), "[.:]+$", ""))
     number = F.regexp_extract(bare, HEADING, 1)
-    return bare.rlike(NUMERAL) | (bare.rlike(HEADING) & ((number == "") | number.rlike(NUMERAL)))
+    full = bare.rlike(NUMERAL) | (bare.rlike(HEADING) & ((number == "") | number.rlike(NUMERAL)))
+    return F.when(text.rlike(HEADING_SHAPE), full).when(text.isNotNull(), False)
 
 
 def ends_in_number(text: Column) -> Column:
-    return F.element_at(F.split(strip(text), r"(?U)\s+"), -1).rlike(NUMERAL)
+    """Whether the last word is a number; of a long line only its end is looked at, as no number is longer than that."""
+    bare = F.when(F.right(text, F.lit(1)).rlike(r"(?U)\s"), strip(text)).otherwise(text)
+    return F.element_at(F.split(F.right(bare, F.lit(NUMERAL_LENGTH + 1)), r"(?U)\s+"), -1).rlike(NUMERAL)
 
 
 #: Installed recognition packs by language, and what is used for all others.

@@ -15,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators import layout, ranks
+from folio.operators.tables import stored
 
 LABELS = ("toc", "chapter_first")
 FEATURES = (
@@ -36,9 +38,10 @@ RECALL_TOLERANCE = 0.9
 def feature_table(lines: DataFrame, labels: DataFrame, n_pages: DataFrame) -> DataFrame:
     """(book_id, page_index, label, features, augmented) of all labelled pages whose layout could be read.
 
-    Features of a page without some measure are 0, as are those of a page's neighbour where it has none.
+    Features of a page without some measure are 0, as are those of a page's neighbour where it has none.  Texts are read
+    once: narrow tables of measured lines and of pages are written and read again by each of the steps that follow.
     """
-    rows = layout.context_features(layout.page_features(lines), n_pages)
+    rows = layout.context_features(stored(layout.page_features(stored(layout.measured(lines)))), n_pages)
     x = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES))
     return labels.join(rows.select("book_id", "page_index", x.alias("features")), ["book_id", "page_index"]).select("book_id", "page_index", "label", "features", F.lit(False).alias("augmented"))
 
@@ -60,9 +63,10 @@ def with_folds(rows: DataFrame, folds: int | None = None) -> tuple[DataFrame, in
 def _batches(batches: Iterator[pa.RecordBatch], labels: tuple[str, ...]):
     for batch in batches:
         if batch.num_rows:
-            x = np.array(batch.column("features").to_pylist(), np.float64)
-            label = np.array(batch.column("label").to_pylist(), dtype=object)
-            yield batch.column("fold").to_numpy(), x, np.stack([label == name for name in labels], 1)
+            features = batch.column("features")
+            x = features.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(batch.num_rows, -1)
+            is_label = [pc.fill_null(pc.equal(batch.column("label"), name), False).to_numpy(zero_copy_only=False) for name in labels]
+            yield batch.column("fold").to_numpy(), x, np.stack(is_label, 1)
 
 
 def _summed(rows: DataFrame, per_batch, keys: int, width: int) -> np.ndarray:
@@ -132,19 +136,27 @@ def fit(rows: DataFrame, folds: int, labels: tuple[str, ...] = LABELS, penalty:
     rough = _moments(rows, folds, labels, np.zeros(d)).sum(0)
     centre = rough[1 + len(labels) : 1 + len(labels) + d] / max(rough[0], 1)
     own = _moments(rows, folds, labels, centre)
-    rest = own.sum(0) - own
-    n, positive = rest[:, 0], rest[:, 1 : 1 + len(labels)]
+    # all rows are fitted first: a model that leaves a fold out is close to that one, so that few passes sum up for each fold
+    every = _newton(rows, np.array([-1]), own.sum(0, keepdims=True), own, centre, labels, penalty)
+    parts = _newton(rows, np.arange(folds), own.sum(0) - own, own, centre, labels, penalty, every)
+    return Models(parts.weights, parts.intercepts, parts.fitted, labels, every.passes + parts.passes)
+
+
+def _newton(rows: DataFrame, left_out: np.ndarray, rest: np.ndarray, own: np.ndarray, centre: np.ndarray, labels: tuple[str, ...], penalty: float, start: Models | None = None) -> Models:
+    """A model of each label for each fold in ``left_out``, from the moments ``rest`` of its rows, begun at zero or at ``start``."""
+    d, folds, kinds = len(centre), len(left_out), len(labels)
+    n, positive = rest[:, 0], rest[:, 1 : 1 + kinds]
     safe = np.maximum(n, 1)[:, None]
-    mean = rest[:, 1 + len(labels) : 1 + len(labels) + d] / safe
-    spread = np.sqrt(np.maximum(rest[:, 1 + len(labels) + d :] / safe - mean**2, 0))
+    mean = rest[:, 1 + kinds : 1 + kinds + d] / safe
+    spread = np.sqrt(np.maximum(rest[:, 1 + kinds + d :] / safe - mean**2, 0))
     # what is constant but for rounding is left as it is
-    whole = np.sqrt(np.maximum(own[:, 1 + len(labels) + d :].sum(0) / max(own[:, 0].sum(), 1), 0))
+    whole = np.sqrt(np.maximum(own[:, 1 + kinds + d :].sum(0) / max(own[:, 0].sum(), 1), 0))
     spread = np.where(spread > 1e-12 * np.maximum(whole, np.abs(centre)) + 1e-300, spread, 1.0)
     negative = n[:, None] - positive
     fitted = (positive > 0) & (negative > 0)
     heavy = np.where(fitted, n[:, None] / (2 * np.maximum(positive, 1)), 0.0).ravel()
     light = np.where(fitted, n[:, None] / (2 * np.maximum(negative, 1)), 0.0).ravel()
-    count, kinds = folds * len(labels), len(labels)
+    count = folds * kinds
     shift, scale = np.repeat(mean, kinds, 0), np.repeat(spread, kinds, 0)
     # T takes (x - centre, 1) to the scaled features and 1
     to_scaled = np.zeros((count, d + 1, d + 1))
@@ -153,6 +165,7 @@ def fit(rows: DataFrame, folds: int, labels: tuple[str, ...] = LABELS, penalty:
     to_scaled[:, d, d] = 1
     upper = np.triu_indices(d + 1)
     half = np.append(np.full(d, penalty), 0.0)
+    leaves_out = np.repeat(left_out, kinds)
 
     def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = np.einsum("kij,ki->kj", to_scaled, w)
@@ -164,9 +177,10 @@ def fit(rows: DataFrame, folds: int, labels: tuple[str, ...] = LABELS, penalty:
                     z = np.concatenate([x[k : k + 2048] - centre, np.ones((len(x[k : k + 2048]), 1))], 1)
                     t = np.tile(y[k : k + 2048], folds)
                     logit = z @ raw.T
-                    weight = np.where(t, heavy, light) * (np.repeat(np.arange(folds), kinds) != fold[k : k + 2048, None])
-                    p = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-                    out[:, 0] += (weight * np.logaddexp(0, np.where(t, -logit, logit))).sum(0)
+                    weight = np.where(t, heavy, light) * (leaves_out != fold[k : k + 2048, None])
+                    small = np.exp(-np.abs(logit))
+                    p = np.where(logit >= 0, 1.0, small) / (1 + small)
+                    out[:, 0] += (weight * (np.log1p(small) + np.maximum(np.where(t, -logit, logit), 0))).sum(0)
                     out[:, 1 : d + 2] += (weight * (p - t)).T @ z
                     out[:, d + 2 :] += (weight * p * (1 - p)).T @ (z[:, upper[0]] * z[:, upper[1]])
             return out
@@ -180,6 +194,10 @@ def fit(rows: DataFrame, folds: int, labels: tuple[str, ...] = LABELS, penalty:
         return loss, slope, to_scaled @ square @ to_scaled.transpose(0, 2, 1) + np.diag(half) + 1e-12 * np.eye(d + 1)
 
     w, before, step = np.zeros((count, d + 1)), np.full(count, np.inf), np.zeros((count, d + 1))
+    if start is not None:
+        # a model that is not fitted stays at zero
+        raw, base = (np.tile(x.reshape(kinds, -1), (folds, 1)) for x in (start.weights, start.intercepts))
+        w = np.where(fitted.ravel()[:, None], np.concatenate([raw * scale, base + (raw * (shift + centre)).sum(1)[:, None]], 1), 0.0)
     passes = 0
     while passes < PASSES:
         passes += 1
@@ -243,7 +261,7 @@ def lobo_budget(rows: DataFrame, truth: DataFrame, cap: float = 0.15, *, folds:
 
     rows, count = with_folds(rows, folds)
     pages = scored(rows, fit(rows, count)).filter("not augmented")
-    pages = pages.withColumn("p", F.greatest(*LABELS))
+    pages = pages.select("book_id", "page_index", "label", F.greatest(*LABELS).alias("p"))
     chosen = curate.candidate_budget(pages.select("book_id", "page_index", "p"), cap).withColumn("chosen", F.lit(True))
     marked = pages.join(chosen, ["book_id", "page_index"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
     return _judged(marked, truth, tolerance)

@@ -9,9 +9,21 @@ from folio.functions import text as T
 from folio.operators import ranks
 
 
+def measured(lines: DataFrame) -> DataFrame:
+    """Lines with what their content tells, whether one ends in a number or is a heading, in place of the content."""
+    if "content" not in lines.columns:
+        return lines
+    return lines.withColumn("ends_in_number", T.ends_in_number(F.col("content"))).withColumn("is_heading", T.is_heading_line(F.col("content"))).drop("content")
+
+
 def page_features(lines: DataFrame) -> DataFrame:
-    """A row for each page of (book_id, page_index, line_no, content, hpos, vpos, width, height, font, page_width, page_height)."""
-    ordered = F.struct("line_no")
+    """A row for each page of (book_id, page_index, line_no, content, hpos, vpos, width, height, font, page_width, page_height).
+
+    Lines may be ``measured`` already.
+    """
+    lines = measured(lines)
+    # a plain number, as structures would have all lines sorted; lines without one come first
+    ordered = F.coalesce(F.col("line_no").cast("long"), F.lit(-(1 << 63)))
     fonts = lines.groupBy("book_id", "page_index", "font").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first"))
     w = Window.partitionBy("book_id", "page_index").orderBy(F.desc("n"), "first")
     modal = fonts.filter("font is not null").withColumn("rank", F.row_number().over(w)).filter("rank = 1").select("book_id", "page_index", F.col("font").alias("modal_font"))
@@ -19,8 +31,8 @@ def page_features(lines: DataFrame) -> DataFrame:
     spread = lambda c, page: F.coalesce(F.var_samp(share(c, page)), F.lit(0.0))
     rows = lines.groupBy("book_id", "page_index").agg(
         F.count(F.lit(1)).alias("line_count"), F.avg(share("width", "page_width")).alias("width_mean"), spread("width", "page_width").alias("width_var"),
-        F.avg(share("hpos", "page_width")).alias("left_mean"), spread("hpos", "page_width").alias("left_var"), (F.count_if(T.ends_in_number(F.col("content"))) / F.count(F.lit(1))).alias("number_share"),
-        F.max("font").alias("max_font"), F.min_by(share("vpos", "page_height"), ordered).alias("first_top"), F.max_by(share("vpos", "page_height"), ordered).alias("last_top"), F.min_by(T.is_heading_line(F.col("content")), ordered).alias("heads"),
+        F.avg(share("hpos", "page_width")).alias("left_mean"), spread("hpos", "page_width").alias("left_var"), (F.count_if("ends_in_number") / F.count(F.lit(1))).alias("number_share"),
+        F.max("font").alias("max_font"), F.min_by(share("vpos", "page_height"), ordered).alias("first_top"), F.max_by(share("vpos", "page_height"), ordered).alias("last_top"), F.min_by("is_heading", ordered).alias("heads"),
     )
     return rows.join(modal, ["book_id", "page_index"], "left").withColumn("font_ratio", F.col("max_font") / F.col("modal_font"))
 

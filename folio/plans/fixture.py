@@ -24,6 +24,7 @@ body as (select book_id, k as page_index, case when book_id % 3 = 0 and k % 3 =
 annex as (select {annex} + book_id as book_id, cast(row_number() over (partition by book_id order by k) - 1 as int) as page_index, text from d where k < 2 or (book_id % 3 = 0 and k % 3 = 1))
 """
 _PAGES = "select * from cover union all select * from toc union all select * from body union all select * from annex"
+_OWN_PAGES = "select * from cover union all select * from toc union all select * from body"
 _TITLES = "select book_id, k, lang, title from ch where k % 3 = 2"
 
 
@@ -45,10 +46,10 @@ def _spell(engine: str, ascii_only: bool, wanted: str = _PAGES) -> str:
     )
 
 
-def book_pages(spark: SparkSession, sf_dir: str, ascii_only: bool = False) -> DataFrame:
-    """(book_id, page_index, text) of the derived corpus."""
+def book_pages(spark: SparkSession, sf_dir: str, ascii_only: bool = False, annexes: bool = True) -> DataFrame:
+    """(book_id, page_index, text) of the derived corpus, or of its books without their annexes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return spark.sql(_spell("spark", ascii_only).replace("from documents", "from {documents}"), documents=docs)
+    return spark.sql(_spell("spark", ascii_only, _PAGES if annexes else _OWN_PAGES).replace("from documents", "from {documents}"), documents=docs)
 
 
 def stored_pages(spark: SparkSession, sf_dir: str, ascii_only: bool = False) -> DataFrame:

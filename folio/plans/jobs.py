@@ -100,7 +100,7 @@ def segment_evidence(spark, sf_dir):
 
 def book_layout(spark, sf_dir, ascii_only: bool = False) -> DataFrame:
     """Layout lines of the derived corpus: widths follow the text, and most chapters open with a larger line."""
-    lines = toc.explode_lines(fixture.book_pages(spark, sf_dir, ascii_only).filter(F.col("book_id") < fixture.ANNEX))
+    lines = toc.explode_lines(fixture.book_pages(spark, sf_dir, ascii_only, annexes=False).filter(F.col("book_id") < fixture.ANNEX))
     large = F.expr("line_no = 0 and page_index >= 2 and page_index % 3 = 2 and (book_id * 7 + page_index) % 5 <> 0 or (book_id + page_index * 3 + line_no) % 97 = 0")
     return lines.select(
         "book_id", "page_index", "line_no", F.col("line").alias("content"), (50 + (7 * F.col("line_no")) % 30).cast("double").alias("hpos"), (40 + 14 * F.col("line_no")).cast("double").alias("vpos"),
@@ -110,11 +110,13 @@ def book_layout(spark, sf_dir, ascii_only: bool = False) -> DataFrame:
 
 def training_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(feature rows of all labelled pages whose layout could be read, labels of all pages)."""
-    all_pages = fixture.book_pages(spark, sf_dir).filter(F.col("book_id") < fixture.ANNEX).select("book_id", "page_index")
+    all_pages = fixture.book_pages(spark, sf_dir, annexes=False).filter(F.col("book_id") < fixture.ANNEX).select("book_id", "page_index")
     contents = all_pages.select("book_id").distinct().select("book_id", F.expr("book_id % 9 <> 4").alias("has_toc_field"), F.lit(1).alias("toc_start"), F.lit(1).alias("toc_end"))
     labels = stored(layout.page_labels(all_pages, expected(spark, sf_dir), contents))
     n_pages = all_pages.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_pages"))
-    return stored(classify.feature_table(book_layout(spark, sf_dir), labels, n_pages)), labels
+    # the fits read these rows many times: they are dealt evenly, a share for each task
+    rows = classify.feature_table(book_layout(spark, sf_dir), labels, n_pages)
+    return stored(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "book_id", "page_index")), labels
 
 
 #: Groups that books are left out in where they are more than may each be a fold.

@@ -131,3 +131,17 @@ def test_many_pages_of_unrelated_prose_are_scored_in_seconds():
     for i in range(0, 600, 60):
         for title, got in zip(titles[i], scores[i], strict=True):
             assert got == fuzzy.partial(title, pages[i]) or got == 0.0 and fuzzy.partial(title, pages[i]) < 80.0
+
+
+def test_short_ways_to_numbers_and_headings(spark):
+    """The same as whole lines taken apart, on every kind of blank, on ends that are long, and on nothing."""
+    bare = ["", "iv", "DCCCLXXXVIII", "DCCCLXXXVIIII", "1234", "12345", "12.", "x" * 30, "Chapter", "chapter IV:.", "PART. 3", "Teil\t7", "§ 12", "Partie", "partie xii", "part one", "Kapitel  \u2003 4", "part 4 5", "a\u00a012", "a\u200312", "word 3", "word3", "3\n", "ſection", "l", "😀 9"]
+    blanks = ["", " ", "\t", "\u2003", "\u00a0", "\n", "\r\n", "\x1c", "\u0085"]
+    df = spark.createDataFrame([(a + x + b,) for x in bare for a in blanks for b in (*blanks, ".", " : ", "." * 40 + " ")] + [(None,)], "t string")
+    whole = T.strip(F.regexp_replace(T.strip(F.col("t")), "[.:]+$", ""))
+    number = F.regexp_extract(whole, T.HEADING, 1)
+    heading = whole.rlike(T.NUMERAL) | (whole.rlike(T.HEADING) & ((number == "") | number.rlike(T.NUMERAL)))
+    ends = F.element_at(F.split(T.strip(F.col("t")), r"(?U)\s+"), -1).rlike(T.NUMERAL)
+    rows = df.select("t", T.is_heading_line(F.col("t")).alias("h"), heading.alias("want_h"), T.ends_in_number(F.col("t")).alias("e"), ends.alias("want_e")).collect()
+    assert [r.t for r in rows if r.h != r.want_h or r.e != r.want_e] == []
+    assert {r.h for r in rows} == {r.e for r in rows} == {True, False, None}

@@ -185,6 +185,28 @@ def test_thresholds_and_recall_against_plain_counts(spark, training):
         assert by_budget[b].chapter_first_recall == pytest.approx(sum(r[2] == "chapter_first" for r in top) / true["chapter_first"]) and by_budget[b].candidate_share == 0.2
 
 
+def test_few_passes_sum_up_for_each_fold(spark, training, monkeypatch):
+    """Models of folds begin at the model of all rows, so most passes add up for one model of each label."""
+    rows, folds = classify.with_folds(spark.createDataFrame(training, "book_id long, page_index int, label string, features array<double>, augmented boolean"))
+    keys, summed = [], classify._summed
+    monkeypatch.setattr(classify, "_summed", lambda rows, per_batch, n, width: keys.append(n) or summed(rows, per_batch, n, width))
+    classify.fit(rows, folds)
+    assert sum(n == folds * len(classify.LABELS) for n in keys) < sum(n == len(classify.LABELS) for n in keys)
+
+
+def test_features_read_texts_once(spark):
+    """Each line's content is read once, however many steps a page's features take."""
+    seen = spark.sparkContext.accumulator(0)
+    read = F.udf(lambda text: (seen.add(1), text)[1], "string").asNondeterministic()
+    rows = [(b, k, i, f"line {i}" if i else "Chapter II.", 50.0, 40.0 + i, 100.0 + i, 12.0, 10.0 + (i == k), 600.0, 800.0) for b in range(3) for k in range(5) for i in range(4)]
+    lines = spark.createDataFrame(rows, "book_id long, page_index int, line_no int, content string, hpos double, vpos double, width double, height double, font double, page_width double, page_height double")
+    labels = lines.select("book_id", "page_index", F.lit("other").alias("label")).distinct()
+    got = classify.feature_table(lines.withColumn("content", read("content")), labels, labels.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_pages"))).collect()
+    place = classify.FEATURES.index
+    assert len(got) == 15 and all(r.features[place("heads")] == 1 and r.features[place("number_share")] == 0.75 for r in got)
+    assert seen.value == len(rows)
+
+
 def test_labels_that_no_other_book_has(spark):
     rows = [(b, k, "toc" if b == 0 and k == 1 else "other", [float(b * k), 1.0], False) for b in range(3) for k in range(6)]
     df = spark.createDataFrame(rows, "book_id long, page_index int, label string, features array<double>, augmented boolean")

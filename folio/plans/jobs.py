@@ -119,26 +119,18 @@ def training_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return stored(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "book_id", "page_index")), labels
 
 
-#: Groups that books are left out in where they are more than may each be a fold.
-FOLDS = 50
-
-
-def _folds(labels: DataFrame) -> int | None:
-    return None if labels.select("book_id").distinct().count() <= FOLDS else FOLDS
-
-
 @query()
 def lobo_budget(spark, sf_dir):
     """What a budget of pages recalls of each book, ranked by classifiers that never saw it."""
     rows, labels = training_rows(spark, sf_dir)
-    return classify.lobo_budget(rows, labels, folds=_folds(labels))
+    return classify.lobo_budget(rows, labels)
 
 
 @query()
 def lobo_threshold(spark, sf_dir):
     """What thresholds set on other books recall of each book."""
     rows, labels = training_rows(spark, sf_dir)
-    return classify.lobo_threshold(rows, labels, folds=_folds(labels))
+    return classify.lobo_threshold(rows, labels)
 
 
 def languages(spark, sf_dir) -> DataFrame:

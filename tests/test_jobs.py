@@ -194,6 +194,60 @@ def test_few_passes_sum_up_for_each_fold(spark, training, monkeypatch):
     assert sum(n == folds * len(classify.LABELS) for n in keys) < sum(n == len(classify.LABELS) for n in keys)
 
 
+@pytest.fixture(scope="module")
+def many_books(spark):
+    """Rows of 60 books whose labels are hard to tell, so that each book left out moves what is chosen of others."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for book in range(60):
+        for page in range(12):
+            label = "toc" if page == 1 else "chapter_first" if page % 5 == 2 else "other"
+            x = rng.normal(size=4) + np.array([1.5, 0.5, 0, 0]) * (label == "toc") + np.array([0, 0, 1.0, 0.3]) * (label == "chapter_first")
+            rows.append((book, page, label, [*map(float, x), 7.0], False))
+    return rows
+
+
+ROWS = "book_id long, page_index int, label string, features array<double>, augmented boolean"
+
+
+def test_models_expanded_about_that_of_all_rows(spark, many_books, monkeypatch):
+    """Models of books left out one by one, without a pass for them, are as near to plain fits as their bounds say."""
+    errors, keep = {}, classify.stored
+    monkeypatch.setattr(classify, "stored", lambda t: errors.update({(r.fold, r.label): r.error for r in t.collect()}) or keep(t))
+    models, every = classify.fit_each(spark.createDataFrame(many_books, ROWS).repartition(3), certain=np.inf)
+    found = {(r.fold, r.label): r for r in models.collect()}
+    assert len(found) == len(errors) == 120
+    x = np.array([r[3] for r in many_books])
+    for (book, label), r in found.items():
+        rest, k = np.array([r[0] != book for r in many_books]), classify.LABELS.index(label)
+        weights, intercept = plain_fit(x[rest], np.array([r[2] == label for r in many_books])[rest])
+        off = np.abs((np.array(r.weights) - weights) * x.std(0)).max()
+        assert off < 1e-3 and off <= errors[book, label] + 1e-9
+        assert np.abs(x @ (weights - every.weights[0, k]) + intercept - every.intercepts[0, k]).max() <= r.reach + 1e-3
+
+
+def test_each_book_is_left_out_however_many_there_are(spark, many_books, monkeypatch):
+    labels = spark.createDataFrame([(r[0], r[2]) for r in many_books], "book_id long, label string")
+    monkeypatch.setattr(jobs, "training_rows", lambda spark, sf_dir: (spark.createDataFrame(many_books, ROWS), labels))
+    budget = {r.book_id: r for r in jobs.lobo_budget(spark, SF).collect()}
+    threshold = {r.book_id: r for r in jobs.lobo_threshold(spark, SF).collect()}
+    assert len(budget) == len(threshold) == 60
+    x, kinds = np.array([r[3] for r in many_books]), np.array([r[2] for r in many_books])
+    books = np.array([r[0] for r in many_books])
+    for book in range(60):
+        rest, p, bars = books != book, {}, {}
+        for label in classify.LABELS:
+            weights, intercept = plain_fit(x[rest], (kinds == label)[rest])
+            p[label] = 1 / (1 + np.exp(-(x @ weights + intercept)))
+            others = np.sort(p[label][rest & (kinds == label)])[::-1]
+            bars[label] = others[math.ceil(0.9 * len(others)) - 1]
+        own = np.flatnonzero(~rest)
+        best = own[np.argmax(np.maximum(p["toc"], p["chapter_first"])[own])]
+        assert budget[book].toc_recall == float(kinds[best] == "toc") and budget[book].chapter_first_recall == pytest.approx((kinds[best] == "chapter_first") / 2)
+        assert threshold[book].candidate_share == pytest.approx(np.mean([any(p[label][i] >= bars[label] for label in classify.LABELS) for i in own]))
+        assert threshold[book].chapter_first_recall == pytest.approx(np.mean([p["chapter_first"][i] >= bars["chapter_first"] for i in own if kinds[i] == "chapter_first"]))
+
+
 def test_features_read_texts_once(spark):
     """Each line's content is read once, however many steps a page's features take."""
     seen = spark.sparkContext.accumulator(0)

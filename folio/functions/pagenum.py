@@ -100,16 +100,27 @@ def _full_lines(text: Column) -> Column:
     return F.filter(F.transform(T.lines(text), T.strip), lambda x: x != "")
 
 
+def full_lines(lines: Column | str) -> Column:
+    """Lines with more than blanks, as they are."""
+    return F.filter(lines, lambda x: x.rlike(r"(?U)\S"))
+
+
 def printed_page_number(text: Column) -> Column:
-    """The page number printed on a page.
+    """The page number printed on a page."""
+    return printed_of_lines(full_lines(T.lines(text)))
+
+
+def printed_of_lines(full: Column) -> Column:
+    """The page number printed on a page of full lines, which are best worked out before.
 
     A token alone on one of the first two, then the last two full lines; else a number that ends, then one that
     begins, the first line that is no address and is shorter than 120.
     """
-    full = _full_lines(text)
     tail = F.slice(full, F.greatest(F.size(full) - 1, F.lit(1)), 2)
-    alone = F.filter(F.concat(F.slice(full, 1, 2), tail), lambda x: x.rlike(TOKEN))
-    first = F.get(F.filter(full, lambda x: ~T.is_url_line(x)), F.lit(0))
+    alone = F.filter(F.transform(F.concat(F.slice(full, 1, 2), tail), T.strip), lambda x: x.rlike(TOKEN))
+    plain = lambda lines: F.get(F.filter(lines, lambda x: ~T.is_url_line(x)), F.lit(0))
+    # a page seldom begins with three addresses
+    first = T.strip(F.coalesce(plain(F.slice(full, 1, 3)), plain(full)))
     short = F.when(F.length(first) < 120, first)
     ending = F.regexp_extract(short, TRAILING, 1)
     leading = F.regexp_extract(short, LEADING, 1)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from folio.functions import pagenum as N
 from folio.functions import text as T
 from folio.operators import boundaries, locate, segment, toc
-from folio.operators.tables import stored
+from folio.operators.tables import apart, stored
 
 MIN_TITLE = 3
 #: Number literals that other JSON writers put out and the parser here does not take; they count as null.
@@ -78,12 +78,12 @@ def contested(entries: DataFrame, located: DataFrame, heads: DataFrame, excluded
 
     Candidates count from 1, the likeliest first, as they were shown to the model.
     """
-    rest = entries.join(located.select("book_id", "entry_no"), ["book_id", "entry_no"], "left_anti")
+    rest = entries.join(apart(located.select("book_id", "entry_no")), ["book_id", "entry_no"], "left_anti")
     titles = rest.select("book_id", "entry_no", "authors", F.lit(0).alias("variant_no"), F.col("title").alias("reading"))
-    heads = heads.select("book_id", "page_index", "head").join(excluded.select("book_id", "page_index").distinct(), ["book_id", "page_index"], "left_anti")
-    heads = heads.join(titles.select("book_id").distinct(), "book_id", "left_semi")
+    heads = heads.select("book_id", "page_index", "head").join(apart(excluded.select("book_id", "page_index").distinct()), ["book_id", "page_index"], "left_anti")
+    heads = heads.join(apart(titles.select("book_id").distinct()), "book_id", "left_semi")
     scored = locate.score_title_pages(titles, heads).withColumnRenamed("reading", "low")
-    met = titles.withColumn("low", F.lower("reading")).join(scored, ["book_id", "low"]).join(heads, ["book_id", "page_index"])
+    met = apart(titles.withColumn("low", F.lower("reading"))).join(scored, ["book_id", "low"]).join(apart(heads), ["book_id", "page_index"])
     met = met.withColumn("author_confirmed", locate.author_confirmed(F.col("authors"), F.col("head"))).drop("head", "low", "authors")
     clusters = locate.cluster_candidates(met).withColumn("key", locate.ranking_key(F.col("score"), F.col("author_confirmed")))
     w = Window.partitionBy("book_id", "entry_no")
@@ -100,7 +100,7 @@ def choose(candidates: DataFrame, choices: DataFrame) -> DataFrame:
     kind = _kind(F.col("answer"), "$.chosen_candidate")
     told = choices.select("book_id", "entry_no", parsed(F.col("response"), "object").alias("answer")).filter(kind == "BIGINT").select("book_id", "entry_no", number.alias("candidate_no"))
     told = told.dropDuplicates(["book_id", "entry_no", "candidate_no"])
-    return candidates.join(told, ["book_id", "entry_no", "candidate_no"]).drop("candidate_no").withColumn("margin", F.lit(locate.MARGIN))
+    return candidates.join(apart(told), ["book_id", "entry_no", "candidate_no"]).drop("candidate_no").withColumn("margin", F.lit(locate.MARGIN))
 
 
 def _locate_or_choose(entries: DataFrame, excluded: DataFrame, choices: DataFrame, facts) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -109,14 +109,14 @@ def _locate_or_choose(entries: DataFrame, excluded: DataFrame, choices: DataFram
     located, closed = locate.locate_entries(entries, n_pages, bare, heads, excluded)
     located = stored(located)
     chosen = stored(choose(contested(entries, located, heads, excluded), choices))
-    own = entries.drop("title_variants", "source").join(chosen, ["book_id", "entry_no"]).withColumn("source", F.lit("llm"))
+    own = entries.drop("title_variants", "source").join(apart(chosen), ["book_id", "entry_no"]).withColumn("source", F.lit("llm"))
     columns = ["book_id", "entry_no", "title", "authors", "printed", "is_roman", "page_index", "score", "margin", "source"]
     return stored(located.select(*columns).unionByName(own.select(*columns))), chosen.groupBy("book_id").agg(F.count(F.lit(1)).alias("chosen")), closed
 
 
 def _scanned(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """The pages in which a listing is looked for, of books that have entries."""
-    return toc.scan_range(pages).select("book_id", "page_index").join(entries.select("book_id").distinct(), "book_id", "left_semi")
+    return toc.scan_range(pages).select("book_id", "page_index").join(apart(entries.select("book_id").distinct()), "book_id", "left_semi")
 
 
 def _summary(pages: DataFrame, entries: DataFrame, located: DataFrame, chosen: DataFrame, chapters: DataFrame, answered: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def _summary(pages: DataFrame, entries: DataFrame, located: DataFrame, chosen: D
     n = lambda df, name: df.groupBy("book_id").agg(F.count(F.lit(1)).alias(name))
     rows = toc.page_counts(pages).withColumnRenamed("n_pages", "total_pdf_pages")
     for df in (n(entries, "toc_matches_found"), n(located, "toc_matches_located"), n(chapters, "chapters"), chosen, answered.withColumn("answered", F.lit(True))):
-        rows = rows.join(df, "book_id", "left")
+        rows = rows.join(apart(df), "book_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return rows.select(
         "book_id", "total_pdf_pages", F.when(zero("chapters") > 0, "high").otherwise("low").alias("segmentation_confidence"), zero("chapters").alias("chapters"), zero("toc_matches_found").alias("toc_matches_found"),
@@ -136,7 +136,7 @@ def segment_answers(pages: DataFrame, responses: DataFrame, choices: DataFrame,
     """(chapters, summary) from stored answers alone; books without a usable one have no chapters."""
     facts = facts or segment.page_facts(pages)
     n_pages, _, heads, numbers = facts
-    entries = stored(response_entries(responses).join(n_pages.select("book_id"), "book_id", "left_semi"))
+    entries = stored(response_entries(responses).join(apart(n_pages.select("book_id")), "book_id", "left_semi"))
     located, chosen, closed = _locate_or_choose(entries, _scanned(pages, entries), choices, facts)
     found = stored(boundaries.chapters(numbers, n_pages, located, heads, closed))
     return found, _summary(pages, entries, located, chosen, found, entries.select("book_id").distinct())
@@ -156,11 +156,11 @@ def segment_with_fallback(pages: DataFrame, responses: DataFrame, choices: DataF
     located, chosen, closed = _locate_or_choose(own.select(*columns), listed, choices, facts)
     plain = located.filter("source = 'heuristic'")
     able = stored(boundaries.chapters(numbers, n_pages, plain, heads, closed).select("book_id").distinct())
-    answered = stored(response_entries(responses).join(n_pages.select("book_id"), "book_id", "left_semi").join(able, "book_id", "left_anti"))
+    answered = stored(response_entries(responses).join(apart(n_pages.select("book_id")), "book_id", "left_semi").join(apart(able), "book_id", "left_anti"))
     routed = answered.select("book_id").distinct()
-    some = tuple(x.join(routed, "book_id", "left_semi") for x in (n_pages, bare, heads, numbers))
+    some = tuple(x.join(apart(routed), "book_id", "left_semi") for x in (n_pages, bare, heads, numbers))
     told, told_chosen, told_closed = _locate_or_choose(answered.select(*columns), _scanned(pages, answered), choices, some)
-    keep = lambda df: df.join(routed, "book_id", "left_anti")
+    keep = lambda df: df.join(apart(routed), "book_id", "left_anti")
     located = keep(located).unionByName(told)
     chosen = keep(chosen).unionByName(told_chosen)
     closed = keep(closed).unionByName(told_closed)

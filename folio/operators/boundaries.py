@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import pagenum as N
 from folio.functions import text as T
-from folio.operators.tables import stored
+from folio.operators.tables import apart, stored, worked_out
 from folio.operators.toc import page_counts
 
 BLANK_CHARS = 150
@@ -25,7 +25,8 @@ def match_confidence(score, margin):
 def page_numbers(pages: DataFrame) -> DataFrame:
     """(book_id, page_index, printed, value, is_roman): the number read on each page, and its value if it has one."""
     # read once: kept apart so that the reading is not repeated for every use of it
-    rows = stored(pages.select("book_id", "page_index", N.printed_page_number(F.col("text")).alias("printed")))
+    full = worked_out(worked_out(pages.select("book_id", "page_index", "text"), raw=F.split("text", r"\R")).drop("text"), full=N.full_lines("raw"))
+    rows = stored(full.select("book_id", "page_index", N.printed_of_lines(F.col("full")).alias("printed")))
     return rows.select("book_id", "page_index", "printed", N.page_value(F.col("printed")).alias("value"), (~F.col("printed").rlike(r"^\d+$")).alias("is_roman"))
 
 
@@ -54,7 +55,7 @@ def chapter_ends(located: DataFrame, n_pages: DataFrame) -> DataFrame:
     Structural entries bound their neighbours and are dropped after that, as are ranges that end before they start.
     """
     w = Window.partitionBy("book_id").orderBy("page_index", "entry_no")
-    rows = roman_marks_dividers(located).join(n_pages, "book_id")
+    rows = roman_marks_dividers(located).join(apart(n_pages), "book_id")
     rows = rows.withColumn("next_start", F.lead("page_index").over(w)).withColumn("next_printed", F.lead("printed").over(w)).withColumn("next_roman", F.lead("is_roman").over(w))
     rows = rows.withColumn("start", F.col("page_index")).withColumn("end", F.coalesce(F.col("next_start") - 1, F.col("n_pages") - 1))
     return rows.filter(~(T.is_structural(F.col("title")) | F.col("divider"))).filter(F.col("end") >= F.col("start")).drop("divider")
@@ -66,11 +67,11 @@ def trim_ends(ranges: DataFrame, heads: DataFrame, closed: DataFrame) -> DataFra
     ``heads`` say of each page whether it is full without its running headers.  The last page with content up to
     each page is carried forward, so a range needs one lookup.
     """
-    marked = heads.select("book_id", "page_index", "full").join(closed.select("book_id", "page_index").distinct().withColumn("closed", F.lit(True)), ["book_id", "page_index"], "left")
+    marked = heads.select("book_id", "page_index", "full").join(apart(closed.select("book_id", "page_index").distinct().withColumn("closed", F.lit(True))), ["book_id", "page_index"], "left")
     w = Window.partitionBy("book_id").orderBy("page_index").rowsBetween(Window.unboundedPreceding, 0)
     page = F.col("page_index")
     carried = marked.select("book_id", page.alias("end"), F.last(F.when(F.col("full") & F.col("closed").isNull(), page), True).over(w).alias("open"), F.last(F.when(F.col("full"), page), True).over(w).alias("any"))
-    rows = ranges.join(carried, ["book_id", "end"], "left")
+    rows = ranges.join(apart(carried), ["book_id", "end"], "left")
     last = F.when(F.col("source").startswith("outline"), F.col("any")).otherwise(F.col("open"))
     return rows.withColumn("end", F.greatest(F.col("start"), F.coalesce(last, F.col("start")))).drop("open", "any")
 
@@ -86,7 +87,7 @@ def citation_pages(ranges: DataFrame, numbers: DataFrame) -> DataFrame:
     at = lambda name: shown.select("book_id", F.col("page_index").alias(name), F.col("printed").alias(f"{name}_shown"), F.col("inferred").alias(f"{name}_inferred"))
     rows = ranges.withColumn("fallback", F.coalesce(F.col("next_start") - 1, F.col("n_pages") - 1))
     for name in ("start", "end", "fallback"):
-        rows = rows.join(at(name), ["book_id", name], "left")
+        rows = rows.join(apart(at(name)), ["book_id", name], "left")
     declared = N.declared_page(F.col("printed"), F.col("is_roman"), F.col("n_pages"))
     next_declared = N.declared_page(F.col("next_printed"), F.col("next_roman"), F.col("n_pages"))
     stand_in = F.coalesce("fallback_shown", "fallback_inferred")
@@ -123,8 +124,8 @@ def book_summary(pages: DataFrame, entries: DataFrame, located: DataFrame, found
     sources = found.groupBy("book_id").agg(F.array_sort(F.collect_set("source")).alias("sources"))
     rows = page_counts(pages).withColumnRenamed("n_pages", "total_pdf_pages")
     for df, name in ((entries, "entries"), (located, "located"), (found, "chapters")):
-        rows = rows.join(n(df, name), "book_id", "left")
-    rows = rows.join(sources, "book_id", "left")
+        rows = rows.join(apart(n(df, name)), "book_id", "left")
+    rows = rows.join(apart(sources), "book_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return rows.select(
         "book_id", "total_pdf_pages", F.when(zero(F.col("chapters")) > 0, "high").otherwise("low").alias("segmentation_confidence"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import fuzzy
 from folio.functions import pagenum as N
 from folio.functions import text as T
-from folio.operators.tables import stored
+from folio.operators.tables import apart, stored
 
 ALIGN = 70.0
 BOOK_TITLE = 90.0
@@ -46,7 +46,7 @@ def catalog_candidates(books: DataFrame, sections: DataFrame) -> DataFrame:
 
 def drop_book_title(evidence: DataFrame, books: DataFrame, threshold: float = BOOK_TITLE) -> DataFrame:
     """Without rows whose title is the book's own under another order of words."""
-    rows = evidence.join(books.select("book_id", F.col("title").alias("__book")), "book_id", "left")
+    rows = evidence.join(apart(books.select("book_id", F.col("title").alias("__book"))), "book_id", "left")
     score = fuzzy.token_sort_ratio(F.lower("title"), F.lower("__book"))
     return rows.withColumn("__score", score).filter("__book is null or __score < " + str(threshold)).drop("__book", "__score")
 
@@ -72,7 +72,7 @@ def align(a: DataFrame, b: DataFrame, threshold: float = ALIGN) -> DataFrame:
     """(book_id, a_no, b_no): titles of two lists matched in order; only titles of one book meet."""
     left = a.select("book_id", F.col("cand_no").alias("a_no"), F.lower("title").alias("a_title"))
     right = b.select("book_id", F.col("cand_no").alias("b_no"), F.lower("title").alias("b_title"))
-    pairs = left.join(right, "book_id").withColumn("score", fuzzy.token_sort_ratio("a_title", "b_title")).filter(F.col("score") >= threshold)
+    pairs = left.join(apart(right), "book_id").withColumn("score", fuzzy.token_sort_ratio("a_title", "b_title")).filter(F.col("score") >= threshold)
     return fold_pairs(pairs)
 
 
@@ -90,8 +90,8 @@ def _paired(a: DataFrame, b: DataFrame) -> DataFrame:
     pairs = align(a, b)
     p = a.select("book_id", F.col("cand_no").alias("a_no"), F.struct(*EVIDENCE).alias("p"))
     q = b.select("book_id", F.col("cand_no").alias("b_no"), F.struct(*EVIDENCE).alias("q"))
-    left = p.join(pairs, ["book_id", "a_no"], "left").join(q, ["book_id", "b_no"], "left")
-    alone = q.join(pairs, ["book_id", "b_no"], "left_anti").withColumn("p", F.lit(None).cast(p.schema["p"].dataType)).withColumn("a_no", F.col("b_no") + 1_000_000)
+    left = p.join(apart(pairs), ["book_id", "a_no"], "left").join(apart(q), ["book_id", "b_no"], "left")
+    alone = q.join(apart(pairs), ["book_id", "b_no"], "left_anti").withColumn("p", F.lit(None).cast(p.schema["p"].dataType)).withColumn("a_no", F.col("b_no") + 1_000_000)
     return left.select("book_id", F.col("a_no").alias("cand_no"), "p", "q").unionByName(alone.select("book_id", F.col("a_no").alias("cand_no"), "p", "q"))
 
 
@@ -136,14 +136,14 @@ def dedupe_evidence(evidence: DataFrame, key: tuple[str, ...] = ("title", "autho
 def plausible_outlines(outline: DataFrame, n_pages: DataFrame, least: int = 2, pages_per_entry: tuple[int, int] = (3, 150)) -> DataFrame:
     """Books whose outlines can be their contents: enough real entries, and a sane number of pages for each."""
     real = outline.filter(~T.is_structural(F.col("title"))).groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
-    return real.join(n_pages, "book_id").filter((F.col("n") >= least) & (F.col("n_pages") / F.col("n")).between(*pages_per_entry)).select("book_id")
+    return real.join(apart(n_pages), "book_id").filter((F.col("n") >= least) & (F.col("n_pages") / F.col("n")).between(*pages_per_entry)).select("book_id")
 
 
 def segment_outline(numbers: DataFrame, n_pages: DataFrame, heads: DataFrame, outline: DataFrame) -> DataFrame:
     """Chapters straight from outline rows with a page: score 100, margin 20, confidence 0.98."""
     from folio.operators import boundaries
 
-    rows = outline.join(plausible_outlines(outline, n_pages), "book_id", "left_semi").filter("pdf_page_index is not null")
+    rows = outline.join(apart(plausible_outlines(outline, n_pages)), "book_id", "left_semi").filter("pdf_page_index is not null")
     located = rows.select(
         "book_id", F.col("cand_no").alias("entry_no"), "title", "authors", F.col("printed_page_number").cast("string").alias("printed"), F.lit(False).alias("is_roman"),
         F.col("pdf_page_index").alias("page_index"), F.lit(100.0).alias("score"), F.lit(20.0).alias("margin"), F.lit("outline").alias("source"),
@@ -171,10 +171,10 @@ def segment_evidence(pages: DataFrame, books: DataFrame, outline: DataFrame, sou
     columns = ["book_id", "entry_no", "title", "authors", "printed", "is_roman", "page_index", "score", "margin", "source"]
     located = fixed.select(*columns).unionByName(found.select(*columns))
     rows = boundaries.chapters(numbers, n_pages, located, heads, closed)
-    sure = merged.join(located.select("book_id", F.col("entry_no").alias("cand_no"), F.col("page_index").alias("pdf_start_index")), ["book_id", "cand_no"])
+    sure = apart(merged).join(located.select("book_id", F.col("entry_no").alias("cand_no"), F.col("page_index").alias("pdf_start_index")), ["book_id", "cand_no"])
     last = sure.groupBy("book_id", "pdf_start_index").agg(F.max_by("metadata_confidence", "cand_no").alias("meta"))
-    rows = rows.join(last, ["book_id", "pdf_start_index"], "left")
+    rows = rows.join(apart(last), ["book_id", "pdf_start_index"], "left")
     rows = rows.withColumn("confidence", F.when(F.col("source").startswith("outline"), 0.98).otherwise(F.bround(F.coalesce("meta", F.lit(1.0)) * F.col("confidence"), 2))).drop("meta")
-    bare_books = pages.join(merged.select("book_id").distinct(), "book_id", "left_anti")
+    bare_books = pages.join(apart(merged.select("book_id").distinct()), "book_id", "left_anti")
     rest, _ = segment.segment(bare_books)
     return rows.unionByName(rest)

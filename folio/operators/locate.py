@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import fuzzy
 from folio.functions import text as T
-from folio.operators.tables import stored
+from folio.operators.tables import apart, stored, worked_out
 
 HEADER_LINES = 5
 HEADER_CHARS = 8
@@ -31,19 +31,34 @@ def running_headers(lines: DataFrame, n_pages: DataFrame) -> DataFrame:
     top = lines.filter(F.col("line_no") < HEADER_LINES).select("book_id", "page_index", T.header_form(F.col("line")).alias("header_form"))
     on_pages = top.filter(F.length("header_form") >= HEADER_CHARS).distinct().groupBy("book_id", "header_form").agg(F.count(F.lit(1)).alias("n"))
     least = F.greatest(F.lit(HEADER_PAGES), F.floor(F.col("n_pages") * HEADER_SHARE))
-    return on_pages.join(n_pages, "book_id").filter(F.col("n") >= least).select("book_id", "header_form")
+    return on_pages.join(apart(n_pages), "book_id").filter(F.col("n") >= least).select("book_id", "header_form")
+
+
+def page_headers(pages: DataFrame, n_pages: DataFrame) -> DataFrame:
+    """``running_headers`` from pages: the forms of a page's top lines are told apart inside its row."""
+    top = F.slice(F.split("text", r"\R", HEADER_LINES + 1), 1, HEADER_LINES)
+    forms = worked_out(pages.filter("text <> ''").select("book_id", "text"), forms=F.transform(top, T.header_form)).drop("text")
+    long = F.array_distinct(F.filter("forms", lambda x: F.length(x) >= HEADER_CHARS))
+    on_pages = forms.select("book_id", F.explode(long).alias("header_form")).groupBy("book_id", "header_form").agg(F.count(F.lit(1)).alias("n"))
+    least = F.greatest(F.lit(HEADER_PAGES), F.floor(F.col("n_pages") * HEADER_SHARE))
+    # few forms stand on so many pages
+    return on_pages.filter(F.col("n") >= HEADER_PAGES).join(apart(n_pages), "book_id").filter(F.col("n") >= least).select("book_id", "header_form")
 
 
 def strip_headers(pages: DataFrame, headers: DataFrame) -> DataFrame:
     """``pages`` with leading header lines (and lines without letters next to them) dropped where a book has headers."""
     known = headers.groupBy("book_id").agg(F.collect_set("header_form").alias("headers"))
-    raw = T.lines(F.col("text"))
-    rows = pages.join(known, "book_id", "left").withColumn("raw", F.when(F.col("headers").isNotNull(), raw))
-    forms = F.transform(F.slice("raw", 1, HEADER_LINES), T.header_form)
-    keeps = F.filter(F.transform(forms, lambda x, i: F.when((x == "") | F.array_contains("headers", x), F.lit(HEADER_LINES)).otherwise(i)), lambda i: i < HEADER_LINES)
-    skip = F.coalesce(F.get(keeps, F.lit(0)), F.least(F.size("raw"), F.lit(HEADER_LINES)))
-    left = F.array_join(F.slice("raw", skip + 1, F.greatest(F.size("raw") - skip, F.lit(0))), "\n")
-    return rows.withColumn("text", F.when(F.col("raw").isNotNull(), left).otherwise(F.col("text"))).drop("raw", "headers")
+    # lines beyond those looked at stay in one piece
+    rows = worked_out(pages.join(apart(known), "book_id", "left"), top=F.when(F.col("headers").isNotNull(), F.split("text", r"\R", HEADER_LINES + 1)))
+    rows = worked_out(rows, forms=F.transform(F.slice("top", 1, HEADER_LINES), T.header_form))
+    keeps = F.filter(F.transform("forms", lambda x, i: F.when((x == "") | F.array_contains("headers", x), F.lit(HEADER_LINES)).otherwise(i)), lambda i: i < HEADER_LINES)
+    rows = worked_out(rows, skip=F.coalesce(F.get(keeps, F.lit(0)), F.lit(HEADER_LINES)))
+    last = F.regexp_replace(F.get("top", F.lit(HEADER_LINES)), r"\R", "\n")
+    left = F.array_join(F.concat(F.slice("top", F.col("skip") + 1, F.greatest(HEADER_LINES - F.col("skip"), F.lit(0))), F.array_compact(F.array(last))), "\n")
+    rows = worked_out(rows, left=left)
+    # no line follows a last line break
+    left = F.when(F.endswith("left", F.lit("\n")), F.substring("left", F.lit(1), F.length("left") - 1)).otherwise(F.col("left"))
+    return rows.withColumn("text", F.when(F.col("top").isNotNull(), left).otherwise(F.col("text"))).drop("top", "forms", "skip", "left", "headers")
 
 
 def readings(entries: DataFrame) -> DataFrame:
@@ -66,8 +81,8 @@ def score_title_pages(titles: DataFrame, heads: DataFrame, threshold: float = SC
     t = titles.select("book_id", F.lower("reading").alias("reading")).groupBy("book_id").agg(F.array_sort(F.collect_set("reading")).alias("readings"))
     h = heads.filter(F.length(T.strip(F.col("head"))) >= MIN_HEAD).select("book_id", "page_index", F.lower("head").alias("head"))
     # a stated number of partitions: the tables are small beside the scorer's work, and adaptive plans would join them in few tasks
-    h = h.repartition(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "book_id", "page_index")
-    scored = h.join(t, "book_id").withColumn("scores", fuzzy.partial_ratios_from(threshold)("readings", "head"))
+    h = h.repartition(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "book_id")
+    scored = h.join(apart(t), "book_id").withColumn("scores", fuzzy.partial_ratios_from(threshold)("readings", "head"))
     pairs = scored.select("book_id", "page_index", F.explode(F.arrays_zip("readings", "scores")).alias("p"))
     return pairs.select("book_id", "page_index", F.col("p.readings").alias("reading"), F.col("p.scores").alias("score")).filter(F.col("score") >= threshold)
 
@@ -77,21 +92,21 @@ def secondary_listings(entries: DataFrame, bodies: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform(F.concat(F.array("title"), F.col("title_variants")), lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t"))))
     titles = entries.select("book_id", "entry_no", longest["t"].alias("reading")).filter(F.length("reading") >= LISTING_TITLE)
     found = score_title_pages(titles, bodies.withColumnRenamed("body", "head"), LISTING_SCORE)
-    counted = titles.withColumn("low", F.lower("reading")).drop("reading").join(found.withColumnRenamed("reading", "low"), ["book_id", "low"])
+    counted = apart(titles.withColumn("low", F.lower("reading")).drop("reading")).join(found.withColumnRenamed("reading", "low"), ["book_id", "low"])
     return counted.groupBy("book_id", "page_index").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LISTING_ENTRIES).select("book_id", "page_index")
 
 
 def last_front_page(entries: DataFrame, n_pages: DataFrame) -> DataFrame:
     """(book_id, front): the last contents page in a book's first half."""
-    front = entries.join(n_pages, "book_id").filter((F.col("source_page_index") >= 0) & (F.col("source_page_index") < F.floor(F.col("n_pages") / 2)))
+    front = entries.join(apart(n_pages), "book_id").filter((F.col("source_page_index") >= 0) & (F.col("source_page_index") < F.floor(F.col("n_pages") / 2)))
     return front.groupBy("book_id").agg(F.max("source_page_index").alias("front"))
 
 
 def allowed_pages(candidates: DataFrame, excluded: DataFrame, front: DataFrame) -> DataFrame:
     """Candidates on pages where their entry may open: none of the excluded ones, and for entries that are not in
     roman pages none up to the front contents."""
-    kept = candidates.join(excluded.select("book_id", "page_index").distinct(), ["book_id", "page_index"], "left_anti")
-    kept = kept.join(front, "book_id", "left")
+    kept = candidates.join(apart(excluded.select("book_id", "page_index").distinct()), ["book_id", "page_index"], "left_anti")
+    kept = kept.join(apart(front), "book_id", "left")
     return kept.filter(F.col("is_roman") | F.col("front").isNull() | (F.col("page_index") > F.col("front"))).drop("front")
 
 
@@ -133,9 +148,11 @@ def order_disambiguate(entries: DataFrame, located: DataFrame, clusters: DataFra
     tens of entries, and only books with an open entry that has candidates come here.
     """
     options = clusters.withColumn("key", ranking_key(F.col("score"), F.col("author_confirmed")))
-    options = options.join(located.select("book_id", "entry_no"), ["book_id", "entry_no"], "left_anti").withColumn("pinned", F.lit(False))
+    options = options.join(apart(located.select("book_id", "entry_no")), ["book_id", "entry_no"], "left_anti").withColumn("pinned", F.lit(False))
     fixed = located.select("book_id", "entry_no", "variant_no", "reading", "page_index", "score", "author_confirmed", "key").withColumn("pinned", F.lit(True))
-    rows = options.select(*fixed.columns).unionByName(fixed.join(options.select("book_id").distinct(), "book_id", "left_semi")).join(n_pages, "book_id")
+    rows = options.select(*fixed.columns).unionByName(fixed.join(apart(options.select("book_id").distinct()), "book_id", "left_semi"))
+    # a stated number of partitions: the rows are few beside the work on a book
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "book_id").join(apart(n_pages), "book_id")
     schema = "book_id long, entry_no int, reading string, page_index int, score double, margin double, author_confirmed boolean"
 
     def walk(book: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +187,19 @@ def order_disambiguate(entries: DataFrame, located: DataFrame, clusters: DataFra
 
 def page_heads(bare: DataFrame, blank_chars: int) -> DataFrame:
     """(book_id, page_index, head, full) of pages without running headers; full pages are not blank."""
-    return bare.select("book_id", "page_index", F.substring("text", 1, HEAD).alias("head"), (F.length(T.strip(F.col("text"))) >= blank_chars).alias("full"))
+    return bare.select("book_id", "page_index", F.substring("text", 1, HEAD).alias("head"), _holds(F.col("text"), blank_chars).alias("full"))
+
+
+def _holds(text, least: int):
+    """Whether a text has ``least`` characters, 2 or more, from its first to its last one that is no blank."""
+    return text.rlike(rf"(?Us)\S.{{{least - 2},}}\S")
+
+
+def page_tops(pages: DataFrame, headers: DataFrame, blank_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(book_id, page_index, text) of pages without running headers as far as they are read, and their ``page_heads``; written once."""
+    bare = worked_out(strip_headers(pages.select("book_id", "page_index", "text"), headers).withColumnRenamed("text", "whole"), text=F.col("whole")).drop("whole")
+    tops = stored(bare.select("book_id", "page_index", F.substring("text", 1, BODY).alias("text"), F.substring("text", 1, HEAD).alias("head"), _holds(F.col("text"), blank_chars).alias("full")))
+    return tops.select("book_id", "page_index", "text"), tops.select("book_id", "page_index", "head", "full")
 
 
 def locate_entries(entries: DataFrame, n_pages: DataFrame, bare: DataFrame, heads: DataFrame, excluded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -178,12 +207,12 @@ def locate_entries(entries: DataFrame, n_pages: DataFrame, bare: DataFrame, head
 
     ``entries`` need book_id, entry_no, title, title_variants, printed, is_roman, authors and source_page_index.
     """
-    bodies = bare.select("book_id", "page_index", F.substring("text", 1, BODY).alias("body")).join(excluded.select("book_id", "page_index"), ["book_id", "page_index"], "left_anti")
+    bodies = bare.select("book_id", "page_index", F.substring("text", 1, BODY).alias("body")).join(apart(excluded.select("book_id", "page_index")), ["book_id", "page_index"], "left_anti")
     closed = stored(excluded.select("book_id", "page_index").unionByName(secondary_listings(entries, bodies)).distinct())
     titles = readings(entries)
     heads = heads.select("book_id", "page_index", "head")
     scored = score_title_pages(titles, heads).withColumnRenamed("reading", "low")
-    met = titles.withColumn("low", F.lower("reading")).join(scored, ["book_id", "low"]).join(heads, ["book_id", "page_index"])
+    met = apart(titles.withColumn("low", F.lower("reading"))).join(scored, ["book_id", "low"]).join(apart(heads), ["book_id", "page_index"])
     candidates = met.withColumn("author_confirmed", author_confirmed(F.col("authors"), F.col("head"))).drop("head", "low", "authors")
     candidates = allowed_pages(candidates, closed, last_front_page(entries, n_pages))
     clusters = stored(cluster_candidates(candidates))
@@ -191,4 +220,4 @@ def locate_entries(entries: DataFrame, n_pages: DataFrame, bare: DataFrame, head
     more = order_disambiguate(entries, first, clusters, n_pages)
     found = first.select("book_id", "entry_no", "reading", "page_index", "score", "margin", "author_confirmed").unionByName(more)
     own = entries.drop("title", "title_variants")
-    return own.join(found.withColumnRenamed("reading", "title"), ["book_id", "entry_no"]), closed
+    return own.join(apart(found.withColumnRenamed("reading", "title")), ["book_id", "entry_no"]), closed

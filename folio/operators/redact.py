@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.operators.tables import apart
+
 
 def word_pool(documents: DataFrame) -> DataFrame:
     """(lang, length, words): distinct lower-case words of each language by length, sorted."""
@@ -32,5 +34,5 @@ def drifted_pages(real: DataFrame, redacted: DataFrame) -> DataFrame:
     """(book_id, page_index) where an entry is found on one version's page and not on the other's."""
     a = real.select("book_id", "entry_no", F.col("page_index").alias("a"))
     b = redacted.select("book_id", "entry_no", F.col("page_index").alias("b"))
-    moved = a.join(b, ["book_id", "entry_no"], "full").filter(~F.col("a").eqNullSafe(F.col("b")))
+    moved = a.join(apart(b), ["book_id", "entry_no"], "full").filter(~F.col("a").eqNullSafe(F.col("b")))
     return moved.select("book_id", F.explode(F.array_compact(F.array("a", "b"))).alias("page_index")).distinct()

@@ -10,11 +10,10 @@ from folio.operators.tables import stored
 
 
 def page_facts(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(page counts, pages without running headers, their heads, their printed numbers): what every method needs."""
+    """(page counts, tops of pages without running headers, their heads, their printed numbers): what every method needs."""
     n_pages = stored(toc.page_counts(pages))
-    headers = locate.running_headers(toc.top_lines(pages, locate.HEADER_LINES), n_pages)
-    bare = locate.strip_headers(pages, headers)
-    heads = stored(locate.page_heads(bare, boundaries.BLANK_CHARS))
+    headers = stored(locate.page_headers(pages, n_pages))
+    bare, heads = locate.page_tops(pages, headers, boundaries.BLANK_CHARS)
     numbers = stored(boundaries.infer_printed(boundaries.page_numbers(pages)))
     return n_pages, bare, heads, numbers
 

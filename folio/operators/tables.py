@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -27,6 +28,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """Marks a table that grows with the corpus: a join deals it by key, however small its files are.
+
+    Else it may be sent whole to the driver and all tasks, as a table of numbers is many times larger there than stored.
+    """
+    return df.hint("merge")
+
+
+def worked_out(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns as they are now: later expressions would work them out again for each use."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 #: Rows of a narrow table that one task sorts.
 ROWS = 500_000
 

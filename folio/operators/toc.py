@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import pagenum as N
 from folio.functions import text as T
-from folio.operators.tables import stored
+from folio.operators.tables import apart, stored
 
 MIN_LINES = 3
 MIN_LINES_AFTER = 2
@@ -42,7 +42,7 @@ def in_scan_range(front: float = 0.15, back: float = 0.05):
 
 def scan_range(pages: DataFrame, front: float = 0.15, back: float = 0.05) -> DataFrame:
     """Pages at the front and the back in which a listing is looked for."""
-    return pages.join(page_counts(pages), "book_id").filter(in_scan_range(front, back)).drop("n_pages")
+    return pages.join(apart(page_counts(pages)), "book_id").filter(in_scan_range(front, back)).drop("n_pages")
 
 
 def _ends_title(line):
@@ -70,7 +70,7 @@ def toc_lines(pages: DataFrame, n_pages: DataFrame | None = None) -> DataFrame:
     rows = rows.filter(~T.is_url_line(F.col("own")) & ~T.is_imprint_line(F.col("own")))
     rows = rows.withColumn("read", T.strip_title(F.regexp_extract("own", N.TOC_LINE, 1))).withColumn("printed", F.regexp_extract("own", N.TOC_LINE, 2))
     rows = rows.withColumn("value", N.page_value(F.col("printed"))).filter("value is not null")
-    rows = rows.join(page_counts(pages) if n_pages is None else n_pages, "book_id").filter(F.col("value") <= N.RATIO_MOST * F.col("n_pages"))
+    rows = rows.join(apart(page_counts(pages) if n_pages is None else n_pages), "book_id").filter(F.col("value") <= N.RATIO_MOST * F.col("n_pages"))
     # a leader without title takes the line before it, and what is merged starts one line higher
     rows = rows.withColumn("bare", F.length("read") < 3).withColumn("above", T.strip_title(F.col("b1")))
     adopts = F.col("own").rlike(BARE_LEADER) & ~_ends_title(F.col("b1")) & (F.length("above") >= 3)
@@ -104,8 +104,8 @@ def extend_cluster(cluster: DataFrame, entries: DataFrame, listings: DataFrame,
     Pages that are listings of their own are no part of such a chain and do not bridge it.
     """
     last = cluster.groupBy("book_id").agg(F.max("page_index").alias("last"))
-    more = listing_pages(entries, MIN_LINES_AFTER).join(listings.select("book_id", "page_index"), ["book_id", "page_index"], "left_anti")
-    after = more.join(last, "book_id").filter("page_index > last")
+    more = listing_pages(entries, MIN_LINES_AFTER).join(apart(listings.select("book_id", "page_index")), ["book_id", "page_index"], "left_anti")
+    after = more.join(apart(last), "book_id").filter("page_index > last")
     w = Window.partitionBy("book_id").orderBy("page_index")
     step = F.col("page_index") - F.coalesce(F.lag("page_index").over(w), F.col("last"))
     chain = after.withColumn("broken", F.max((step > gap).cast("int")).over(w)).filter("broken = 0")
@@ -128,10 +128,10 @@ def toc_entries(pages: DataFrame) -> DataFrame:
     """The contents entries of every book in listing order, numbered from 0 by ``entry_no``."""
     n_pages = page_counts(pages)
     lines = stored(toc_lines(pages, n_pages))
-    scanned = lines.join(n_pages, "book_id").filter(in_scan_range()).drop("n_pages")
+    scanned = lines.join(apart(n_pages), "book_id").filter(in_scan_range()).drop("n_pages")
     listings = listing_pages(scanned)
     chosen = extend_cluster(first_cluster(listings), lines, listings)
-    entries = apply_author_marker(lines.join(chosen, ["book_id", "page_index"], "left_semi"))
+    entries = apply_author_marker(lines.join(apart(chosen), ["book_id", "page_index"], "left_semi"))
     w = Window.partitionBy("book_id").orderBy("page_index", "line_no")
     return entries.withColumn("entry_no", F.row_number().over(w) - 1).withColumnRenamed("page_index", "source_page_index")
 

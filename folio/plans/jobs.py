@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators import answers, classify, evidence, layout, locate, redact, regions, segment, toc
-from folio.operators.tables import stored
+from folio.operators.tables import apart, stored
 from folio.plans import fixture
 from folio.plans.queries import LINES, NPAGES, PAGES, ROMANS, expected, query, table
 
@@ -89,7 +89,7 @@ def all_evidence(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     records = _evidence(titles.filter("book_id % 3 <> 2"), "crossref", 0.9, F.col("k") - 1, F.lit(None))
     catalog = _evidence(titles.filter("book_id % 4 = 0").withColumn("title", F.upper("title")), "catalog", 0.8, F.col("k") - 1, F.lit(None))
     own = _evidence(books.withColumn("k", F.lit(2)), "crossref", 0.9, F.lit(None), F.lit(None)).withColumn("cand_no", F.lit(99))
-    return books, outline, [records.unionByName(own.join(records.select("book_id").distinct(), "book_id", "left_semi")), catalog]
+    return books, outline, [records.unionByName(own.join(apart(records.select("book_id").distinct()), "book_id", "left_semi")), catalog]
 
 
 @query()

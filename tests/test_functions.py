@@ -2,6 +2,7 @@ import collections
 import random
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +146,27 @@ def test_short_ways_to_numbers_and_headings(spark):
     rows = df.select("t", T.is_heading_line(F.col("t")).alias("h"), heading.alias("want_h"), T.ends_in_number(F.col("t")).alias("e"), ends.alias("want_e")).collect()
     assert [r.t for r in rows if r.h != r.want_h or r.e != r.want_e] == []
     assert {r.h for r in rows} == {r.e for r in rows} == {True, False, None}
+
+
+def test_scores_from_a_threshold_are_those_of_all_pairs():
+    """Runs of symbols that windows must share turn down no pair that reaches the threshold."""
+    rng = random.Random(8)
+    words = ["study", "of", "matters", "part", "a", "on", "the", "history", "methods", "été", "x"]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pairs = []
+    for _ in range(400):
+        title = line(rng.randrange(2, 9))
+        near = list(title)
+        for _ in range(rng.randrange(0, 2 + len(title) // 4)):
+            near[rng.randrange(len(near))] = rng.choice(["", "q", "zz", " "])
+        pairs += [(title, line(30) + "".join(near) + line(20)), (title, line(60))]
+    for threshold in (80.0, 90.0, 97.0):
+        every, some = fuzzy.partials(pairs), fuzzy.partials(pairs, threshold)
+        reach = every >= threshold
+        assert reach.any() and not reach.all() and (some[reach] == every[reach]).all() and (some[~reach] < threshold).all()
+
+
+def test_unlike_titles_are_turned_down_by_their_runs():
+    titles = ["a comparative study of citation styles", "methods of historical research in practice"]
+    batch = fuzzy._Pairs(titles, ["nothing here is like any of these words " * 20, "x " + titles[0][:18] + "e" + titles[0][18:]])
+    assert batch.may_reach(np.array([0, 1, 0, 1]), np.array([0, 0, 1, 1]), 90.0).tolist() == [False, False, True, False]

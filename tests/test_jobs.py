@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import answers, classify, curate, ranks, redact, regions, segment
+from folio.operators import answers, boundaries, classify, curate, locate, ranks, redact, regions, segment, tables, toc
 from folio.plans import fixture, jobs
 
 SF = "/root/testdata/sf0.001"
@@ -94,6 +94,21 @@ def test_fallback_takes_answers_only_where_contents_fail(spark, books):
     }
 
 
+def test_no_table_that_grows_is_sent_whole(spark, books, monkeypatch):
+    """However small its files are, no table of books, entries or pages is collected and sent to all tasks."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return tables.stored(df)
+
+    for module in (boundaries, locate, segment, toc):
+        monkeypatch.setattr(module, "stored", seen)
+    found, _ = segment.segment_entries(books, toc.toc_entries(books))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_answers_alone(spark, books):
     listed = '[{"title": "Introduction", "authors": [], "printed_page_number": null}, {"title": "Comparing Citation Styles", "authors": [], "printed_page_number": null}]'
     responses = spark.createDataFrame([(2, listed), (3, "no list"), (9, listed)], "book_id long, response string")
